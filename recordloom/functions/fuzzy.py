@@ -49,4 +49,6 @@ def token_set_scorer():
     def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([score_one(x, y) for x, y in zip(left, right)], dtype="float64")
 
-    return token_set_ratio
+    # kept where it is written: a deterministic call would be moved below the
+    # de-duplication of candidates and run once per duplicate
+    return token_set_ratio.asNondeterministic()

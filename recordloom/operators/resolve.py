@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fuzzy import token_set_scorer
 from ..functions.names import normalize_name
+from ..session import cut_lineage
 from .shape import asc, desc, top_k_per_key
 
 
@@ -74,19 +75,20 @@ def _tokens(c):
     return F.array_distinct(F.split(c, " "))
 
 
-def _weighted_prefix(names: DataFrame, df: DataFrame, share: float) -> DataFrame:
-    """The rarest tokens of each name that together weigh more than ``share`` of it."""
-    packed = (
-        names.select("name", F.explode(_tokens("name")).alias("token")).join(df, "token")
-        .groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ts")))
+def _weighted_prefix(words: DataFrame, share: float) -> DataFrame:
+    """The rarest words of each name that together weigh more than ``share`` of it."""
+    df = words.groupBy("token").agg(F.count("*").alias("n"))
+    packed = words.join(df, "token").groupBy("name", "l", "r").agg(
+        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ts"))
 
     def weight(ts):
         return F.aggregate(ts, F.lit(0), lambda a, t: a + F.length(t["token"]) + 1)
 
-    # a token is kept while the rarer tokens before it weigh at most the share
+    # a word is kept while the rarer words before it weigh at most the share
     kept = F.filter("ts", lambda t, i: weight(F.slice("ts", F.lit(1), i))
                     <= weight(F.col("ts")) * F.lit(share))
-    return packed.select("name", F.explode(kept).alias("t")).select("name", "t.token")
+    return packed.select("name", "l", "r", F.explode(kept).alias("t")).select(
+        "name", "l", "r", "t.token")
 
 
 def _grams(c, q: int):
@@ -98,7 +100,7 @@ def _grams(c, q: int):
         g.alias("g"), F.size(F.filter(F.slice(raw, F.lit(1), i), lambda h: h == g)).alias("k")))
 
 
-def _gram_prefix(names: DataFrame, df: DataFrame, t: float, q: int) -> DataFrame:
+def _gram_prefix(names: DataFrame, t: float, q: int) -> DataFrame:
     """The rarest windows of each name of which every close enough name holds at least one.
 
     Two names of lengths a and b whose edit similarity reaches t have a common
@@ -120,14 +122,15 @@ def _gram_prefix(names: DataFrame, df: DataFrame, t: float, q: int) -> DataFrame
         shared = F.lit(2.5 * t - 2) * (length + partner) - (F.size(words) - 1)
     else:
         shared = F.lit(1.5 * t - 1) * (length + partner) + 1
-    packed = (
-        names.select("name", F.explode(_grams("name", q)).alias("gk"))
-        .select("name", "gk.g", "gk.k").join(df, ["g", "k"])
-        .groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "g", "k"))).alias("gs")))
+    grams = names.select("name", "l", "r", F.explode(_grams("name", q)).alias("gk")).select(
+        "name", "l", "r", "gk.g", "gk.k")
+    df = grams.groupBy("g", "k").agg(F.count("*").alias("n"))
+    packed = grams.join(df, ["g", "k"]).groupBy("name", "l", "r").agg(
+        F.array_sort(F.collect_list(F.struct("n", "g", "k"))).alias("gs"))
     keep = F.size("gs") - F.ceil(shared - 1e-9) + 1
     kept = F.slice("gs", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))
-    return packed.select("name", length.alias("len"), F.explode(kept).alias("e")).select(
-        "name", "len", "e.g", "e.k")
+    return packed.select("name", "l", "r", length.alias("len"), F.explode(kept).alias("e")).select(
+        "name", "l", "r", "len", "e.g", "e.k")
 
 
 def similar_name_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
@@ -148,32 +151,31 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, floor: float) ->
         raise ValueError("below 70 the bound on shared windows holds no information")
     # windows of three always leave something shared from 10/11 on
     q = 3 if t >= 10 / 11 else 2
-    a = left.select(F.col("norm_name").alias("name")).distinct()
-    b = right.select(F.col("norm_name").alias("name")).distinct()
-    every = a.union(b)
-    token_df = every.select(F.explode(_tokens("name")).alias("token")).groupBy("token").agg(
-        F.count("*").alias("n"))
-    gram_df = (every.select(F.explode(_grams("name", q)).alias("gk")).groupBy("gk.g", "gk.k")
-               .agg(F.count("*").alias("n")))
+    names = cut_lineage(
+        left.select(F.col("norm_name").alias("name"), F.lit(True).alias("l"), F.lit(False).alias("r"))
+        .union(right.select("norm_name", F.lit(False), F.lit(True)))
+        .groupBy("name").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
 
     def pairs(x, y, keys):
-        return x.withColumnsRenamed({"name": "left_norm", "len": "len_l"}).join(
-            y.withColumnsRenamed({"name": "right_norm", "len": "len_r"}), keys)
+        return x.where("l").drop("l", "r").withColumnsRenamed(
+            {"name": "left_norm", "len": "len_l"}).join(
+            y.where("r").drop("l", "r").withColumnsRenamed(
+                {"name": "right_norm", "len": "len_r"}), keys)
 
     # 2 * shared / (2 * shared + 1 + rest) >= t, turned into a share of the whole name
     slack = 2.0 / t - 2.0
-    share = slack / (1.0 + slack)
-    words_a = a.select("name", F.explode(_tokens("name")).alias("token"))
-    words_b = b.select("name", F.explode(_tokens("name")).alias("token"))
-    by_word = pairs(_weighted_prefix(a, token_df, share), words_b, "token").union(
-        pairs(words_a, _weighted_prefix(b, token_df, share), "token").select(
-            "token", "left_norm", "right_norm"))
+    words = names.select("name", "l", "r", F.explode(_tokens("name")).alias("token"))
+    rare_words = cut_lineage(_weighted_prefix(words, slack / (1.0 + slack)))
+    rare_grams = cut_lineage(_gram_prefix(names, t, q))
     low = F.lit(t / (2 - t))
-    by_gram = pairs(_gram_prefix(a, gram_df, t, q), _gram_prefix(b, gram_df, t, q), ["g", "k"]
-                    ).where((F.col("len_l") >= F.col("len_r") * low - 1e-9)
-                            & (F.col("len_r") >= F.col("len_l") * low - 1e-9))
-    return (by_word.select("left_norm", "right_norm")
-            .union(by_gram.select("left_norm", "right_norm")).distinct())
+    close = ((F.col("len_l") >= F.col("len_r") * low - 1e-9)
+             & (F.col("len_r") >= F.col("len_l") * low - 1e-9))
+    out = None
+    for found in (pairs(rare_words, words, "token"), pairs(words, rare_words, "token"),
+                  pairs(rare_grams, rare_grams, ["g", "k"]).where(close)):
+        found = found.select("left_norm", "right_norm")
+        out = found if out is None else out.union(found)
+    return out.distinct()
 
 
 def fuzzy_pass(rest: DataFrame, right: DataFrame, *, right_name: str, threshold: float = 92,
@@ -192,6 +194,7 @@ def fuzzy_pass(rest: DataFrame, right: DataFrame, *, right_name: str, threshold:
     # of organisations that share a name only the first few can ever be shown
     pool = top_k_per_key(pool, "right_norm", asc("right_name"), shown)
     score = token_set_scorer()
+    rest = cut_lineage(rest)
     scored = (
         similar_name_candidates(rest, right.where(F.col("norm_name").isNotNull()), floor)
         .withColumn("score", score("left_norm", "right_norm"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on. Skewed joins are split by the
 # adaptive planner, and broadcasts are only chosen from measured sizes: the
@@ -57,3 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches need to the shared folder and read it from there.
+
+    The copy survives the loss of executors, and the branches do not recompute it.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
