@@ -138,6 +138,37 @@ class TestTables:
             "bioguide_id", F.concat(F.lit("Member "), "bioguide_id").alias("name"),
             F.lit("X").alias("party"), F.lit("ZZ").alias("state")).distinct()
 
+    def govt_entities(self) -> DataFrame:
+        return (
+            self.raw("lineitem")
+            .join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(F.col("l_orderkey").alias("filing_uuid"),
+                    F.col("n_name").alias("govt_entity_name"))
+        )
+
+    def claims(self) -> DataFrame:
+        quality, toxic = F.col("quality"), F.col("toxic")
+        return (
+            self.raw("documents").join(self.raw("labels"), "doc_id", "left")
+            .select(
+                F.concat(F.lit("C-"), F.col("doc_id").cast("string")).alias("claim_id"),
+                F.col("text").alias("statement"),
+                F.when(quality == 1, "high").when(quality == 0, "medium").otherwise("low")
+                .alias("confidence"),
+                F.when(toxic == 0, "verified").when(toxic == 1, "disputed").otherwise("pending")
+                .alias("fact_check_status"),
+                F.array(F.substring(F.sha2("source", 256), 1, 16)).alias("supporting_query_hashes"),
+                F.when(F.col("lang") == "en", F.array(F.concat(
+                    F.lit("senate_filing_"), F.col("doc_id").cast("string"), F.lit(".md"))))
+                .otherwise(F.array().cast("array<string>")).alias("supporting_cards"),
+                F.array(F.struct(
+                    F.concat(F.lit("https://example.org/"), "source").alias("url"),
+                    F.when(F.col("lang") != "fr", F.concat(F.lit("archive/"), "source"))
+                    .alias("archive_path"))).alias("external_sources"),
+            )
+        )
+
     def registry_a(self) -> DataFrame:
         return (
             self.raw("part")
@@ -222,6 +253,21 @@ committee_assignments AS (
 members AS (
   SELECT DISTINCT bioguide_id, 'Member ' || bioguide_id AS name, 'X' AS party, 'ZZ' AS state
   FROM committee_assignments),
+govt_entities AS (
+  SELECT l_orderkey AS filing_uuid, n_name AS govt_entity_name
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+claims AS (
+  SELECT 'C-' || CAST(d.doc_id AS VARCHAR) AS claim_id, text AS statement,
+         CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'medium' ELSE 'low' END
+           AS confidence,
+         CASE WHEN toxic = 0 THEN 'verified' WHEN toxic = 1 THEN 'disputed' ELSE 'pending' END
+           AS fact_check_status,
+         substr(sha256(source), 1, 16) AS query_hash,
+         CASE WHEN lang = 'en' THEN 'senate_filing_' || CAST(d.doc_id AS VARCHAR) || '.md' END
+           AS card,
+         'https://example.org/' || source AS url,
+         CASE WHEN lang <> 'fr' THEN 'archive/' || source END AS archive_path
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 registry_a AS (
   SELECT CAST(p_partkey AS INTEGER) AS registrant_id,
          p_name || ' ' || p_brand || ' ' || p_type || ', LLC' AS registrant_name,
