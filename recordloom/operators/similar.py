@@ -101,6 +101,44 @@ def knn_by_text(base: DataFrame, embedder: TextEmbedder, query: str, k: int, **k
     return knn_by_vector(base, vector, k, **kw)
 
 
+def knn_batch(queries: DataFrame, base: DataFrame, k: int, *, ident: str = "id",
+              vector: str = "embedding", max_shipped: int = 4096,
+              block_rows: int = 50_000) -> DataFrame:
+    """The k nearest base rows of every query row, exactly.
+
+    Up to ``max_shipped`` queries are sent to the tasks, and each Arrow batch of
+    the base is compared with all of them but gives at most its own k nearest.
+    More queries are cut into blocks that meet the blocks of the base in a grid;
+    every cell again gives only k rows per query.
+    """
+    spark = base.sparkSession
+    kind = dict(base.dtypes)[ident]
+    out_schema = f"query_id {kind}, neighbor_id {kind}, distance double"
+    head = queries.select(ident, vector).limit(max_shipped + 1).collect()
+    if not head:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    if len(head) <= max_shipped:
+        shipped = spark.sparkContext.broadcast(
+            (np.array([r[0] for r in head]), np.array([r[1] for r in head], dtype="float64")))
+        nearest = _nearest_by_value()
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = shipped.value
+            for batch in batches:
+                if len(batch):
+                    x = np.stack(batch["v"].to_numpy()).astype("float64")
+                    rows, cols, dist = nearest(x, q, k)
+                    yield pd.DataFrame({"query_id": names[cols],
+                                        "neighbor_id": batch["i"].to_numpy()[rows],
+                                        "distance": dist})
+
+        near = base.select(F.col(ident).alias("i"), F.col(vector).alias("v")).mapInPandas(
+            scan, out_schema)
+    else:
+        near = _grid(queries, base, k, ident, vector, out_schema, block_rows)
+    return top_k_per_key(near, "query_id", asc("distance", "neighbor_id"), k, "rank")
+
+
 def _nearest_by_value():
     """``nearest(rows, queries, k)``: row and query numbers and exact distances that cover the
     k nearest rows per query. Nested so that it travels to the workers by value."""
