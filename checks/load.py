@@ -84,7 +84,7 @@ def _parsed(df, text, record_schema):
 
 def senate_records(t):
     """One JSON record per order, with two activities, people nested and flat."""
-    orders = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = t.spread("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     person = F.struct(
         F.struct(F.col("o_custkey").alias("id"), F.concat(F.lit(" "), "c_name").alias("last_name"))
@@ -179,7 +179,7 @@ def flatten_senate_foreign(t):
 
 
 def contribution_records(t):
-    events = t.raw("events")
+    events = t.spread("events")
     key = F.col("event_id")
     item = F.struct(
         F.when(key % 2 == 0, F.col("event_type")).alias("contribution_type"),
@@ -236,7 +236,7 @@ def house_records(t):
         F.lit("<foreignEntities><foreignEntity><city>x</city></foreignEntity>"),
         tag("foreignEntity", tag("name", F.col("p_brand"))), F.lit("</foreignEntities>")))
     return (
-        t.raw("part").select(
+        t.spread("part").select(
             F.from_xml(xml, schema.HOUSE_FILING, {"rowTag": "LOBBYINGDISCLOSURE2"}).alias("r"),
             F.concat(key.cast("string"), F.lit(".xml")).alias("house_xml_filename"))
         .select("r.*", "house_xml_filename", F.lit("LD2").alias("doc_type"),
@@ -285,7 +285,7 @@ def press_records(t):
         F.when(F.col("lang") != "fr", F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")))
         .alias("url"), F.col("text"),
         F.struct(F.col("source").alias("bioguide_id"), F.col("lang").alias("state")).alias("member"))
-    return _parsed(t.raw("documents").select(F.to_json(record).alias("j")), "j", schema.PRESS_RELEASE)
+    return _parsed(t.spread("documents").select(F.to_json(record).alias("j")), "j", schema.PRESS_RELEASE)
 
 
 @query("flatten_press", """

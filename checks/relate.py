@@ -130,7 +130,7 @@ WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+ \d{1,5}'))
 SELECT upper(regexp_replace(m, '[.\s]', '', 'g')) AS mention, count(*) AS n_mentions,
        count(DISTINCT doc_id) AS n_records FROM m GROUP BY 1""", prelude=False)
 def bill_mentions(t):
-    return detect.pattern_mentions(t.raw("documents"), "text", pattern=r"[A-Za-z]+ \d{1,5}",
+    return detect.pattern_mentions(t.spread("documents"), "text", pattern=r"[A-Za-z]+ \d{1,5}",
                                    record="doc_id")
 
 

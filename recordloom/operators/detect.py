@@ -421,7 +421,8 @@ def role_topic_match(people: DataFrame, activities: DataFrame, filings: DataFram
     who = (people.select(link, person).distinct()
            .join(roles.select(person, category).distinct(), person))
     order = [*desc(value), *asc(record, person, category, "description")]
-    matches = ranked(relevant.join(who, [link, category]).join(current, record), order, limit)
+    # the period filter goes first, it leaves the fewest rows
+    matches = ranked(relevant.join(current, record).join(who, [link, category]), order, limit)
     found = matches.join(roles, [person, category]).select(
         person, *names, "former_committee", role, record, year, "filing_period",
         "registrant_name", "client_name", category, "description", value, "url")

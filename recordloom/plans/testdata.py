@@ -11,6 +11,8 @@ from ..operators.shape import keep_first, row_index
 
 ACTIVITY_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
+_SCHEMAS: dict = {}
+
 
 class TestTables:
     """Lazy views over one folder of test tables; nothing is read until it is used."""
@@ -21,7 +23,22 @@ class TestTables:
         self.spark, self.path = spark, path
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A table; its schema is looked up once per folder."""
+        file = f"{self.path}/{name}.parquet"
+        if file not in _SCHEMAS:
+            _SCHEMAS[file] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(_SCHEMAS[file]).parquet(file)
+
+    def spread(self, name: str) -> DataFrame:
+        """A table over at least as many partitions as there are cores.
+
+        For plans that do heavy work per row before any shuffle: a file with a
+        single row group would keep one core busy. Larger inputs have enough
+        splits and are left alone.
+        """
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
     def filings(self) -> DataFrame:
         quarter = F.quarter("o_orderdate")
@@ -59,7 +76,9 @@ class TestTables:
     def _activity_columns():
         return [
             F.col("l_orderkey").alias("filing_uuid"),
-            F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", *ACTIVITY_ORDER)])
+            F.concat_ws("-", *[F.col(c).cast("string") for c in (
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
             .alias("activity_id"),
             F.col("p_type").alias("general_issue_code"),
             F.concat_ws(" ", "p_name", "p_brand").alias("description"),
