@@ -211,6 +211,16 @@ def corpus_name_search(t):
     }, "ring")
 
 
+@query("name_totals", """
+SELECT registrant_id, min(registrant_name) AS registrant_name, count(*) AS n_records,
+       round(sum(coalesce(income, 0)), 2) AS total_income
+FROM filings WHERE upper(client_name) LIKE '%ER%' OR upper(client_general_description) LIKE '%ER%'
+GROUP BY 1""")
+def name_totals(t):
+    return rounded(detect.name_totals(
+        t.filings(), "er", columns=["client_name", "client_general_description"]))
+
+
 @query("sanity_checks", """
 SELECT 'rows' AS check_name, 'filings' AS detail, CAST(count(*) AS DOUBLE) AS value FROM filings
 UNION ALL SELECT 'rows', 'foreign_entities', count(*) FROM foreign_entities

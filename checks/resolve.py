@@ -1,7 +1,5 @@
 """Entity resolution across the two derived registries."""
 
-from pyspark.sql import functions as F
-
 from recordloom.functions.coerce import leading_int
 from recordloom.operators import resolve
 
@@ -37,8 +35,7 @@ def pools(t):
                                extra=["registrant_house_id", "registrant_state"])
     right = resolve.entity_pool(
         t.registry_b().withColumn("bridge_id", leading_int("senate_id")),
-        ident="organization_name", name="bridge_id", extra=["state"]).drop("norm_name")
-    right = right.withColumn("norm_name", resolve.normalize_name("organization_name"))
+        ident="bridge_id", name="organization_name", extra=["state"], need="organization_name")
     return left, right
 
 
@@ -98,6 +95,18 @@ def er_report(t):
                                      ident="registrant_id", right_name="organization_name")
 
 
+@query("er_attach_canonical", POOLS + """
+, c AS (SELECT left_id, min(right_name) AS canonical_name FROM
+        (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY 1)
+SELECT registrant_id, registrant_name, canonical_name
+FROM registry_a LEFT JOIN c ON registrant_id = left_id""")
+def er_attach_canonical(t):
+    _, _, p1, p2 = passes(t)
+    return resolve.attach_canonical(
+        t.registry_a().select("registrant_id", "registrant_name"), resolve.consolidate([p1, p2]),
+        ident="registrant_id")
+
+
 def _fuzzy(t):
     left, right, p1, p2 = passes(t)
     rest = resolve.residual(left, [p1, p2], ident="registrant_id", name="registrant_name")

@@ -24,30 +24,29 @@ def token_set_scorer():
         row = full
         for ch in b:
             hit = row & places.get(ch, 0)
-            row = ((row + hit) | (row - hit)) & full
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
         return len(a) - row.bit_count()
 
-    def similarity(a: str, b: str) -> float:
-        total = len(a) + len(b)
-        return 200.0 * common_length(a, b) / total if total else 100.0
-
-    def score_one(left: str, right: str) -> float:
-        a, b = set(left.split()), set(right.split())
-        both = " ".join(sorted(a & b))
-        rest_a, rest_b = " ".join(sorted(a - b)), " ".join(sorted(b - a))
-        if both and not (rest_a and rest_b):
+    def score_one(a: frozenset, b: frozenset) -> float:
+        shared, rest_a, rest_b = a & b, " ".join(sorted(a - b)), " ".join(sorted(b - a))
+        if shared and not (rest_a and rest_b):
             return 100.0
-        if not both:
-            return similarity(rest_a, rest_b) if rest_a and rest_b else 0.0
-        full_a, full_b = f"{both} {rest_a}", f"{both} {rest_b}"
-        # shared words are a prefix of both full strings
-        n = len(both)
-        return max(similarity(full_a, full_b), 200.0 * n / (n + len(full_a)),
-                   200.0 * n / (n + len(full_b)))
+        if not shared:
+            total = len(rest_a) + len(rest_b)
+            return 200.0 * common_length(rest_a, rest_b) / total if rest_a and rest_b else 0.0
+        # the shared words and a space lead both full strings, so that part is common and
+        # only the rests need to be compared
+        n = sum(map(len, shared)) + len(shared) - 1
+        size_a, size_b = n + 1 + len(rest_a), n + 1 + len(rest_b)
+        whole = n + 1 + common_length(rest_a, rest_b)
+        return max(200.0 * whole / (size_a + size_b), 200.0 * n / (n + min(size_a, size_b)))
 
     @F.pandas_udf("double")
     def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([score_one(x, y) for x, y in zip(left, right)], dtype="float64")
+        words = {n: frozenset(n.split()) for n in pd.unique(pd.concat([left, right]))}
+        return pd.Series([score_one(words[x], words[y]) for x, y in zip(left, right)],
+                         dtype="float64")
 
     # kept where it is written: a deterministic call would be moved below the
     # de-duplication of candidates and run once per duplicate

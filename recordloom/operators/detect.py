@@ -582,3 +582,18 @@ def corpus_name_search(tables: dict[str, tuple[DataFrame, str, list[str]]], need
             F.explode(F.array_compact(cells)).alias("column_name"))
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+def name_totals(records: DataFrame, needle: str, *, columns, entity: str = "registrant_id",
+                label: str = "registrant_name", value: str = "income",
+                limit: int | None = None) -> DataFrame:
+    """Records that mention a name in any of the columns, counted and summed per entity."""
+    wanted = needle.upper()
+    hit = None
+    for c in columns:
+        here = F.contains(F.upper(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(wanted))
+        hit = here if hit is None else hit | here
+    out = records.where(hit).groupBy(entity).agg(
+        F.min(label).alias(label), F.count("*").alias("n_records"),
+        F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total_income"))
+    return ranked(out, [*desc("total_income"), *asc(entity)], limit)

@@ -100,8 +100,8 @@ def _grams(c, q: int):
         g.alias("g"), F.size(F.filter(F.slice(raw, F.lit(1), i), lambda h: h == g)).alias("k")))
 
 
-def _gram_prefix(names: DataFrame, t: float, q: int) -> DataFrame:
-    """The rarest windows of each name of which every close enough name holds at least one.
+def _gram_prefix(names: DataFrame, t: float, q: int, need: int) -> DataFrame:
+    """The rarest windows of each name of which every close enough name holds ``need``.
 
     Two names of lengths a and b whose edit similarity reaches t have a common
     subsequence of at least ``t * (a + b) / 2`` letters. A letter outside it spoils
@@ -111,8 +111,9 @@ def _gram_prefix(names: DataFrame, t: float, q: int) -> DataFrame:
     * q = 3: ``(2.5 * t - 2) * (a + b) - (words - 1)``
     * q = 2: ``(1.5 * t - 1) * (a + b) + 1``
 
-    shared windows. If two sets share s elements, the first ``size - s + 1`` elements
-    of each, in one common order, meet. Rare windows come first in that order.
+    shared windows. If two sets share s or more elements, the first ``size - s + need``
+    elements of each, in one common order, share ``need`` (at most s) of them. Rare
+    windows come first in that order. ``need`` is smaller where s is.
     """
     words = _tokens("name")
     length = F.length(F.array_join(words, " "))
@@ -127,10 +128,12 @@ def _gram_prefix(names: DataFrame, t: float, q: int) -> DataFrame:
     df = grams.groupBy("g", "k").agg(F.count("*").alias("n"))
     packed = grams.join(df, ["g", "k"]).groupBy("name", "l", "r").agg(
         F.array_sort(F.collect_list(F.struct("n", "g", "k"))).alias("gs"))
-    keep = F.size("gs") - F.ceil(shared - 1e-9) + 1
-    kept = F.slice("gs", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))
-    return packed.select("name", "l", "r", length.alias("len"), F.explode(kept).alias("e")).select(
-        "name", "l", "r", "len", "e.g", "e.k")
+    bound = F.greatest(F.ceil(shared - 1e-9), F.lit(1)).cast("int")
+    wanted = F.least(bound, F.lit(need))
+    kept = F.slice("gs", F.lit(1), F.size("gs") - bound + wanted)
+    return packed.select(
+        "name", "l", "r", length.alias("len"), wanted.alias("need"), F.explode(kept).alias("e")
+    ).select("name", "l", "r", "len", "need", "e.g", "e.k")
 
 
 def similar_name_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
@@ -156,23 +159,30 @@ def similar_name_candidates(left: DataFrame, right: DataFrame, floor: float) ->
         .union(right.select("norm_name", F.lit(False), F.lit(True)))
         .groupBy("name").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
 
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def pairs(x, y, keys):
+        # few bytes turn into many pairs here, so the input is spread over all tasks
         return x.where("l").drop("l", "r").withColumnsRenamed(
-            {"name": "left_norm", "len": "len_l"}).join(
+            {"name": "left_norm", "len": "len_l", "need": "need_l"}).repartition(tasks).join(
             y.where("r").drop("l", "r").withColumnsRenamed(
-                {"name": "right_norm", "len": "len_r"}), keys)
+                {"name": "right_norm", "len": "len_r", "need": "need_r"}), keys)
 
     # 2 * shared / (2 * shared + 1 + rest) >= t, turned into a share of the whole name
     slack = 2.0 / t - 2.0
     words = names.select("name", "l", "r", F.explode(_tokens("name")).alias("token"))
     rare_words = cut_lineage(_weighted_prefix(words, slack / (1.0 + slack)))
-    rare_grams = cut_lineage(_gram_prefix(names, t, q))
+    rare_grams = cut_lineage(_gram_prefix(names, t, q, need=3))
     low = F.lit(t / (2 - t))
     close = ((F.col("len_l") >= F.col("len_r") * low - 1e-9)
              & (F.col("len_r") >= F.col("len_l") * low - 1e-9))
+    by_gram = (
+        pairs(rare_grams, rare_grams, ["g", "k"]).where(close)
+        .groupBy("left_norm", "right_norm")
+        .agg(F.count("*").alias("n"), F.min(F.least("need_l", "need_r")).alias("need"))
+        .where(F.col("n") >= F.col("need")))
     out = None
-    for found in (pairs(rare_words, words, "token"), pairs(words, rare_words, "token"),
-                  pairs(rare_grams, rare_grams, ["g", "k"]).where(close)):
+    for found in (pairs(rare_words, words, "token"), pairs(words, rare_words, "token"), by_gram):
         found = found.select("left_norm", "right_norm")
         out = found if out is None else out.union(found)
     return out.distinct()
@@ -238,6 +248,14 @@ def consolidate(passes: list[DataFrame]) -> DataFrame:
     return out
 
 
+def attach_canonical(records: DataFrame, canonical: DataFrame, *, ident: str,
+                     alias: str = "canonical_name") -> DataFrame:
+    """Records with the name their entity resolved to; null where it did not."""
+    names = canonical.groupBy(F.col("left_id").alias(ident)).agg(
+        F.min("right_name").alias(alias))
+    return records.join(names, ident, "left")
+
+
 def resolution_report(canonical: DataFrame, left: DataFrame, right: DataFrame, queue: DataFrame,
                       *, ident: str, right_name: str) -> DataFrame:
     """Counts per pass, pool sizes, matched share and queue size as (metric, value) rows."""

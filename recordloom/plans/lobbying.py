@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import any_keyword, contains_folded
-from ..operators import detect
+from ..functions.text import BILL_PATTERN, any_keyword, contains_folded
+from ..operators import detect, resolve
 from .catalogue import register_detector
 
 # --- fixed values: word lists and code sets the results depend on -------------
@@ -163,3 +163,49 @@ def d12(tables, **params):
         tables["senate_filings"], tables["senate_activity_lobbyists"],
         tables["congress_committee_assignments"], tables["congress_members"],
         tables["press_releases"], years=CURRENT_YEARS, **params)
+
+
+@register_detector("DX", "bill_mentions", "Bills cited in the activities of both chambers.",
+                   min_count=1, limit=None)
+def dx(tables, **params):
+    texts = tables["senate_lobbying_activities"].select(
+        "activity_id", F.col("description").alias("text")).unionByName(
+        tables["house_lobbying_activities"].select(
+            "activity_id", F.col("specific_issues").alias("text")))
+    return detect.pattern_mentions(texts, "text", pattern=BILL_PATTERN, record="activity_id",
+                                   alias="bill", **params)
+
+
+@register_detector("DZ", "undisclosed_foreign_name",
+                   "Clients named like a company abroad without a foreign entity on the filing.",
+                   limit=200)
+def dz(tables, **params):
+    return detect.undisclosed_foreign_name(
+        tables["senate_filings"], tables["senate_foreign_entities"], **params)
+
+
+# --- entity resolution --------------------------------------------------------
+
+
+def resolve_registrants(tables, *, threshold: float = 92, same_state: bool = False,
+                        bridges=(("registrant_id", "senate_id_registrant", "bridge_senate_id"),),
+                        review_floor: float | None = None):
+    """Senate registrants matched to House organisations: (canonical, queue, report)."""
+    left = resolve.entity_pool(
+        tables["senate_filings"], ident="registrant_id", name="registrant_name",
+        extra=["registrant_house_id", "registrant_state"])
+    right = resolve.entity_pool(
+        tables["house_filings"], ident="senate_id_registrant", name="organization_name",
+        extra=["house_id", "state"], need="organization_name")
+    names = {"ident": "registrant_id", "name": "registrant_name",
+             "right_name": "organization_name"}
+    p1 = resolve.bridge_pass(left, right, bridges, **names)
+    p2 = resolve.exact_pass(left, right, p1, **names,
+                            same=[("registrant_state", "state")] if same_state else [])
+    rest = resolve.residual(left, [p1, p2], ident="registrant_id", name="registrant_name")
+    p3, queue = resolve.fuzzy_pass(rest, right, right_name="organization_name",
+                                   threshold=threshold, review_floor=review_floor)
+    canonical = resolve.consolidate([p1, p2, p3])
+    report = resolve.resolution_report(canonical, left, right, queue, ident="registrant_id",
+                                       right_name="organization_name")
+    return canonical, queue, report

@@ -136,6 +136,15 @@ def log_vintage(df: DataFrame, source: str, url: str, as_of: str, path: str) ->
         "row_count").write.mode("append").parquet(path)
 
 
+def load_external(df: DataFrame, name: str, warehouse: str, *, url: str, as_of: str) -> DataFrame:
+    """Replace an external table and log the pull; returns the stored table."""
+    path = f"{warehouse}/{name}"
+    full_refresh(df, path)
+    stored = df.sparkSession.read.parquet(path)
+    log_vintage(stored, name, url, as_of, f"{warehouse}/_vintages")
+    return stored
+
+
 # --- exports ------------------------------------------------------------------
 
 def write_ranked_csv(df: DataFrame, path: str, order, limit: int) -> None:

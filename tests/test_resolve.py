@@ -133,3 +133,24 @@ def test_fuzzy_equals_brute_force(spark):
     assert {r.left_id: r.right_name for r in accepted.collect()} == want_ok
     assert {r.left_id for r in queue.collect()} == want_queue
     assert want_ok and want_queue
+
+
+def test_preset(spark):
+    from recordloom.plans import lobbying
+
+    senate = spark.createDataFrame(
+        [(1, "Bridge Co", 9, "TX"), (2, "Exact LLC", None, "TX"), (2, "Exact LLC", None, "TX")],
+        "registrant_id int, registrant_name string, registrant_house_id int, registrant_state string")
+    house = spark.createDataFrame(
+        [("Other", 1, "h", "TX"), ("EXACT, INC.", None, "h2", "CA"), (None, 3, "h3", "CA")],
+        "organization_name string, senate_id_registrant int, house_id string, state string")
+    t = {"senate_filings": senate, "house_filings": house}
+    canonical, queue, report = lobbying.resolve_registrants(t)
+    assert {(r.left_id, r.right_name, r.resolution_pass) for r in canonical.collect()} == {
+        (1, "Other", "bridge_senate_id"), (2, "EXACT, INC.", "exact_normalized")}
+    assert queue.count() == 0
+    assert {r.metric: r.value for r in report.collect()}["matched_pct"] == 100.0
+    canonical, _, _ = lobbying.resolve_registrants(t, same_state=True)
+    # the exact pass now fails on the state; the same name is still found as similar
+    assert {(r.left_id, r.resolution_pass) for r in canonical.collect()} == {
+        (1, "bridge_senate_id"), (2, "fuzzy")}
