@@ -46,6 +46,15 @@ def append_dedup(batch: DataFrame, path: str, key: str | None, order: list[Colum
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def replace_batch(df: DataFrame, path: str, source: str, batch: str) -> None:
+    """Write one batch of a table without a key into a folder of its own.
+
+    A load that failed half-way and is run again replaces its batch and adds
+    nothing twice.
+    """
+    full_refresh(df, f"{path}/load_source={source}/load_batch={batch}")
+
+
 def full_refresh(df: DataFrame, path: str, partition_by=()) -> None:
     """Replace a table."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -170,7 +179,9 @@ def write_cards(cards: DataFrame, path: str) -> None:
 
 
 def write_card_texts(cards: DataFrame, path: str, limit: int = 10_000) -> None:
-    """A small chosen set of cards as text, one folder per card."""
-    cards.limit(limit).select(
+    """A small chosen set of cards as text, one folder per card; a larger set is refused."""
+    if cards.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} cards: use write_cards")
+    cards.select(
         card_file_name(F.col("source"), F.col("id")).alias("card"), "card_md").write.mode(
         "overwrite").partitionBy("card").option("lineSep", "\n").text(path)

@@ -38,8 +38,8 @@ def ingest_available(stream: DataFrame, plan, tables: dict[str, Table], warehous
         for name, df in plan(cut_lineage(raw)).items():
             table = tables[name]
             if table.key is None:
-                sinks.full_refresh(df.drop(*flatten.ORIGIN),
-                                   f"{warehouse}/{name}/source={source_id}/batch={batch_id}")
+                sinks.replace_batch(df.drop(*flatten.ORIGIN), f"{warehouse}/{name}", source_id,
+                                    f"stream-{batch_id}")
             else:
                 sinks.append_dedup(df, f"{warehouse}/{name}", table.key, order,
                                    partition_by=table.partition_by, drop=flatten.ORIGIN)

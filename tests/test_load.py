@@ -140,6 +140,23 @@ def test_load_flattens_dedupes_and_resumes(spark, corpus, tmp_path):
         "u1", "u2", "u3", "u4", "u5", "u6"]
 
 
+def test_failed_load_adds_nothing_twice(spark, corpus, tmp_path, monkeypatch):
+    wh = str(tmp_path / "wh")
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "ledger_rows", fail)
+        with pytest.raises(RuntimeError):
+            profile.load(spark, profile.LOBBYING, str(corpus), wh, only="senate_filings")
+    profile.load(spark, profile.LOBBYING, str(corpus), wh, only="senate_filings")
+    t = profile.open_tables(spark, profile.LOBBYING, wh)
+    assert t["senate_filings"].count() == 5
+    assert t["senate_activity_lobbyists"].count() == 2
+    assert spark.read.parquet(f"{wh}/_ledger").count() == 2
+
+
 def test_limited_run_leaves_no_ledger(spark, corpus, tmp_path):
     wh = str(tmp_path / "wh")
     profile.load(spark, profile.LOBBYING, str(corpus), wh, only="senate_filings", limit=2,

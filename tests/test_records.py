@@ -81,6 +81,8 @@ def test_house_and_press_cards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cards")).where("source = 'press_release'").count() == 2
     sinks.write_card_texts(press, str(tmp_path / "texts"))
     assert (tmp_path / "texts" / "card=press_release_short.md").is_dir()
+    with pytest.raises(ValueError):
+        sinks.write_card_texts(press, str(tmp_path / "texts"), limit=1)
 
 
 def claim_table(spark, *rows):
