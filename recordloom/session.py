@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,10 @@ RUNTIME_CONF = {
 }
 
 
+#: Folders written by ``cut_lineage`` and not yet dropped.
+_STAGED: list[str] = []
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -59,10 +64,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage_path(spark: SparkSession, what: str = "cut") -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame that several branches need to the shared folder and read it from there.
+    """Write a frame that several branches need to the shared folder as Parquet and read it from there.
 
-    The copy survives the loss of executors, and the branches do not recompute it.
+    The copy survives the loss of executors, the branches do not recompute it, and
+    they read only their own columns, with filters and sizes known to the planner.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = stage_path(spark)
+    df.write.parquet(path)
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what ``cut_lineage`` has written so far; call it when the results are stored."""
+    n = len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
