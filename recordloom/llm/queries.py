@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import line_quality
+from recordloom.llm import line_quality, sanitise
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ def line_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(docs, columns=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "n_removed_words")
+
+
+@query("op3_sanitise")
+def sanitise_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return sanitise.find(docs, columns=["doc_id"]).drop("_base", "_terms")
