@@ -36,3 +36,8 @@ def keyed_by_text(docs: DataFrame, text: str = "text") -> list[Column]:
     """Two longs that name a text; copies of a text share them."""
     t = text_of(text)
     return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2")]
+
+
+def md5_number(text: Column) -> Column:
+    """60 bits of the text's MD5, a number that other engines compute alike."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recordloom.llm.common import SPACE_CHARS, let, text_of, total, words_of
+from recordloom.llm.common import SPACE_CHARS, let, md5_number, text_of, total, words_of
 from recordloom.session import cut_lineage
 
 # Fixed values of the base rules.
@@ -87,11 +87,6 @@ def _normal_lines(t: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(t), r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?")
 
 
-def line_hash(line: Column) -> Column:
-    """60 bits of the line's MD5, which other engines compute alike (it breaks ties)."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
-
-
 def _line_rows(docs: DataFrame, host: str, text: str) -> DataFrame:
     """One row per distinct text and distinct line: host, text key, line hash, words of all its occurrences."""
     t = text_of(text)
@@ -106,7 +101,7 @@ def _line_rows(docs: DataFrame, host: str, text: str) -> DataFrame:
 
     hashed = F.transform(
         F.filter(_normal_lines(t), lambda x: F.length(F.trim(x)) > 0),
-        lambda x: F.struct(line_hash(F.trim(x)).alias("h"),
+        lambda x: F.struct(md5_number(F.trim(x)).alias("h"),
                            F.size(F.split(F.trim(x), " ")).alias("n")))
     rows = docs.select(
         F.col(host).alias("_host"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
@@ -180,7 +175,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: i
 def without_lines(text: Column, hashes: Column) -> Column:
     """The text without the lines whose normal form has one of the hashes."""
     normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " "))
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, line_hash(normal(x))))
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, md5_number(normal(x))))
     return F.when(hashes.isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import line_quality, sanitise
+from recordloom.llm import line_quality, mixing, sanitise, sharding
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -75,3 +75,35 @@ def line_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitise_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return sanitise.find(docs, columns=["doc_id"]).drop("_base", "_terms")
+
+
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s),
+-- the level: the least rate at which the limited targets make up the whole
+c AS (SELECT a.source, a.n, a.w, (SELECT sum(least(2.0 * b.n, b.w * (2.0 * a.n / a.w))) FROM w b) AS filled FROM w a),
+low AS (SELECT coalesce(max(2.0 * n / w) FILTER (filled <= (SELECT 1.5 * sum(n) FROM w)), 0) AS r FROM c),
+lev AS (SELECT (SELECT 1.5 * sum(n) - coalesce(sum(2.0 * n) FILTER (2.0 * n / w <= r), 0) FROM w)
+             / (SELECT sum(w) FILTER (2.0 * n / w > r) FROM w) AS r FROM low),
+t AS (SELECT source, n, least(2.0 * n, coalesce(w * lev.r, 2.0 * n)) AS target,
+        CAST(floor(least(2.0 * n, coalesce(w * lev.r, 2.0 * n)) + 0.5) AS BIGINT) AS budget FROM w, lev),
+r AS (SELECT d.doc_id, d.size, t.n, t.target, CASE WHEN t.n = 0 THEN 0 ELSE budget // t.n END AS epochs,
+        CASE WHEN t.n = 0 THEN 0 ELSE budget % t.n END AS rest,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY
+          ('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT, d.doc_id NULLS LAST, d.size
+          ROWS UNBOUNDED PRECEDING) AS e
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(epochs * size + greatest(0, least(size, rest - (e - size))) AS BIGINT) AS taken FROM r
+"""
+
+
+@query("op7_mixing", MIX_SQL)
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+@query("op1_sharding")
+def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id", "source"))
