@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import decontaminate, line_quality, mixing, sanitise, sharding
+from recordloom.llm import decontaminate, line_quality, mixing, sanitise, sharding, shingle_join
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -133,3 +133,8 @@ SELECT doc_id, item_id, n AS n_item_words, total AS n_matched, best AS n_window,
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_shingle_join")
+def shingle_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.classes(_table(spark, sf_dir, "documents"))
