@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import decontaminate, line_quality, mixing, sanitise, sharding, shingle_join
+from recordloom.llm import decontaminate, html_blocks, line_quality, mixing, sanitise, sharding, shingle_join
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -138,3 +138,8 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_shingle_join")
 def shingle_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.classes(_table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_blocks")
+def html_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
