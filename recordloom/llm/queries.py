@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import decontaminate, html_blocks, line_quality, mixing, sanitise, sharding, shingle_join
+from recordloom.llm import decontaminate, html_blocks, line_quality, mixing, sanitise, sharding, shingle_join, warc_zip
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -143,3 +143,8 @@ def shingle_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html_blocks")
 def html_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+
+
+@query("op9_warc_zip")
+def warc_zip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
