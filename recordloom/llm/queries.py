@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import decontaminate, html_blocks, line_quality, mixing, sanitise, sharding, shingle_join, warc_zip
+from recordloom.llm import decontaminate, html_blocks, licences, line_quality, mixing, sanitise, sharding, shingle_join, warc_zip
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -148,3 +148,13 @@ def html_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_warc_zip")
 def warc_zip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
+
+
+@query("op8_licences")
+def licences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["licence"])))
+    spans = F.transform("found", lambda x: F.concat_ws(":", x["licence"], x["start"], x["end"]))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"),
+                        F.array_join(names, ",").alias("licences"), F.array_join(spans, ",").alias("spans"),
+                        F.round(F.array_max(F.transform("found", lambda x: x["dice"])), 6).alias("best_dice"))
