@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import decontaminate, html_blocks, licences, line_quality, mixing, sanitise, sharding, shingle_join, warc_zip
+from recordloom.llm import decontaminate, html_blocks, licences, line_quality, mixing, sanitise, sharding, shingle_join, url_lists, warc_zip
+from recordloom.llm.common import md5_number
 from recordloom.session import tune
 
 QUERIES: dict = {}
@@ -158,3 +159,64 @@ def licences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_found"),
                         F.array_join(names, ",").alias("licences"), F.array_join(spans, ",").alias("spans"),
                         F.round(F.array_max(F.transform("found", lambda x: x["dice"])), 6).alias("best_dice"))
+
+
+def _fetched(pages: DataFrame) -> DataFrame:
+    """The pages with a fetch date that follows from the id, as the table has none."""
+    return pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
+
+
+def _dated_lists(pages: DataFrame) -> DataFrame:
+    """A log of list entries about the hosts of the table, dated by the hash of what they name."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct() \
+        .withColumn("n", md5_number(F.col("host")))
+    parents = hosts.select(F.concat(F.lit("d"), F.substring_index("host", ".", -3)).alias("d")).distinct() \
+        .withColumn("n", md5_number(F.col("d")))
+
+    def logged(rows, kind, value, start, days, action, where):
+        day = F.date_add(F.lit(start).cast("date"), days.cast("int"))
+        return rows.where(where).select(F.lit(kind).alias("kind"), value.alias("value"), day.alias("dated"),
+                                        F.lit(action).alias("action"))
+
+    n, host = F.col("n"), F.col("host")
+    third = n % 3 == 0
+    return (
+        logged(hosts, "host", host, "2024-01-01", n % 200, "add", third)
+        .unionByName(logged(hosts, "host", host, "2024-01-01", n % 200 + 40 + n % 50, "remove", third))
+        .unionByName(logged(hosts, "host", host, "2024-01-01", n % 200 + 150, "add", n % 6 == 0))
+        .unionByName(logged(hosts, "prefix", F.concat(host, F.lit("/en/")), "2024-02-01", n % 300, "add", n % 5 == 1))
+        .unionByName(logged(parents, "domain", F.substring("d", 2, 1000), "2024-03-01", n % 200, "add", n % 4 == 0))
+    )
+
+
+URL_LIST_SQL = r"""
+WITH p AS (SELECT *, DATE '2024-01-01' + (page_id * 37 % 366)::INTEGER AS day,
+    nullif(rtrim(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)', 1)), '.'), '') AS host,
+    regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS raw_path FROM pages),
+c AS (SELECT *, CASE WHEN raw_path = '' THEN '/' ELSE raw_path END AS path FROM p),
+h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 15))::BIGINT AS n FROM c WHERE host IS NOT NULL),
+d AS (SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS d FROM h),
+dn AS (SELECT d, ('0x' || substr(md5('d' || d), 1, 15))::BIGINT AS n FROM d),
+e AS (SELECT 'host' AS kind, host AS value, DATE '2024-01-01' + (n % 200)::INTEGER AS dated, 'add' AS action FROM h WHERE n % 3 = 0
+  UNION ALL SELECT 'host', host, DATE '2024-01-01' + (n % 200 + 40 + n % 50)::INTEGER, 'remove' FROM h WHERE n % 3 = 0
+  UNION ALL SELECT 'host', host, DATE '2024-01-01' + (n % 200 + 150)::INTEGER, 'add' FROM h WHERE n % 6 = 0
+  UNION ALL SELECT 'prefix', host || '/en/', DATE '2024-02-01' + (n % 300)::INTEGER, 'add' FROM h WHERE n % 5 = 1
+  UNION ALL SELECT 'domain', d, DATE '2024-03-01' + (n % 200)::INTEGER, 'add' FROM dn WHERE n % 4 = 0),
+i AS (SELECT * FROM (SELECT kind, value, dated, action, lead(dated) OVER (PARTITION BY kind, value ORDER BY dated) AS until
+        FROM (SELECT kind, value, dated, max(action) AS action FROM e GROUP BY ALL)) WHERE action = 'add'),
+m AS (SELECT page_id, url, day, kind || ':' || value AS rule, dated,
+        row_number() OVER (PARTITION BY page_id, url, day ORDER BY CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC,
+          length(value) DESC, value DESC, dated DESC) AS k, count(*) OVER (PARTITION BY page_id, url, day) AS n
+      FROM c JOIN i ON (kind = 'host' AND value = host OR kind = 'domain' AND (host = value OR ends_with(host, '.' || value))
+                        OR kind = 'prefix' AND starts_with(host || path, value))
+        AND day >= dated AND (until IS NULL OR day < until))
+SELECT c.page_id, c.host, m.rule IS NOT NULL AS blocked, m.rule, CAST(m.dated AS VARCHAR) AS listed_from, coalesce(m.n, 0) AS n_active
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND c.url = m.url AND m.k = 1
+"""
+
+
+@query("op5_url_lists", URL_LIST_SQL)
+def url_lists_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_lists.judge(_fetched(pages), _dated_lists(pages), columns=["page_id"])
+    return judged.withColumn("listed_from", F.col("listed_from").cast("string"))
