@@ -27,7 +27,7 @@ CARD_SQL = r"""
     || '- State: None; country: ' || client_country || '; PPB country: None' || chr(10)
     || '- Description: ' || client_general_description || chr(10) || chr(10)
     || '## Financials' || chr(10)
-    || '- Income reported: ' || coalesce(printf('%.2f', income), 'None') || chr(10)
+    || '- Income reported: ' || coalesce(regexp_replace(printf('%.6f', income), '(\.\d)(\d*?)0+$', '\1\2'), 'None') || chr(10)
     || '- Expenses reported: None (no method)' || chr(10) || chr(10)
     || '## Lobbying activities' AS line
   FROM filings

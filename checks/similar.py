@@ -49,7 +49,7 @@ def knn_batch(t):
 
 @query("knn_grid", BATCH_SQL, prelude=False)
 def knn_grid(t):
-    return rounded(similar.knn_batch(_base(t), _base(t), 10, max_shipped=16, block_rows=200), 6)
+    return rounded(similar.knn_batch(_base(t), _base(t), 10, block_bytes=20_000), 6)
 
 
 @query("knn_lsh")

@@ -105,10 +105,16 @@ PRESS_CUT = "\n\n_(truncated; full text {text_length} chars)_"
 PRESS_LENGTH = 5000
 
 
+def amount_text(amount: Column) -> Column:
+    """A number in plain digits without trailing zeros, but with one decimal at least."""
+    plain = F.regexp_replace(F.format_string("%.6f", amount), r"(\.\d)(\d*?)0+$", "$1$2")
+    return F.when(amount.isNotNull(), plain)
+
+
 def template(text: str, columns, **values: Column) -> Column:
     """A line with ``{column}`` or ``{column|text if empty}`` filled in; null shows as None.
 
-    Amounts show two decimals. A column the table does not have counts as null.
+    Amounts show the decimals they have, one at least. A column the table does not have counts as null.
     """
     kinds = dict(columns)
     parts = []
@@ -123,8 +129,7 @@ def template(text: str, columns, **values: Column) -> Column:
         elif name not in kinds:
             c = F.lit(None).cast("string")
         elif kinds[name] == "double":
-            c = F.format_string("%.2f", F.col(name))
-            c = F.when(F.col(name).isNotNull(), c)
+            c = amount_text(F.col(name))
         else:
             c = F.col(name).cast("string")
         if fallback:

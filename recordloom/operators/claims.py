@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coerce import _col, strip_null
-from ..functions.text import PHRASE_PATTERN, PHRASE_STOP_WORDS, find_all
+from ..functions.text import PHRASE_PATTERN, find_all
 
 # Kinds of record cards, text that stands for what is held back.
 CARD_NAME = r"^(senate_filing|house_filing|press_release)_(.+)\.md$"
@@ -20,8 +20,7 @@ def entity_mentions(claims: DataFrame, *, claim: str = "claim_id", statement: st
     return (
         claims.select(claim, F.posexplode(find_all(statement, pattern, group)).alias("pos", "e"))
         .select(claim, "pos", strip_null("e").alias("entity"))
-        .where(F.length("entity").between(shortest, longest)
-               & ~F.lower("entity").isin(*PHRASE_STOP_WORDS))
+        .where(F.length("entity").between(shortest, longest))
         .groupBy(claim, "entity").agg(F.min("pos").alias("first_pos"))
     )
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import FOREIGN_SUFFIXES, name_key_simple, normalize_name
 from ..functions.text import any_keyword, bill_key, contains_folded, find_all, first_label
-from .shape import (as_list, asc, decorate, desc, joined_set, pct_change, quarter_number,
+from ..session import cut_lineage
+from .shape import (as_list, asc, decorate, desc, exact_quantile, joined_set, pct_change, quarter_number,
                     quarter_ordinal, ranked, safe_ratio)
 
 QUARTERLY = ("Q1", "Q2", "Q3", "Q4")
@@ -277,8 +278,8 @@ def new_entrants(filings: DataFrame, *, entity: str = "registrant_id",
                       (F.col(entity) == F.col("_e")) & (F.col("_ord") == F.col("_f")))
             .groupBy(entity)
             .agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("first_total")))
-        floor = first_totals.agg(
-            F.percentile_approx("first_total", 1 - top_share, 1_000_000).alias("floor")).scalar()
+        first_totals = cut_lineage(first_totals)
+        floor = exact_quantile(first_totals, "first_total", 1 - top_share).scalar()
         fresh = first_totals.where(F.col("first_total") >= floor)
     out = (
         rows.join(fresh.select(entity), entity, "left_semi").groupBy(entity)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 
 def as_list(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -117,3 +119,23 @@ def row_index(df: DataFrame, parent: str, order: list[str], alias: str) -> DataF
         .withColumn(alias, (F.col("_offset") + F.row_number().over(within) - 1).cast("int"))
         .drop("_parent", "_slice", "_offset")
     )
+
+
+def exact_quantile(df: DataFrame, column: str, share: float) -> DataFrame:
+    """One row with the least value (``floor``) that at least ``share`` of the non-null values do not exceed.
+
+    Values are counted, the distinct ones sorted in ranges, and the counts summed range by range, so
+    that only the range that holds the answer is summed value by value.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id()))
+    sums = placed.groupBy("_p").agg(F.sum("_n").alias("_s"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    need = placed.agg(F.ceil(F.sum("_n") * F.lit(share)).alias("x")).scalar()
+    found = (
+        sums.withColumns({"_before": F.coalesce(F.sum("_s").over(before), F.lit(0)), "_need": F.greatest(need, F.lit(1))})
+        .where((F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_s") >= F.col("_need"))))
+    inside = placed.join(found, "_p").withColumn(
+        "_at", F.col("_before") + F.sum("_n").over(Window.partitionBy("_p").orderBy("_v")))
+    return inside.where(F.col("_at") >= F.col("_need")).agg(F.min("_v").alias("floor"))

@@ -54,7 +54,7 @@ def embed_column(df: DataFrame, ident: str, text: str,
     rows = df.where(F.col(text).isNotNull()).select(
         F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
     if limit is not None:
-        rows = rows.limit(limit)
+        rows = rows.orderBy("id").limit(limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -102,40 +102,15 @@ def knn_by_text(base: DataFrame, embedder: TextEmbedder, query: str, k: int, **k
 
 
 def knn_batch(queries: DataFrame, base: DataFrame, k: int, *, ident: str = "id",
-              vector: str = "embedding", max_shipped: int = 4096,
-              block_rows: int = 50_000) -> DataFrame:
+              vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
     """The k nearest base rows of every query row, exactly.
 
-    Up to ``max_shipped`` queries are sent to the tasks, and each Arrow batch of
-    the base is compared with all of them but gives at most its own k nearest.
-    More queries are cut into blocks that meet the blocks of the base in a grid;
-    every cell again gives only k rows per query.
+    Queries and base are cut into blocks of ``block_bytes`` at most that meet in a grid; every
+    cell gives only its k nearest per query. Nothing passes the driver but the two counts.
     """
-    spark = base.sparkSession
     kind = dict(base.dtypes)[ident]
     out_schema = f"query_id {kind}, neighbor_id {kind}, distance double"
-    head = queries.select(ident, vector).limit(max_shipped + 1).collect()
-    if not head:
-        return spark.createDataFrame([], out_schema + ", rank int")
-    if len(head) <= max_shipped:
-        shipped = spark.sparkContext.broadcast(
-            (np.array([r[0] for r in head]), np.array([r[1] for r in head], dtype="float64")))
-        nearest = _nearest_by_value()
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shipped.value
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["v"].to_numpy()).astype("float64")
-                    rows, cols, dist = nearest(x, q, k)
-                    yield pd.DataFrame({"query_id": names[cols],
-                                        "neighbor_id": batch["i"].to_numpy()[rows],
-                                        "distance": dist})
-
-        near = base.select(F.col(ident).alias("i"), F.col(vector).alias("v")).mapInPandas(
-            scan, out_schema)
-    else:
-        near = _grid(queries, base, k, ident, vector, out_schema, block_rows)
+    near = _grid(queries, base, k, ident, vector, out_schema, block_bytes)
     return top_k_per_key(near, "query_id", asc("distance", "neighbor_id"), k, "rank")
 
 
@@ -155,9 +130,12 @@ def _nearest_by_value():
     return nearest
 
 
-def _grid(queries, base, k, ident, vector, out_schema, block_rows):
-    n_base = max(1, -(-base.count() // block_rows))
-    n_query = max(1, -(-queries.count() // block_rows))
+def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
+    def blocks(df):
+        size = df.agg(F.sum(8 * F.size(vector))).first()[0] or 0
+        return max(1, -(-size // block_bytes))
+
+    n_base, n_query = blocks(base), blocks(queries)
 
     def block(c, n):
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -176,8 +154,10 @@ def _grid(queries, base, k, ident, vector, out_schema, block_rows):
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         x = np.stack(left["v"].to_numpy()).astype("float64")
         parts = []
-        for start in range(0, len(right), 1024):
-            some = right.iloc[start:start + 1024]
+        # a strip of the distance matrix is no larger than a block
+        width = max(1, block_bytes // (8 * len(left)))
+        for start in range(0, len(right), width):
+            some = right.iloc[start:start + width]
             q = np.stack(some["v"].to_numpy()).astype("float64")
             r, c, dist = nearest(x, q, k)
             parts.append(pd.DataFrame({"query_id": some["i"].to_numpy()[c],

@@ -136,33 +136,33 @@ def d9(tables, limit, min_score, compat):
 
 @register_detector("D10", "fara_gap_narrowed",
                    "Foreign-linked filings whose registrant is not in the foreign-agent registry.",
-                   limit=200, compat=False)
+                   limit=200, years=CURRENT_YEARS, compat=False)
 def d10(tables, **params):
     return detect.registry_gap_candidates(
         tables["senate_filings"], tables["senate_foreign_entities"], tables["fara_registrants"],
-        tables["senate_lobbying_activities"], years=CURRENT_YEARS,
+        tables["senate_lobbying_activities"],
         topic_keywords=FOREIGN_GOVERNMENT_TOPICS, owner_keywords=STATE_OWNED_NAMING, **params)
 
 
 @register_detector("D11", "revolving_door_committee_match",
                    "Former committee staff now working on that committee's topics.",
-                   limit=200, link="activity_id")
+                   limit=200, years=CURRENT_YEARS, link="activity_id")
 def d11(tables, **params):
     return detect.role_topic_match(
         tables["senate_activity_lobbyists"], tables["senate_lobbying_activities"],
         tables["senate_filings"], labels=COMMITTEE_LABELS, topics=COMMITTEE_TOPICS,
-        years=CURRENT_YEARS, **params)
+        **params)
 
 
 @register_detector("D12", "committee_say_vs_pay",
                    "Filings for a client by former committee staff, next to members' statements.",
                    limit=200, target_committee="finance", client_pattern="%apollo%",
-                   press_term="private equity", compat=False)
+                   press_term="private equity", years=CURRENT_YEARS, compat=False)
 def d12(tables, **params):
     return detect.say_vs_pay(
         tables["senate_filings"], tables["senate_activity_lobbyists"],
         tables["congress_committee_assignments"], tables["congress_members"],
-        tables["press_releases"], years=CURRENT_YEARS, **params)
+        tables["press_releases"], **params)
 
 
 @register_detector("DX", "bill_mentions", "Bills cited in the activities of both chambers.",

@@ -77,7 +77,7 @@ def _read(spark, source: Source, paths):
 
 
 def load_source(spark: SparkSession, profile: Profile, source: Source, root: str, warehouse: str,
-                *, years=readers.ALL_YEARS, limit: int | None = None, force: bool = False) -> None:
+                *, years=None, limit: int | None = None, force: bool = False) -> None:
     """Load the new and changed files of one source.
 
     The ledger is written after the tables, and not at all for a limited run, so

@@ -29,17 +29,6 @@ class TestTables:
             _SCHEMAS[file] = self.spark.read.parquet(file).schema
         return self.spark.read.schema(_SCHEMAS[file]).parquet(file)
 
-    def spread(self, name: str) -> DataFrame:
-        """A table over at least as many partitions as there are cores.
-
-        For plans that do heavy work per row before any shuffle: a file with a
-        single row group would keep one core busy. Larger inputs have enough
-        splits and are left alone.
-        """
-        df = self.raw(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     def filings(self) -> DataFrame:
         quarter = F.quarter("o_orderdate")
         words = F.array(*[F.lit(f"{w}_quarter") for w in ("first", "second", "third", "fourth")])

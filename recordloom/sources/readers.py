@@ -14,17 +14,18 @@ from ..session import cut_lineage
 
 CORRUPT = "_corrupt_record"
 SOURCE = ("source_path", "source_file", "source_start")
-# The years a {year} pattern stands for when none is asked for.
-ALL_YEARS = (2022, 2023, 2024, 2025, 2026)
 
 
-def expand_globs(spark: SparkSession, root: str, pattern: str, years=ALL_YEARS) -> list[str]:
+def expand_globs(spark: SparkSession, root: str, pattern: str, years=None) -> list[str]:
     """Paths that match a pattern under a root, sorted; no match gives an empty list.
 
-    ``{year}`` stands for each of the years. Only names are listed, by the file
-    system the root lives on.
+    ``{year}`` stands for each of the years, or for any year where none are named. Only
+    names are listed, by the file system the root lives on.
     """
-    patterns = [pattern.format(year=y) for y in years] if "{year}" in pattern else [pattern]
+    if "{year}" in pattern:
+        patterns = [pattern.format(year=y) for y in (years or ["[0-9][0-9][0-9][0-9]"])]
+    else:
+        patterns = [pattern]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found = []

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.shape import keep_first
 
@@ -14,13 +13,19 @@ LEDGER = ("source_id string, file_path string, file_sha256 string, row_count big
 MANIFEST = "source string, url string, as_of string, row_count bigint"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_if_there(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """A Parquet table, or ``None`` if there is none at the path yet."""
-    try:
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        return reader.parquet(path)
-    except AnalysisException:
+    """A Parquet table, or ``None`` if there is nothing at the path yet; a table that cannot be read is
+    an error."""
+    if not exists(spark, path):
         return None
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
 
 
 def only_new(batch: DataFrame, stored: DataFrame | None, key: str | None, order: list[Column],
@@ -173,15 +178,6 @@ def card_file_name(source, ident) -> Column:
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
-    """Cards as a table by kind, with the file name each of them would have."""
+    """Cards of any number as a table by kind, with text and file name of each."""
     cards.withColumn("file_name", card_file_name(F.col("source"), F.col("id"))).write.mode(
         "overwrite").partitionBy("source").parquet(path)
-
-
-def write_card_texts(cards: DataFrame, path: str, limit: int = 10_000) -> None:
-    """A small chosen set of cards as text, one folder per card; a larger set is refused."""
-    if cards.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} cards: use write_cards")
-    cards.select(
-        card_file_name(F.col("source"), F.col("id")).alias("card"), "card_md").write.mode(
-        "overwrite").partitionBy("card").option("lineSep", "\n").text(path)
