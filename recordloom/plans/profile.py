@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -71,8 +72,7 @@ def _read(spark, source: Source, paths):
     if source.format == "jsonl":
         return readers.read_jsonl(spark, paths, source.schema, strict=True), None
     if source.format == "xml_dir":
-        dirs = sorted({p.rsplit("/", 1)[0] for p in paths})
-        return readers.read_xml_dir(spark, dirs, source.schema)
+        return readers.read_xml_files(spark, paths, source.schema)
     raise ValueError(f"unknown format: {source.format}")
 
 
@@ -80,10 +80,10 @@ def load_source(spark: SparkSession, profile: Profile, source: Source, root: str
                 *, years=None, limit: int | None = None, force: bool = False) -> None:
     """Load the new and changed files of one source.
 
-    The ledger is written after the tables, and not at all for a limited run, so
-    a failed or partial load is taken up again by the next one over the same files
-    and replaced by it. Limited runs over a part of the years belong in a scratch
-    warehouse.
+    The ledger is written after the tables and says which load counts for a file. A load that fails, is
+    forced, or finds a changed file replaces the file's rows in tables without a key, whatever other
+    files come with it; keyed tables take a key once. A limited run leaves no ledger entry, so
+    the next load reads its files again and replaces its rows.
     """
     pattern = source.glob + ("/*.xml" if source.format == "xml_dir" else "")
     found = readers.expand_globs(spark, root, pattern, years)
@@ -99,29 +99,24 @@ def load_source(spark: SparkSession, profile: Profile, source: Source, root: str
         return
     raw, broken = _read(spark, source, paths)
     if source.format == "xml_dir":
-        raw = raw.join(todo.select(F.col("file_path").alias("source_path")), "source_path",
-                       "left_semi")
         sinks.full_refresh(broken, f"{warehouse}/_quarantine/{source.ident}")
     if limit is not None:
-        raw = raw.limit(limit)
+        raw = cut_lineage(raw.limit(limit))  # the same rows for every table
     # rows of one split keep their order in this number
     raw = raw.withColumn("source_row", F.monotonically_increasing_id())
     tables = fan_out(raw, source.plan, staged=source.format != "xml_dir")
     order = [F.col(c).asc_nulls_last() for c in flatten.ORIGIN]
-    # the files of a load name its batch, so the same load gives the same batch again
-    piece = F.xxhash64("file_path", "file_sha256").cast("decimal(38,0)")
-    batch = todo.agg(F.sha1(F.sum(piece).cast("string")).alias("b")).first()["b"][:16]
+    batch = uuid.uuid4().hex[:16]
     for name, df in tables.items():
         table = profile.tables[name]
         if table.key is None:
-            sinks.replace_batch(df.drop(*flatten.ORIGIN), f"{warehouse}/{name}", source.ident,
-                                batch)
+            rows = df.withColumn("load_file", F.col("source_path")).drop(*flatten.ORIGIN)
+            sinks.append_load(rows, f"{warehouse}/{name}", source.ident, batch)
             continue
         sinks.append_dedup(df, f"{warehouse}/{name}", table.key, order,
                            partition_by=table.partition_by, drop=flatten.ORIGIN)
-    if limit is None:
-        sinks.ledger_rows(todo, emitted_rows(tables), source.ident).write.mode("append").parquet(
-            ledger_path)
+    sinks.ledger_rows(todo, emitted_rows(tables), source.ident, batch).write.mode("append").parquet(
+        ledger_path if limit is None else f"{warehouse}/_limited")
 
 
 def emitted_rows(tables: dict[str, DataFrame]) -> DataFrame:
@@ -145,8 +140,11 @@ def load(spark: SparkSession, profile: Profile, root: str, warehouse: str, *, on
 def open_tables(spark: SparkSession, profile: Profile, warehouse: str) -> dict[str, DataFrame]:
     """The loaded tables; a table without files is empty."""
     out = {}
+    loads = sinks.current_loads(spark, f"{warehouse}/_ledger", f"{warehouse}/_limited")
     for name, table in profile.tables.items():
         df = sinks.read_if_there(spark, f"{warehouse}/{name}")
+        if df is not None and table.key is None:
+            df = sinks.visible(df, loads)
         out[name] = (df.select(*[name for name, _ in table.fields()]) if df is not None
                      else spark.createDataFrame([], table.schema))
     return out

@@ -124,8 +124,12 @@ def read_xml_dir(spark: SparkSession, dirs, schema: str, roots=None
     The files hold one of several root elements; each record gets the ``doc_type``
     of its root. A malformed file is set aside as a whole and reported once.
     """
+    return read_xml_files(spark, [f"{d.rstrip('/')}/*.xml" for d in dirs], schema, roots)
+
+
+def read_xml_files(spark: SparkSession, paths, schema: str, roots=None) -> tuple[DataFrame, DataFrame]:
+    """``read_xml_dir`` for named files or patterns."""
     roots = roots or HOUSE_ROOTS
-    paths = [f"{d.rstrip('/')}/*.xml" for d in dirs]
     parts = None
     for doc_type, tag in roots.items():
         df = read_xml(spark, paths, tag, schema).withColumn("doc_type", F.lit(doc_type))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.shape import keep_first
+from .files import sha256_of
 
 LEDGER = ("source_id string, file_path string, file_sha256 string, row_count bigint, "
-          "ingested_at timestamp")
+          "ingested_at timestamp, load_batch string")
+STREAM = "stream-"
 MANIFEST = "source string, url string, as_of string, row_count bigint"
 
 
@@ -51,13 +54,43 @@ def append_dedup(batch: DataFrame, path: str, key: str | None, order: list[Colum
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def replace_batch(df: DataFrame, path: str, source: str, batch: str) -> None:
-    """Write one batch of a table without a key into a folder of its own.
+def append_load(df: DataFrame, path: str, source: str, batch: str) -> None:
+    """Append the rows of one load to a table without a key.
 
-    A load that failed half-way and is run again replaces its batch and adds
-    nothing twice.
+    Rows name their file (``load_file``) and load. Which load counts for a file is in the ledger, so rows of
+    a load that failed, or of an earlier state of a file, stay unseen.
     """
-    full_refresh(df, f"{path}/load_source={source}/load_batch={batch}")
+    df.withColumns({"load_source": F.lit(source), "load_batch": F.lit(batch)}).write.mode("append").partitionBy(
+        "load_source", "load_batch").parquet(path)
+
+
+def replace_batch(df: DataFrame, path: str, source: str, batch: str) -> None:
+    """Write one batch of a stream to a table without a key, in place of an earlier try of the batch."""
+    full_refresh(df, f"{path}/load_source={source}/load_batch={STREAM}{batch}")
+
+
+def current_loads(spark: SparkSession, ledger_path: str, limited_path: str) -> DataFrame | None:
+    """The load that counts for each file: the last complete one, or else the last limited one."""
+    parts = [(read_if_there(spark, p), complete) for p, complete in ((ledger_path, 1), (limited_path, 0))]
+    rows = None
+    for df, complete in parts:
+        if df is not None:
+            part = df.withColumn("_c", F.lit(complete))
+            rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return None
+    return rows.groupBy("source_id", "file_path").agg(
+        F.max_by("load_batch", F.struct("_c", "ingested_at")).alias("load_batch"))
+
+
+def visible(stored: DataFrame, loads: DataFrame | None) -> DataFrame:
+    """The rows of a table without a key that belong to a stream or to the load that counts for their file."""
+    streamed = stored.where(F.col("load_batch").startswith(STREAM))
+    if loads is None:
+        return streamed
+    own = (stored["load_source"] == loads["source_id"]) & (stored["load_batch"] == loads["load_batch"]) & (
+        stored["load_file"] == loads["file_path"])
+    return streamed.unionByName(stored.join(loads, own, "left_semi"))
 
 
 def full_refresh(df: DataFrame, path: str, partition_by=()) -> None:
@@ -83,19 +116,18 @@ def laid_out(df: DataFrame, table: str, *, bucket_by: str, buckets: int, sort_by
 
 # --- file ledger --------------------------------------------------------------
 
-def fingerprints(spark: SparkSession, paths, max_hashed: int = 256 << 20) -> DataFrame:
-    """A fingerprint per file: SHA-256 of the content, or of size and time for huge files.
+def fingerprints(spark: SparkSession, paths) -> DataFrame:
+    """The SHA-256 of every file's content, whatever its size; empty files are passed over.
 
-    Files are hashed where they are read; contents never reach the driver.
+    Tasks read the files in chunks; contents neither fill a row nor reach the driver.
     """
-    files = spark.read.format("binaryFile").load(list(paths))
-    small = files.where(F.col("length") <= max_hashed).select(
-        F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_sha256"))
-    large = files.where(F.col("length") > max_hashed).select(
-        F.col("path").alias("file_path"),
-        F.sha2(F.concat_ws(":", F.col("length").cast("string"),
-                           F.col("modificationTime").cast("string")), 256).alias("file_sha256"))
-    return small.unionByName(large)
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file_path"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file_path": batch["file_path"], "file_sha256": batch["file_path"].map(sha256_of)})
+
+    return files.mapInPandas(hashed, "file_path string, file_sha256 string")
 
 
 def files_to_do(found: DataFrame, ledger: DataFrame | None, source_id: str,
@@ -109,12 +141,12 @@ def files_to_do(found: DataFrame, ledger: DataFrame | None, source_id: str,
     return found.join(seen, ["file_path", "file_sha256"], "left_anti")
 
 
-def ledger_rows(done: DataFrame, counts: DataFrame, source_id: str) -> DataFrame:
+def ledger_rows(done: DataFrame, counts: DataFrame, source_id: str, batch: str = "") -> DataFrame:
     """Ledger entries for loaded files with the number of rows each gave."""
     return done.join(counts, "file_path", "left").select(
         F.lit(source_id).alias("source_id"), "file_path", "file_sha256",
         F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
-        F.current_timestamp().alias("ingested_at"))
+        F.current_timestamp().alias("ingested_at"), F.lit(batch).alias("load_batch"))
 
 
 def manifest(tables: Mapping[str, DataFrame], ledger: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import flatten
 from ..schema import Table
-from ..session import cut_lineage, shared_dir
+from ..session import cut_lineage
 from ..sources import sinks
 
 
@@ -25,28 +25,27 @@ def ingest_available(stream: DataFrame, plan, tables: dict[str, Table], warehous
                      source_id: str, checkpoint: str | None = None) -> None:
     """Take in everything that is there, then stop.
 
-    The query's own checkpoint remembers the files; keys are checked against the
+    The query's own checkpoint remembers the files. It lives in the warehouse, since batch numbers must go
+    on where the tables left off; keys are checked against the
     stored table, so a batch that is repeated after a failure adds nothing twice
     to keyed tables and no unbounded state is held. Tables without a key are
     replaced batch by batch: each batch is one sub-folder, overwritten on a repeat.
     """
-    spark = stream.sparkSession
-
     def take(batch: DataFrame, batch_id: int) -> None:
         raw = batch.withColumn("source_row", F.monotonically_increasing_id())
         order = [F.col(c).asc_nulls_last() for c in flatten.ORIGIN]
         for name, df in plan(cut_lineage(raw)).items():
             table = tables[name]
             if table.key is None:
-                sinks.replace_batch(df.drop(*flatten.ORIGIN), f"{warehouse}/{name}", source_id,
-                                    f"stream-{batch_id}")
+                rows = df.withColumn("load_file", F.col("source_path")).drop(*flatten.ORIGIN)
+                sinks.replace_batch(rows, f"{warehouse}/{name}", source_id, str(batch_id))
             else:
                 sinks.append_dedup(df, f"{warehouse}/{name}", table.key, order,
                                    partition_by=table.partition_by, drop=flatten.ORIGIN)
 
     query = (
         stream.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/streams/{source_id}")
+        .option("checkpointLocation", checkpoint or f"{warehouse}/_streams/{source_id}")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

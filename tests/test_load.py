@@ -283,3 +283,64 @@ def test_id_list(spark, tmp_path):
     assert rows(readers.read_id_list(spark, path), "id") == [("a",), ("b",), ("c",)]
     assert rows(readers.read_id_list(spark, path, "other", limit=3), "id") == [
         ("1",), ("2",), ("3",)]
+
+
+def people(spark, wh):
+    t = profile.open_tables(spark, profile.LOBBYING, wh)
+    return sorted(r.activity_id for r in t["senate_activity_lobbyists"].collect())
+
+
+def test_forced_and_changed_loads_replace_the_rows_of_a_file(spark, corpus, tmp_path):
+    wh = str(tmp_path / "wh")
+    load = lambda **kw: profile.load(spark, profile.LOBBYING, str(corpus), wh, only="senate_filings", **kw)
+    load()
+    want = people(spark, wh)
+    assert len(want) == 2
+    load(force=True, years=(2024,))
+    assert people(spark, wh) == want
+    load(force=True)
+    assert people(spark, wh) == want
+    # the file that held all people changes and names none any more
+    (corpus / "senate/2024/filings/filings_2024.json").write_text(json.dumps([filing("u9", "7")]))
+    load()
+    left = people(spark, wh)
+    assert not set(left) & {x for x in want if x.startswith(("u1", "u2"))} and len(left) < 2
+
+
+def test_failure_then_another_file(spark, corpus, tmp_path, monkeypatch):
+    wh = str(tmp_path / "wh")
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "ledger_rows", fail)
+        with pytest.raises(RuntimeError):
+            profile.load(spark, profile.LOBBYING, str(corpus), wh, only="senate_filings", years=(2024,))
+    profile.load(spark, profile.LOBBYING, str(corpus), wh, only="senate_filings")
+    assert len(people(spark, wh)) == 2
+
+
+def test_limited_run_is_seen_and_replaced(spark, corpus, tmp_path):
+    wh = str(tmp_path / "wh")
+    profile.load(spark, profile.LOBBYING, str(corpus), wh, limit=1)
+    assert len(people(spark, wh)) <= 2
+    profile.load(spark, profile.LOBBYING, str(corpus), wh)
+    assert len(people(spark, wh)) == 2
+
+
+def test_digest_of_the_content(spark, tmp_path):
+    import hashlib
+    data = {"a.bin": b"x" * (9 << 20), "b.bin": b"y"}
+    (tmp_path / "c.bin").touch()  # a file without content has no records and is passed over
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.file_path.rsplit("/", 1)[1]: r.file_sha256 for r in sinks.fingerprints(spark, [str(tmp_path)]).collect()}
+    assert got == {name: hashlib.sha256(content).hexdigest() for name, content in data.items()}
+
+
+def test_any_year_is_found(spark, tmp_path):
+    (tmp_path / "d/2031").mkdir(parents=True)
+    (tmp_path / "d/2031/x_2031.json").write_text("[]")
+    assert len(readers.expand_globs(spark, str(tmp_path), "d/{year}/x_{year}.json")) == 1
+    assert readers.expand_globs(spark, str(tmp_path), "d/{year}/x_{year}.json", years=(2024,)) == []
