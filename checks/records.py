@@ -182,6 +182,25 @@ def citation_orphans_urls(t):
                                   t.raw("documents").select("text"))
 
 
+@query("citation_closure_text", r"""
+WITH ids AS (SELECT page_id, url, regexp_replace(md5(CAST(page_id AS VARCHAR)),
+    '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS id FROM pages),
+truth AS (SELECT 'see https://h.example/' || id || '/print, ' || url || ', and (' || url || ') x' AS t FROM ids WHERE page_id % 3 = 0
+  UNION ALL SELECT 'https://archive.example/web/' || url FROM ids WHERE page_id % 3 = 1),
+cited AS (SELECT DISTINCT id AS token FROM ids
+  UNION SELECT DISTINCT regexp_extract(url, '^https?://[^\s)"?]+') FROM ids)
+SELECT token FROM cited WHERE NOT EXISTS (SELECT 1 FROM truth WHERE contains(t, token))""", prelude=False)
+def citation_closure_text(t):
+    ident = F.regexp_replace(F.md5(F.col("page_id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    rows = t.raw("pages").select("page_id", "url", ident.alias("id"))
+    truth = rows.where("page_id % 3 = 0").select(F.concat(
+        F.lit("see https://h.example/"), "id", F.lit("/print, "), "url", F.lit(", and ("), "url", F.lit(") x")).alias("text"))
+    truth = truth.unionByName(rows.where("page_id % 3 = 1").select(
+        F.concat(F.lit("https://archive.example/web/"), "url").alias("text")))
+    cited = rows.select(F.concat_ws(" ", F.col("id"), F.regexp_extract("url", r"^https?://[^\s)\"?]+", 0)).alias("text"))
+    return audit.citation_closure_text(cited, truth)
+
+
 @query("vintage_diff", """
 WITH a AS (SELECT user_id, event_type, sum(value) AS v FROM events
            WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1, 2),

@@ -14,6 +14,8 @@ BILL_PATTERN = r"(?i)\b(?:H\.?\s?J\.?\s?RES\.?|S\.?\s?J\.?\s?RES\.?|H\.?\s?R\.?|
 CITATION_PATTERN = (
     r"""[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}|https?://[^\s)"]+"""
 )
+RECORD_ID_PATTERN = r"[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
+URL_PATTERN = r"""https?://[^\s)"]+"""
 # Capitalised phrases taken as entity mentions.
 PHRASE_PATTERN = (
     r"\b([A-Z][A-Za-z0-9&'.\-]+(?:\s+(?:and|&|of|for|the)?\s*[A-Z][A-Za-z0-9&'.\-]+){0,5})\b"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import CITATION_PATTERN, find_all
+from ..functions.text import CITATION_PATTERN, RECORD_ID_PATTERN, URL_PATTERN, find_all
+from ..session import cut_lineage
 from .shape import as_list
 
 # Which claims have to be in the evidence map, and card-less claims are not allowed.
@@ -93,6 +94,30 @@ def citation_closure(outputs: DataFrame, truth: DataFrame, text: str = "text",
         citation_tokens(truth, text, pattern, group), "token", "left_anti")
 
 
+def citation_closure_text(outputs: DataFrame, truth: DataFrame, text: str = "text") -> DataFrame:
+    """Ids and URLs cited in outputs that stand nowhere in a ground-truth text, as parts of longer ones either.
+
+    An id is looked for everywhere, inside URLs too. A URL is part of a text if and only if a URL of the text,
+    read from one of its ``http`` on, begins with it: those are cut to the lengths that cited URLs have, so
+    all of it is joins on equal tokens.
+    """
+    ids = citation_tokens(outputs, text, RECORD_ID_PATTERN).join(
+        citation_tokens(truth, text, RECORD_ID_PATTERN), "token", "left_anti")
+    # an id that is only part of a cited URL is not cited by itself
+    alone = outputs.select(F.regexp_replace(text, URL_PATTERN, " ").alias(text))
+    ids = ids.join(citation_tokens(alone, text, RECORD_ID_PATTERN), "token", "left_semi")
+    cited = cut_lineage(citation_tokens(outputs, text, URL_PATTERN))
+    lengths = cited.agg(F.collect_set(F.length("token")).alias("n")).scalar()
+    whole = truth.select(F.explode(find_all(text, URL_PATTERN, 0)).alias("url"))
+    starts = whole.select(F.explode(F.filter(
+        F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.when(
+            F.substring(F.col("url"), i, 8).rlike("^https?://"), F.substring(F.col("url"), i, F.length("url")))),
+        lambda u: u.isNotNull())).alias("url")).distinct()
+    known = starts.withColumn("_n", lengths).select(F.explode(F.transform(
+        F.filter("_n", lambda n: n <= F.length("url")), lambda n: F.substring(F.col("url"), F.lit(1), n))).alias("token"))
+    return ids.unionByName(cited.join(known.distinct(), "token", "left_anti"))
+
+
 def vintage_diff(old: DataFrame, new: DataFrame, keys, value: str) -> DataFrame:
     """Keyed totals of two pulls of the same query side by side, with what changed."""
     keys = as_list(keys)

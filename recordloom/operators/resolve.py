@@ -226,7 +226,7 @@ def fuzzy_pass(rest: DataFrame, right: DataFrame, *, right_name: str, threshold:
             F.lit(False)))
         .withColumnRenamed("left_norm", "norm_name")
     )
-    out = rest.join(judged, "norm_name")
+    out = cut_lineage(rest.join(judged, "norm_name"))  # scored once for both results
     accepted = out.where(~F.col("ambiguous")).select(
         "left_id", "left_name", F.col("c")[0]["right_name"].alias("right_name"),
         F.lit("fuzzy").alias("resolution_pass"), F.col("c")[0]["score"].alias("score"))

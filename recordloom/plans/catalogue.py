@@ -34,6 +34,11 @@ def detector(ident: str) -> Detector:
     return _DETECTORS[ident]
 
 
+def idents() -> list[str]:
+    """The ids of all detectors, in order of registration."""
+    return list(_DETECTORS)
+
+
 def list_detectors(spark: SparkSession) -> DataFrame:
     """The catalogue as a table."""
     rows = [(d.ident, d.name, d.description, {k: str(v) for k, v in d.params.items()})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BILL_PATTERN, any_keyword, contains_folded
 from ..operators import detect, resolve
+from ..session import cut_lineage
 from .catalogue import register_detector
 
 # --- fixed values: word lists and code sets the results depend on -------------
@@ -46,6 +47,10 @@ COMMITTEE_TOPICS = {
     "agriculture": ("AGR", "FOO", "TRD"),
 }
 CURRENT_YEARS = (2024, 2025, 2026)
+# how a past position names its committee or chamber, the member, and the role
+ROLE_COMMITTEE = r"(?i)((?:house|senate)\s+(?:select\s+)?(?:committee|cmte)?\s*(?:on\s+)?[a-z &]*?)(?:,|;|$)"
+ROLE_MEMBER = r"(?:Sen(?:ator|\.)?|Rep(?:resentative|\.)?|Congress(?:man|woman))\s+((?:[A-Z][A-Za-z.'\-]+\s?){1,3})"
+ROLE_JOB = r"(?i)\b(chief of staff|counsel|legislative (?:director|assistant|counsel)|staff director|(?:press|communications) (?:secretary|director)|(?:professional )?staff member|intern|adviser|advisor|fellow)\b"
 
 # --- catalogue ----------------------------------------------------------------
 
@@ -184,6 +189,26 @@ def dz(tables, **params):
         tables["senate_filings"], tables["senate_foreign_entities"], **params)
 
 
+@register_detector("D8v", "new_registrant_surge_top",
+                   "New registrants whose first-quarter total is in the top tenth of all new ones.",
+                   limit=200, lookback_quarters=2, top_share=0.1, compat=False)
+def d8v(tables, **params):
+    return detect.new_entrants(tables["senate_filings"], **params)
+
+
+@register_detector("DV", "role_text_parse",
+                   "Past positions taken apart into committee or chamber, member and role.",
+                   committee=ROLE_COMMITTEE, member=ROLE_MEMBER, job=ROLE_JOB, min_length=12)
+def dv(tables, **params):
+    return detect.role_text_parse(tables["senate_activity_lobbyists"], tables["senate_filings"], **params)
+
+
+@register_detector("TX", "name_totals", "Filings that mention a name, counted and summed per registrant.",
+                   needle="apollo", columns=("registrant_name", "client_name", "client_general_description"), limit=None)
+def tx(tables, needle, columns, limit):
+    return detect.name_totals(tables["senate_filings"], needle, columns=list(columns), limit=limit)
+
+
 # --- entity resolution --------------------------------------------------------
 
 
@@ -205,7 +230,7 @@ def resolve_registrants(tables, *, threshold: float = 92, same_state: bool = Fal
     rest = resolve.residual(left, [p1, p2], ident="registrant_id", name="registrant_name")
     p3, queue = resolve.fuzzy_pass(rest, right, right_name="organization_name",
                                    threshold=threshold, review_floor=review_floor)
-    canonical = resolve.consolidate([p1, p2, p3])
+    canonical = cut_lineage(resolve.consolidate([p1, p2, p3]))  # matched once for all readers
     report = resolve.resolution_report(canonical, left, right, queue, ident="registrant_id",
                                        right_name="organization_name")
     return canonical, queue, report

@@ -170,6 +170,14 @@ def manifest(tables: Mapping[str, DataFrame], ledger: DataFrame) -> DataFrame:
         "digest"))
 
 
+def write_manifest(tables: Mapping[str, DataFrame], ledger: DataFrame, path: str) -> None:
+    """The manifest and the digest of every file as JSON lines."""
+    manifest(tables, ledger).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    ledger.groupBy("source_id", "file_path").agg(
+        F.max_by("file_sha256", "ingested_at").alias("file_sha256"),
+        F.max_by("row_count", "ingested_at").alias("row_count")).write.mode("overwrite").json(f"{path}/files")
+
+
 def vintage(df: DataFrame, as_of: str) -> DataFrame:
     """Rows of an external pull with the date they hold for."""
     return df.withColumn("_as_of", F.lit(as_of).cast("date"))

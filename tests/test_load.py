@@ -344,3 +344,16 @@ def test_any_year_is_found(spark, tmp_path):
     (tmp_path / "d/2031/x_2031.json").write_text("[]")
     assert len(readers.expand_globs(spark, str(tmp_path), "d/{year}/x_{year}.json")) == 1
     assert readers.expand_globs(spark, str(tmp_path), "d/{year}/x_{year}.json", years=(2024,)) == []
+
+
+def test_whole_run(spark, corpus, tmp_path):
+    from recordloom.plans import case, catalogue
+
+    out = str(tmp_path / "out")
+    ran = case.run_case(spark, str(corpus), str(tmp_path / "wh"), out, detectors=["D1", "D5", "D8v", "DV", "TX"])
+    names = {r.name for r in ran.collect()}
+    assert {"resolution_canonical", "resolution_report", "D1_spending_spikes", "TX_name_totals"} <= names
+    files = spark.read.json(f"{out}/manifest/files")
+    assert {len(r.file_sha256) for r in files.collect()} == {64}
+    assert spark.read.json(f"{out}/manifest/summary").where("kind = 'table'").count() >= 16
+    assert {"D8v", "DV", "TX"} <= set(catalogue.idents())
