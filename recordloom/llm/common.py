@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordloom.session import cut_lineage
+
 # White space is the blank and U+0009 to U+000D, a word is a run of anything else.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -41,3 +43,10 @@ def keyed_by_text(docs: DataFrame, text: str = "text") -> list[Column]:
 def md5_number(text: Column) -> Column:
     """60 bits of the text's MD5, a number that other engines compute alike."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def shipped_if_small(side: DataFrame, most_rows: int) -> DataFrame:
+    """The staged side of a join, to be broadcast if its counted rows are within the bound; with more
+    rows the planner shuffles both sides, with equal results."""
+    side = cut_lineage(side)
+    return F.broadcast(side) if side.count() <= most_rows else side

@@ -2,7 +2,7 @@
 
 Base spans (email, IP, card, phone) are found by patterns in the whole text. Around
 them, terms are judged by what the corpus knows: with document frequencies over all
-distinct texts, the pointwise mutual information of entity ``c`` and term ``t``,
+documents, the pointwise mutual information of entity ``c`` and term ``t``,
 ``PMI(c; t) = ln(p(c, t) / (p(c) p(t)))``, is compared with the entity's information
 ``IC(c) = -ln p(c)``. A term that carries ``disclose`` of it or more (``PMI >= disclose * IC``)
 reveals the entity in every text that names both: it is removed if it occurs with the
@@ -13,7 +13,7 @@ All of it is DataFrame code. Positions come from pairs of ``split`` and
 ``regexp_extract_all`` with the same pattern, in code points. The patterns are possessive and
 anchored at the start of a run, so that long runs cost linear time and no stack.
 
-Copies of a text count once. Only entities in at least ``support`` texts are paired with
+A text with copies is read once and weighs as many as it has. Only entities in at least ``support`` texts are paired with
 terms, counts have map-side partial sums, and the text itself never enters a
 shuffle: the terms of a text are joined by a key of two longs.
 
@@ -28,7 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordloom.llm.common import let, text_of
+from recordloom.llm.common import let, shipped_if_small, text_of
 from recordloom.session import cut_lineage
 
 # The kinds in their order, and what each looks like.
@@ -42,6 +42,8 @@ CARD_DIGITS = (14, 19)
 PHONE_DIGITS = (10, 15)
 
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Broadcast bound for the terms whose frequency is asked for, about 100 MB in memory.
+MOST_TERMS = 1_000_000
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -136,26 +138,28 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9,
     named = cut_lineage(found.select(
         "_k1", "_k2", _masked(F.col("_t"), F.col("_s")).alias("_masked"),
         _entities(F.col("_t"), F.col("_s")).alias("_entities")))
-    texts = docs.select(F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"))
-    n_texts = texts.distinct().agg(F.count("*").alias("_n"))
-
     key = ("_k1", "_k2")
-    holds = named.select(*key, F.explode("_entities").alias("_c")).distinct()
-    known = holds.groupBy("_c").agg(F.count("*").alias("_nc")).where(F.col("_nc") >= support)
+    copies = named.groupBy(*key).agg(F.count("*").alias("_copies"))
+    one = cut_lineage(named.dropDuplicates([*key]).join(copies, [*key]))
+
+    holds = one.select(*key, "_copies", F.explode("_entities").alias("_c"))
+    known = holds.groupBy("_c").agg(F.count("*").alias("_texts"), F.sum("_copies").alias("_nc")) \
+        .where(F.col("_texts") >= support).drop("_texts")
     held = cut_lineage(holds.join(known, "_c"))
-    terms = named.select(*key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("_masked"), F.lit(TERM), F.lit(0)))).alias("_w")).distinct()
+    terms = one.select(*key, F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower("_masked"), F.lit(TERM), F.lit(0)))).alias("_w"))
     pairs = cut_lineage(
-        held.join(terms, [*key]).groupBy("_c", "_w").agg(F.count("*").alias("_nct"), F.max("_nc").alias("_nc"))
-        .where(F.col("_nct") >= support))
-    wanted = pairs.select("_w").distinct()
-    all_terms = docs.select(
-        F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))).alias("_w"))
-    seen = (all_terms.join(wanted, "_w", "left_semi").distinct()
-            .groupBy("_w").agg(F.count("*").alias("_nt")))
-
-    n = n_texts.scalar().cast("double")
+        held.join(terms, [*key]).groupBy("_c", "_w")
+        .agg(F.count("*").alias("_texts"), F.sum("_copies").alias("_nct"), F.max("_nc").alias("_nc"))
+        .where(F.col("_texts") >= support).drop("_texts"))
+    # every word of the corpus meets this table, so a shuffle of it is avoided where possible
+    wanted = shipped_if_small(pairs.select("_w").distinct(), MOST_TERMS)
+    all_terms = docs.select(F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))).alias("_w"))
+    seen = all_terms.join(wanted, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_nt"))
+    n_docs = docs.agg(F.count("*").alias("_n"))
+
+    n = n_docs.scalar().cast("double")
     nt = F.greatest("_nt", "_nct")
     pmi = F.log(n * F.col("_nct") / (F.col("_nc") * nt))
     ic = F.log(n / F.col("_nc"))
@@ -169,11 +173,10 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9,
         .groupBy(*key).agg(F.collect_set(F.when(F.col("_only"), F.col("_w"))).alias("_gone"),
                            F.collect_set("_w").alias("_all"))
     )
-    one = named.select(*key, "_masked").dropDuplicates([*key])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_all", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spans = matches(F.col("_masked"), F.col("_p"),
                     lambda m: F.when(F.array_contains(F.col("_gone"), F.lower(m)), 4).otherwise(5))
-    return (per_text.join(one, [*key]).withColumn("_p", pattern)
+    return (per_text.join(one.select(*key, "_masked"), [*key]).withColumn("_p", pattern)
             .select(*key, spans.alias("_terms")))
 
 

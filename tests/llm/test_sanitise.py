@@ -1,9 +1,9 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from recordloom.llm import sanitise
 
@@ -48,38 +48,36 @@ def written(spans, names):
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def brute_terms(texts, disclose, support):
-    """{text: spans of disclosing terms}, by the formulas over distinct texts."""
-    texts = sorted({t or "" for t in texts})
-    n = len(texts)
-    words = {t: set(re.findall(r"[^\W_]{3,}", t.lower())) for t in texts}
+def brute_terms(rows, disclose, support):
+    """{text: spans of disclosing terms}, by the formulas over all documents."""
+    rows = [t or "" for t in rows]
+    copies, n = Counter(rows), len(rows)
+    words = {t: set(re.findall(r"[^\W_]{3,}", t.lower())) for t in copies}
     named, masked = {}, {}
-    for t in texts:
-        spans = brute_base(t)
-        chars = list(t)
-        ents = set()
-        for s, k, e in spans:
+    for t in copies:
+        chars, ents = list(t), set()
+        for s, k, e in brute_base(t):
             raw = t[s:e]
             ents.add((k, raw.lower() if k < 2 else re.sub(r"[^0-9]", "", raw)))
             chars[s:e] = " " * (e - s)
-        named[t], masked[t] = ents, "".join(chars)
-    inside = {t: set(re.findall(r"[^\W_]{3,}", masked[t].lower())) for t in texts if named[t]}
+        if ents:
+            named[t], masked[t] = ents, "".join(chars)
+    inside = {t: set(re.findall(r"[^\W_]{3,}", masked[t].lower())) for t in named}
     out = {}
-    for t in inside:
+    for t in named:
         gone, every = set(), set()
         for c in named[t]:
-            with_c = [x for x in inside if c in named[x]]
-            if len(with_c) < support:
-                continue
-            ic = math.log(n / len(with_c))
+            with_c = [x for x in named if c in named[x]]
+            n_c = sum(copies[x] for x in with_c)
             for w in inside[t]:
-                both = sum(w in inside[x] for x in with_c)
-                if both < support or ic <= 0:
+                both = [x for x in with_c if w in inside[x]]
+                if len(both) < support or n_c == n:
                     continue
-                alone = max(both, sum(w in words[x] for x in texts))
-                if math.log(n * both / (len(with_c) * alone)) >= disclose * ic - 1e-12:
+                n_both = sum(copies[x] for x in both)
+                alone = max(n_both, sum(m for x, m in copies.items() if w in words[x]))
+                if math.log(n * n_both / (n_c * alone)) >= disclose * math.log(n / n_c) - 1e-12:
                     every.add(w)
-                    if both >= alone:
+                    if n_both >= alone:
                         gone.add(w)
         if every:
             out[t] = [(m.start(), 4 if m.group().lower() in gone else 5, m.end())
@@ -97,6 +95,7 @@ ROWS = [
     (9, "agent zephyr kestrel met bob@x.org at noon"),
     (10, "zephyr wrote bob@x.org about kestrel rain"),
     (11, "again Zephyr kestrel BOB@x.org rain"),
+    (11, "again Zephyr kestrel BOB@x.org rain"), (9, "agent zephyr kestrel met bob@x.org at noon"),
     (12, "rain in town and more rain"), (13, "kestrel alone here"), (14, "nothing"), (15, "plain words"),
     (16, "text sixteen"), (17, "text seventeen"), (18, "text eighteen"),
 ]
