@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import CITATION_PATTERN, RECORD_ID_PATTERN, URL_PATTERN, find_all
 from ..session import cut_lineage
@@ -13,14 +13,19 @@ SURE = ("high", "medium")
 CONFIRMED = ("verified", "partially_verified")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """60 bits of the MD5 of a row's values as text, in the order of the column names."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in sorted(df.columns)]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-insensitive digest of a table, in one row.
 
     Row hashes are added up in a wide decimal, so equal rows do not cancel out.
     """
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("row_count"),
-                  F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)")).cast("string")
+                  F.coalesce(F.sum(row_hash(df)), F.lit(0).cast("decimal(38,0)")).cast("string")
                   .alias("digest"))
 
 

@@ -281,15 +281,17 @@ def new_entrants(filings: DataFrame, *, entity: str = "registrant_id",
         first_totals = cut_lineage(first_totals)
         floor = exact_quantile(first_totals, "first_total", 1 - top_share).scalar()
         fresh = first_totals.where(F.col("first_total") >= floor)
-    out = (
-        rows.join(fresh.select(entity), entity, "left_semi").groupBy(entity)
-        .agg(F.min(label).alias(label), F.count_distinct(record).alias("filings_in_window"),
-             F.count_distinct(member).alias("distinct_clients"),
-             F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total_income"),
-             joined_set(member_label).alias("clients"))
-        .where(F.col("total_income") > 0)
-    )
-    return ranked(out, [*desc("total_income"), *asc(entity)], limit)
+    own = rows.join(fresh.select(entity), entity, "left_semi")
+    total = F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total_income")
+    rest = [F.min(label).alias(label), F.count_distinct(record).alias("filings_in_window"),
+            F.count_distinct(member).alias("distinct_clients"), joined_set(member_label).alias("clients")]
+    order = [*desc("total_income"), *asc(entity)]
+    columns = [entity, label, "filings_in_window", "distinct_clients", "total_income", "clients"]
+    if limit is None:
+        return own.groupBy(entity).agg(total, *rest).where(F.col("total_income") > 0).select(*columns)
+    top = ranked(own.groupBy(entity).agg(total).where(F.col("total_income") > 0), order, limit)
+    # counts and lists for the ranked entrants only
+    return decorate(top, rows, entity, *rest).select(*columns).orderBy(*order)
 
 
 # --- D9 -----------------------------------------------------------------

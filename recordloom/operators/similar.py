@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from ..functions.vectors import l2_distance, vector_literal
 from .shape import asc, desc, ranked, top_k_per_key
 
@@ -176,14 +177,21 @@ def _features(base: DataFrame, vector: str) -> DataFrame:
 
 def approx_knn(base: DataFrame, query, k: int, *, ident: str = "id", vector: str = "embedding",
                bucket_length: float = 1.0, tables: int = 8, seed: int = 42) -> DataFrame:
-    """Neighbours by random projections: fewer rows compared, some may be missed."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed)
-    data = _features(base, vector)
-    near = lsh.fit(data).approxNearestNeighbors(
-        data, Vectors.dense([float(v) for v in query]), k, distCol="distance")
-    return near.select(ident, "distance")
+    """Neighbours by random projections: fewer rows compared, some may be missed, never fewer than k
+    found. Buckets are doubled until they hold enough rows; where the query lies apart from all of them, the
+    search is exact."""
+    data = _features(base.where(F.col(vector).isNotNull()), vector)
+    wanted = min(k, data.count())
+    for _ in range(12):
+        lsh = BucketedRandomProjectionLSH(
+            inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
+            numHashTables=tables, seed=seed)
+        near = cut_lineage(lsh.fit(data).approxNearestNeighbors(
+            data, Vectors.dense([float(v) for v in query]), k, distCol="distance").select(ident, "distance"))
+        if near.count() >= wanted:
+            return near
+        bucket_length *= 2
+    return knn_by_vector(base, query, k, ident=ident, vector=vector)
 
 
 def cluster_text(base: DataFrame, k: int, *, ident: str = "id", vector: str = "embedding",

@@ -9,6 +9,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from ..operators.audit import row_hash
 from ..sources.sinks import read_if_there
 from .catalogue import detector, run_detector
 
@@ -37,9 +38,8 @@ def run_with_provenance(df: DataFrame, name: str, out: str, *, text: str,
     """
     spark = df.sparkSession
     seen = Observation(name)
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
     start = time.time()
-    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("d")).write.mode(
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(row_hash(df)).cast("string").alias("d")).write.mode(
         "overwrite").parquet(f"{out}/{name}")
     elapsed = round(time.time() - start, 3)
     record = [(name, text, sql_hash(text), json.dumps(dict(params or {}), default=str),
