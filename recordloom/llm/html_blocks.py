@@ -36,6 +36,7 @@ CONTAINERS = frozenset(
 SILENT = frozenset("button canvas iframe math noscript object option script select style svg template textarea title".split())
 FURNITURE_TAGS = frozenset("aside dialog footer form header menu nav".split())
 CONTENT_TAGS = frozenset("article main".split())
+CONTENT_WORDS = frozenset("article articlebody content entry maincontent post story".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts alert aside banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation "
@@ -78,6 +79,13 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+
+
+def _names(attributes: str) -> set[str]:
+    """The words of an element's class, id and role."""
+    return {w for m in _NAMES.finditer(attributes)
+            for w in _WORDS.findall((m.group(1) or m.group(2) or m.group(3) or "").lower())}
 
 
 def _is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
@@ -86,13 +94,9 @@ def _is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
         return not (tag == "header" and in_content)
     if tag in ("html", "body", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
-        found = set(_WORDS.findall((m.group(1) or m.group(2) or m.group(3) or "").lower()))
-        if in_content:
-            found -= {"header"}
-        if found & FURNITURE_WORDS:
-            return True
-    return False
+    if not attributes:
+        return False
+    return bool(_names(attributes) & FURNITURE_WORDS - ({"header"} if in_content else set())) or bool(_HIDDEN.search(attributes))
 
 
 def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
@@ -148,7 +152,8 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
                         break
             else:
                 _, content, furniture = open_tags[-1]
-                open_tags.append((tag, content or tag in CONTENT_TAGS,
+                named = tag in ("div", "section", "td") and m.group(3) and _names(m.group(3)) & CONTENT_WORDS
+                open_tags.append((tag, content or tag in CONTENT_TAGS or bool(named),
                                   furniture or _is_furniture(tag, m.group(3), content)))
         elif tag != "br":
             # a paragraph, item or heading of its own class

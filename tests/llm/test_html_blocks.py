@@ -38,6 +38,13 @@ def test_malformed(tree, page):
     html_blocks.main_text(page, tree)
 
 
+def test_page_with_a_named_part(tree):
+    page = ("<body><div id=top><a href=/>Site</a></div><div class='page-content'><h1>Heading</h1><p>Short.</p>"
+            "<div class='share-buttons'>Share this</div><p hidden>Not shown here at all.</p><p>x</p></div>"
+            "<div class=related-posts><a href=/1>Other text</a></div><ol id='comments'><li>Nice one, thanks a lot</ol></body>")
+    assert html_blocks.main_text(page, tree)[0] == "Heading Short. x"
+
+
 def test_page_without_article(tree):
     page = ("<body><div class=menu><a href=a>One</a> <a href=b>Two</a></div><div id=content><h1>Some heading here</h1>"
             + "<p>" + "many words follow here " * 12 + "</p><p>" + "and still more of them " * 9
