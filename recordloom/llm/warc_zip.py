@@ -37,11 +37,11 @@ from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from recordloom.llm.common import shipped_if_small
 from recordloom.session import cut_lineage, stage_path
+from recordloom.sources.files import open_path
 
 #: A data member is closed at this size, an archive at the next one.
 MEMBER_BYTES = 16 << 20
@@ -57,13 +57,6 @@ END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def open_path(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or a plain path."""
-    if re.match(r"file:/|/", path):
-        return fs.LocalFileSystem(), "/" + re.sub(r"^(file:)?/+", "", path)
-    return fs.FileSystem.from_uri(path)
-
-
 # --- writing ---------------------------------------------------------------------------------
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
