@@ -236,11 +236,11 @@ UNION ALL SELECT * FROM (SELECT 'top_country', country, count(*) AS n FROM forei
 def sanity_checks(t):
     filings = t.filings()
     parts = [
-        sanity.row_counts({"filings": filings, "foreign_entities": t.foreign_entities(),
-                           "press_releases": t.press_releases()}),
-        sanity.null_keys(filings, "filings", "filing_uuid"),
+        sanity.table_checks(filings, "filings", "filing_uuid"),
+        sanity.table_checks(t.foreign_entities(), "foreign_entities"),
+        sanity.table_checks(t.press_releases(), "press_releases"),
         sanity.rows_per(filings, "filing_year"),
-        sanity.coverage(t.registry_b(), "senate_id"),
+        sanity.table_checks(t.registry_b(), "registry_b", covered=["senate_id"]).where("check_name <> 'rows'"),
         sanity.distinct_with(filings, "registrant_id", "posted_by_name"),
         sanity.frequent_values(t.foreign_entities(), "country"),
     ]

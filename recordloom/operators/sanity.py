@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, functions as F
 
 from .relate import top_countries
@@ -14,17 +12,19 @@ def _metric(df: DataFrame, check: str, detail, value) -> DataFrame:
                      value.cast("double").alias("value"))
 
 
-def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    out = None
-    for name, df in tables.items():
-        part = _metric(df.agg(F.count("*").alias("n")), "rows", F.lit(name), F.col("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def null_keys(df: DataFrame, name: str, key: str) -> DataFrame:
-    n = df.agg(F.count_if(F.col(key).isNull()).alias("n"))
-    return _metric(n, "null_keys", F.lit(f"{name}.{key}"), F.col("n"))
+def table_checks(df: DataFrame, name: str, key: str | None = None, covered=()) -> DataFrame:
+    """Row count, null keys and coverage (percent of rows in which a column is set, to one decimal) of a table,
+    in one scan."""
+    aggs = [F.count("*").alias("_n"), *[F.count(c).alias(f"_c{k}") for k, c in enumerate([key, *covered]) if c]]
+    n = F.col("_n")
+    found = [("rows", name, n)]
+    if key:
+        found.append(("null_keys", f"{name}.{key}", n - F.col("_c0")))
+    found += [("coverage_pct", c, F.when(n > 0, F.round(F.lit(100.0) * F.col(f"_c{k}") / n, 1)))
+              for k, c in enumerate(covered, 1)]
+    return df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(check).alias("check_name"), F.lit(detail).alias("detail"), value.cast("double").alias("value"))
+        for check, detail, value in found])))
 
 
 def rows_per(df: DataFrame, column: str) -> DataFrame:
@@ -32,19 +32,15 @@ def rows_per(df: DataFrame, column: str) -> DataFrame:
     return _metric(n, f"rows_per_{column}", F.col(column), F.col("n"))
 
 
-def coverage(df: DataFrame, column: str) -> DataFrame:
-    """Share of rows in which a column is set, in percent to one decimal."""
-    n = df.agg(F.count("*").alias("n"), F.count(column).alias("k"))
-    pct = F.when(F.col("n") > 0, F.round(F.lit(100.0) * F.col("k") / F.col("n"), 1))
-    return _metric(n, "coverage_pct", F.lit(column), pct)
-
-
 def distinct_with(df: DataFrame, ident: str, column: str) -> DataFrame:
     """Distinct ids, and those of them that carry the column."""
     n = df.groupBy(ident).agg(F.max(F.col(column).isNotNull().cast("int")).alias("has")).where(
         F.col(ident).isNotNull()).agg(F.count("*").alias("n"), F.sum("has").alias("k"))
-    return _metric(n, "distinct", F.lit(ident), F.col("n")).unionByName(
-        _metric(n, "distinct_with", F.lit(f"{ident}+{column}"), F.coalesce(F.col("k"), F.lit(0))))
+    return n.select(F.inline(F.array(*[
+        F.struct(F.lit(check).alias("check_name"), F.lit(detail).alias("detail"),
+                 F.coalesce(value, F.lit(0)).cast("double").alias("value"))
+        for check, detail, value in (("distinct", ident, F.col("n")),
+                                     ("distinct_with", f"{ident}+{column}", F.col("k")))])))
 
 
 def frequent_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
