@@ -141,3 +141,9 @@ def test_given_documents(spark):
         base = brute_base(r.text)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(written(base, names).encode()).hexdigest()
         assert got[r.doc_id].spans == written(sorted(base + terms.get(r.text or "", [])), names)
+
+
+def test_same_result_without_broadcast(docs, monkeypatch):
+    want = sorted(r.spans for r in sanitise.find(docs, disclose=0.6, support=3).collect())
+    monkeypatch.setattr(sanitise, "MOST_TERMS", 0)
+    assert sorted(r.spans for r in sanitise.find(docs, disclose=0.6, support=3).collect()) == want

@@ -79,3 +79,9 @@ def test_directory_with_zip64_fields(monkeypatch, limit, count, comment):
 def test_not_a_zip():
     with pytest.raises(ValueError):
         warc_zip.directory(io.BytesIO(b"x" * 100), 100)
+
+
+def test_same_result_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc_zip, "MOST_GROUPS", 0)
+    pages = spark.createDataFrame([(i, "u", h) for i, h in ROWS], "page_id long, url string, html string")
+    assert got(warc_zip.round_trip(pages)) == brute(ROWS, 0)
