@@ -79,7 +79,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = stage_path(spark)
     df.write.parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for this frame, once nothing reads it any more."""
+    path = staged._staged_path
+    if path in _STAGED:
+        _STAGED.remove(path)
+        place = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def drop_staged(spark: SparkSession) -> int:
