@@ -44,17 +44,35 @@ def allowed(window: int) -> int:
     return 2 if window >= WINDOW else 1
 
 
+def _parts(mask: str) -> list[tuple[int, int]]:
+    """The mask as ``(position, length)`` of runs of three and single words."""
+    parts, p = [], 0
+    while p < len(mask):
+        n = 3 if mask[p:p + 3] == "111" else 1
+        if mask[p] == "1":
+            parts.append((p, n))
+        p += n
+    return parts
+
+
 def _seeds(words: Column) -> Column:
-    """``(pos, seed)`` of all masks; ``pos`` counts from 0."""
-    def of(hashes, k, mask):
-        places = [p for p, bit in enumerate(mask) if bit == "1"]
-        starts = F.when(F.size(hashes) >= len(mask), F.sequence(F.lit(0), F.size(hashes) - len(mask))) \
-            .otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            i.alias("pos"), F.xxhash64(F.lit(k), *[F.get(hashes, i + p) for p in places]).alias("seed")))
+    """Seeds of all masks at each word in turn: number ``k`` belongs to word ``k // len(MASKS)``.
+
+    Runs of three words are hashed once for all masks. A mask that reaches past the end gives null.
+    """
+    none = F.array().cast("array<long>")
+
+    def of(words_, threes):
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(words_) - 1), lambda i: F.array(*[
+            F.when(i + len(mask) <= F.size(words_),
+                   F.xxhash64(*[F.get(threes if n == 3 else words_, i + p) for p, n in _parts(mask)]))
+            for mask in MASKS])))
+
+    def hashed(h):
+        threes = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+        return F.when(F.size(h) < LEAST_WORDS, none).otherwise(let(threes, lambda t: of(h, t)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)),
-               lambda h: F.concat(*[of(h, k, mask) for k, mask in enumerate(MASKS)]))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -69,16 +87,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     distinct_items = cut_lineage(items.select("_iw").distinct().select(
         F.xxhash64("_iw").alias("_ik"), "_iw"))
     seeds = cut_lineage(
-        distinct_items.select("_ik", F.explode(_seeds(F.col("_iw"))).alias("_s"))
-        .select("_ik", F.col("_s.pos").alias("_ipos"), F.col("_s.seed").alias("_seed")))
+        distinct_items.select("_ik", F.posexplode(_seeds(F.col("_iw"))).alias("_k", "_seed"))
+        .select("_ik", "_seed", F.floor(F.col("_k") / len(MASKS)).alias("_ipos")))
     if seeds.count() <= MOST_SEEDS:
         seeds = F.broadcast(seeds)
     t = text_of(text)
     key = [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2")]
-    found = docs.select(*key, F.explode(_seeds(tokens(t))).alias("_s")) \
-        .select("_k1", "_k2", F.col("_s.pos").alias("_pos"), F.col("_s.seed").alias("_seed"))
+    found = docs.select(*key, F.posexplode(_seeds(tokens(t))).alias("_k", "_seed"))
     hits = cut_lineage(
-        found.join(seeds, "_seed").select("_k1", "_k2", "_ik", (F.col("_pos") - F.col("_ipos")).alias("_shift"))
+        found.join(seeds, "_seed")
+        .select("_k1", "_k2", "_ik", (F.floor(F.col("_k") / len(MASKS)) - F.col("_ipos")).cast("int").alias("_shift"))
         .distinct())
     keys = hits.select("_k1", "_k2").distinct()
     texts = docs.select(*key, t.alias("_t")).join(keys, ["_k1", "_k2"], "left_semi") \
