@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.llm import shingles
 from recordloom.llm.common import text_of
-from recordloom.session import cut_lineage
+from recordloom.session import cut_lineage, discard
 
 #: Most shingles in the broadcast order; 8 MB.
 ORDER_SIZE = 1 << 20
@@ -223,17 +223,28 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, doc_id: str, text: str,
               width: int, t: Fraction) -> DataFrame:
-    """The pairs ``a, b`` that pass the other orders and reach the similarity."""
+    """The stored pairs ``a, b`` that pass the other orders and reach the similarity."""
     pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    # the least id of each name, and whether several rows have both
     ids = cut_lineage(
-        described.join(wanted, "name").groupBy("name").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("id")))
+        described.join(wanted, "name").groupBy("name", "id").agg(F.count("*").alias("rows"))
+        .groupBy("name").agg(F.min(F.struct(F.col("id").isNull(), "id", "rows")).alias("f"))
+        .select("name", F.col("f.id").alias("id"), (F.col("f.rows") > 1).alias("again")))
+    many = not ids.where("again").isEmpty()
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    fetched = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t")).join(
-        ids, F.col("_id").eqNullSafe(F.col("id"))).select("name", "_t")
-    sets = cut_lineage(
-        fetched.mapInArrow(_full_sets(width), "name long, members array<long>").dropDuplicates(["name"]))
+    rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t"))
+
+    def members(of):
+        return rows.join(of, F.col("_id").eqNullSafe(F.col("id"))).select("name", "_t").mapInArrow(
+            _full_sets(width), "name long, members array<long>")
+
+    # sets are large: only where rows repeat are they dealt out to make them single
+    sets = members(ids.where("NOT again"))
+    if many:
+        sets = sets.unionByName(members(ids.where("again")).dropDuplicates(["name"]))
+    sets = cut_lineage(sets)
     both = (
         pairs.join(sets.select(F.col("name").alias("a"), F.col("members").alias("x")), "a")
         .join(sets.select(F.col("name").alias("b"), F.col("members").alias("y")), "b")
@@ -247,8 +258,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, doc_id: s
     ascending = F.arrays_overlap(F.slice("x", F.lit(1), prefix("x")), F.slice("y", F.lit(1), prefix("y")))
     descending = F.arrays_overlap(F.slice("x", -prefix("x"), prefix("x")), F.slice("y", -prefix("y"), prefix("y")))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(ascending & descending) \
-        .where(common * (num + den) >= num * (F.size("x") + F.size("y")).cast("long")).select("a", "b")
+    links = cut_lineage(
+        both.where(ascending & descending)
+        .where(common * (num + den) >= num * (F.size("x") + F.size("y")).cast("long")).select("a", "b"))
+    discard(sets)
+    return links
 
 
 def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -271,7 +285,7 @@ def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(_may_link(F.col("n"), F.col("c_n"), F.col("at"), F.col("c_at"), t))
         .select(F.least("name", "c").alias("a"), F.greatest("name", "c").alias("b")).distinct()
     )
-    first = cut_lineage(_verified(to_centre, docs, described, doc_id, text, width, t))
+    first = _verified(to_centre, docs, described, doc_id, text, width, t)
     labels = components(first)
     labelled = cut_lineage(
         buckets.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")))
@@ -293,7 +307,11 @@ def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      <= (F.col("x_n") + F.col("y_n")) * (t.denominator - t.numerator)))
     rest = rest.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct()
     second = _verified(rest.join(first, ["a", "b"], "left_anti"), docs, described, doc_id, text, width, t)
-    return described.select("id", "name", "n"), cut_lineage(first.unionByName(second))
+    links = cut_lineage(first.unionByName(second))
+    names = cut_lineage(described.select("id", "name", "n"))
+    for used in (described, buckets, centres, labelled, mixed, open_):
+        discard(used)
+    return names, links
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
