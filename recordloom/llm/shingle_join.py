@@ -39,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.llm import shingles
-from recordloom.llm.common import text_of
+from recordloom.llm.common import keyed_by_text, text_of
 from recordloom.session import cut_lineage, discard
 
 #: Most shingles in the broadcast order; 8 MB.
 ORDER_SIZE = 1 << 20
 #: A shingle in fewer texts than this is rare, whatever its count.
 FREQUENT = 8
-#: Texts with candidates whose ids are broadcast to fetch them, at most; 16 MB.
+#: Texts with candidates whose ids are broadcast to fetch them, at most; 32 MB.
 MOST_IDS = 1_000_000
 #: Shingles that a task gathers before it counts them.
 FLUSH = 1 << 21
@@ -129,7 +129,7 @@ def _prefix_size(n: int, t: Fraction) -> int:
 
 
 def _described(width: int, t: Fraction, order):
-    """Arrow batches (id, text) -> per text its set's name, size, parity bits and prefix in the first order."""
+    """Arrow batches (id, text, text key) -> per text its set's name, size, parity bits and prefix in the first order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = order.value
         for batch in batches:
@@ -154,9 +154,10 @@ def _described(width: int, t: Fraction, order):
                     often.append(few[:0].view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, longs),
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(names, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(bits, longs),
                  pa.array(rare, longs), pa.array(often, longs), pa.array(n_rare, pa.int64())],
-                ["id", "name", "n", "bits", "rare", "often", "n_rare"])
+                ["id", "k1", "k2", "name", "n", "bits", "rare", "often", "n_rare"])
     return run
 
 
@@ -221,23 +222,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _is_row(doc_id: str | Column, of: DataFrame) -> Column:
+    """The row of that id and text key. An id alone may be null or stand for several texts."""
+    own = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return own.eqNullSafe(of["id"]) & (F.col("_k1") == of["k1"]) & (F.col("_k2") == of["k2"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, doc_id: str, text: str,
               width: int, t: Fraction) -> DataFrame:
     """The stored pairs ``a, b`` that pass the other orders and reach the similarity."""
     pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    # the least id of each name, and whether several rows have both
+    # the least id and text of each name, and whether several rows have both
     ids = cut_lineage(
-        described.join(wanted, "name").groupBy("name", "id").agg(F.count("*").alias("rows"))
-        .groupBy("name").agg(F.min(F.struct(F.col("id").isNull(), "id", "rows")).alias("f"))
-        .select("name", F.col("f.id").alias("id"), (F.col("f.rows") > 1).alias("again")))
+        described.join(wanted, "name").groupBy("name", "id", "k1", "k2").agg(F.count("*").alias("rows"))
+        .groupBy("name").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2", "rows")).alias("f"))
+        .select("name", "f.id", "f.k1", "f.k2", (F.col("f.rows") > 1).alias("again")))
     many = not ids.where("again").isEmpty()
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t"))
+    rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t"), *keyed_by_text(docs, text))
 
     def members(of):
-        return rows.join(of, F.col("_id").eqNullSafe(F.col("id"))).select("name", "_t").mapInArrow(
+        return rows.join(of, _is_row("_id", of)).select("name", "_t").mapInArrow(
             _full_sets(width), "name long, members array<long>")
 
     # sets are large: only where rows repeat are they dealt out to make them single
@@ -267,14 +274,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, doc_id: s
 
 def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                     similarity: str = "0.75") -> tuple[DataFrame, DataFrame]:
-    """``described`` texts (``id, name, n``) and the ``links`` (``a, b``) that hold the components together."""
+    """``described`` texts (``id, k1, k2, name, n``; two longs name the text itself) and the ``links`` (``a, b``) that hold the components together."""
     t = Fraction(similarity)
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_shingles(docs, text, width))
     kind = dict(docs.select(F.col(doc_id).alias("id")).dtypes)["id"]
     described = cut_lineage(
-        docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t"))
-        .mapInArrow(_described(width, t, order), f"id {kind}, name long, n long, bits array<long>, rare array<long>, "
+        docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t"), *keyed_by_text(docs, text))
+        .mapInArrow(_described(width, t, order), f"id {kind}, k1 long, k2 long, name long, n long, bits array<long>, rare array<long>, "
                                                  "often array<long>, n_rare long"))
     buckets = _buckets(described)
     centres = cut_lineage(
@@ -308,20 +315,25 @@ def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = rest.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct()
     second = _verified(rest.join(first, ["a", "b"], "left_anti"), docs, described, doc_id, text, width, t)
     links = cut_lineage(first.unionByName(second))
-    names = cut_lineage(described.select("id", "name", "n"))
+    names = cut_lineage(described.select("id", "k1", "k2", "name", "n"))
     for used in (described, buckets, centres, labelled, mixed, open_):
         discard(used)
     return names, links
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
-            similarity: str = "0.75") -> DataFrame:
-    """One row per document: its id, ``n_shingles`` and ``component_id``."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, similarity: str) -> tuple[DataFrame, DataFrame]:
+    """The described texts, and those with words (``id, k1, k2, name, n``) under their component's ``label``."""
     described, links = links_and_names(docs, doc_id, text, width, similarity)
     labels = components(links)
-    full = cut_lineage(
+    return described, cut_lineage(
         described.where(F.col("n") > 0).join(labels, "name", "left")
-        .select("id", "n", F.coalesce("label", "name").alias("label")))
+        .select("id", "k1", "k2", "name", "n", F.coalesce("label", "name").alias("label")))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
+            similarity: str = "0.75") -> DataFrame:
+    """One row per document: its id, ``n_shingles`` and ``component_id``."""
+    described, full = _labelled(docs, doc_id, text, width, similarity)
     least = cut_lineage(full.groupBy("label").agg(F.min("id").alias("component_id")))
     none = described.where(F.col("n") == 0).select("id", "n", F.col("id").alias("component_id"))
     return full.join(least, "label").select("id", "n", "component_id").unionByName(none).select(
@@ -330,13 +342,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                 similarity: str = "0.75") -> DataFrame:
-    """The documents that carry their component's id, one row each; texts without words all stay. The
+    """One row of each component: the first by id (null last), name and text; texts without words all stay. The
     columns of ``docs``."""
-    found = classes(docs, doc_id, text, width, similarity)
+    _, full = _labelled(docs, doc_id, text, width, similarity)
+    # rows of one id and text are copies; of them any one stays
     kept = cut_lineage(
-        found.where(F.col("n_shingles") > 0).select(F.col("component_id").alias("_kept")).distinct())
+        full.groupBy("label", "id", "name", "k1", "k2").agg(F.count("*").alias("rows"))
+        .groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "name", "k1", "k2", "rows")).alias("f"))
+        .select("f.id", "f.k1", "f.k2", (F.col("f.rows") > 1).alias("again")))
     t = text_of(text)
     empty = F.length(F.translate(t, " \t\n\x0b\x0c\r", "")) == 0
-    rows = docs.where(~empty)
-    firsts = rows.join(kept, rows[doc_id].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([doc_id])
-    return firsts.unionByName(docs.where(empty)).select(*docs.columns)
+    key = keyed_by_text(docs, text)
+    rows = docs.where(~empty).withColumns({"_k1": key[0], "_k2": key[1]})
+
+    def those(of):
+        return rows.join(of, _is_row(rows[doc_id], of), "left_semi")
+
+    firsts = those(kept.where("NOT again"))
+    if not kept.where("again").isEmpty():
+        firsts = firsts.unionByName(those(kept.where("again")).dropDuplicates([doc_id, "_k1", "_k2"]))
+    return firsts.drop("_k1", "_k2").unionByName(docs.where(empty)).select(*docs.columns)

@@ -88,3 +88,12 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 101)], "a long, b long")
     found = {r["name"]: r["label"] for r in shingle_join.components(links).collect()}
     assert all(found[k] == 0 for k in range(61)) and found[101] == 100
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    unlinked = [(None, prose(k)) for k in range(20)] + [(7, prose(100)), (7, prose(101)), (7, prose(102))]
+    copies = [(None, prose(0)), (None, prose(1).upper()), (7, prose(101)), (8, prose(102) + " end"), (3, prose(103)), (7, prose(103) + " end")]
+    docs = spark.createDataFrame(unlinked + copies, "doc_id long, text string")
+    got = [(r.doc_id, r.text.lower().removesuffix(" end")) for r in shingle_join.one_of_each(docs.repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted([*unlinked, (3, prose(103))], key=str)
