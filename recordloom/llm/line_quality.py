@@ -5,12 +5,13 @@ distinct documents that hold a line are counted per host. Lines held by more tha
 ``max_docs`` documents of their host are removed; a document that loses more
 than it may is rejected, and so is one that fails the base rules.
 
-*Distinct* documents: copies of a text count once. Near copies share most of
-their lines, so each of a document's widespread lines is counted under the
-document's most widespread *other* line (its companion), once per companion. A line
-that stands in many unrelated documents has as many companions; the lines of a
-group of near copies have only each other, however large the group is. The
-group therefore stays and is left to near-duplicate removal.
+*Distinct* documents: copies of a text count once, and a group of near copies
+counts little, however large it is, so that it stays and is left to near-duplicate
+removal. A text is taken for a near copy if its widespread lines are more than half of its
+words and hold all but a seventh of its shingles of ``SHINGLE`` words, the other lines counted
+by their shingles too (two texts that share six sevenths have a Jaccard similarity of 0.75).
+Texts without new words of their own are told apart by the most widespread *other* line of
+each of their lines (its companion). Every other text counts as itself, whatever lines it shares.
 
 Nothing is gathered per key: lines are counted with map-side partial sums, joins are on
 keys that the planner can split, and windows are over the widespread lines of one
@@ -34,6 +35,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
+SHINGLE = 5
+#: A near copy has one new shingle in so many at most.
+NEW_IN = 7
 
 
 def _repeated(words: Column) -> Column:
@@ -88,16 +92,19 @@ def _normal_lines(t: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """One row per distinct text and distinct line: host, text key, line hash, words of all its occurrences."""
+    """One row per distinct text and distinct line: host, text key, line hash, words of all its occurrences and
+    of the text."""
     t = text_of(text)
 
     def unique(sorted_):
         heads = F.filter(
             F.transform(sorted_, lambda e, k: F.struct(e["h"].alias("h"), e["n"].alias("n"), k.alias("k"))),
             lambda e, k: (k == 0) | (e["h"] != F.get(sorted_, k - 1)["h"]))
-        return let(heads, lambda u: F.transform(u, lambda e, j: F.struct(
+        words = total(F.transform(sorted_, lambda e: e["n"]))
+        return let(F.struct(heads.alias("u"), words.alias("w")), lambda x: F.transform(x["u"], lambda e, j: F.struct(
             e["h"].alias("line"),
-            (e["n"] * (F.coalesce(F.get(u, j + 1)["k"], F.size(sorted_)) - e["k"])).alias("words"))))
+            (e["n"] * (F.coalesce(F.get(x["u"], j + 1)["k"], F.size(sorted_)) - e["k"])).alias("words"),
+            x["w"].alias("total"))))
 
     hashed = F.transform(
         F.filter(_normal_lines(t), lambda x: F.length(F.trim(x)) > 0),
@@ -107,7 +114,7 @@ def _line_rows(docs: DataFrame, host: str, text: str) -> DataFrame:
         F.col(host).alias("_host"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
         F.explode(let(F.sort_array(hashed), unique)).alias("_line"))
     return rows.select("_host", "_k1", "_k2", F.col("_line.line").alias("_line"),
-                       F.col("_line.words").cast("long").alias("_words")).distinct()
+                       F.col("_line.words").cast("long").alias("_words"), F.col("_line.total").alias("_total")).distinct()
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
@@ -117,6 +124,42 @@ def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
     return on
 
 
+def _near_copies(docs: DataFrame, wide: DataFrame, host: str, text: str) -> DataFrame:
+    """Keys ``_nh, _n1, _n2`` of the texts with next to nothing but widespread lines or what such lines hold."""
+    key = ("_host", "_k1", "_k2")
+    t = text_of(text)
+    mostly = cut_lineage(
+        wide.groupBy(*key).agg(F.sum("_words").alias("_w"), F.max("_total").alias("_t"))
+        .where(2 * F.col("_w") > F.col("_t")).select(*key))
+
+    def shingled(line):
+        return let(F.split(line, " "), lambda w: F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))),
+            lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))))
+
+    keyed = docs.select(F.col(host).alias("_host"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
+                        t.alias("_t"))
+    lines = keyed.join(mostly, _same(keyed, mostly, *key), "left_semi").select(
+        *key, F.explode(_normal_lines(F.col("_t"))).alias("_l")).where(F.length(F.trim("_l")) > 0)
+    lines = lines.select(*key, md5_number(F.trim("_l")).alias("_line"), shingled(F.trim("_l")).alias("_s")) \
+        .dropDuplicates([*key, "_line"])
+    w = wide.select(F.col("_host").alias("_wh"), F.col("_k1").alias("_w1"), F.col("_k2").alias("_w2"),
+                    F.col("_line").alias("_wl"))
+    lines = cut_lineage(lines.join(
+        w, lines["_host"].eqNullSafe(w["_wh"]) & (lines["_k1"] == w["_w1"]) & (lines["_k2"] == w["_w2"])
+        & (lines["_line"] == w["_wl"]), "left").select(*key, "_line", "_s", F.col("_wl").isNotNull().alias("_wide")))
+    known = lines.where("_wide").select("_host", "_line", "_s").dropDuplicates(["_host", "_line"]) \
+        .select(F.col("_host").alias("_sh"), F.explode("_s").alias("_ss")).distinct()
+    own = lines.where("NOT _wide").select(*key, F.explode("_s").alias("_s"))
+    new = own.join(known, own["_host"].eqNullSafe(known["_sh"]) & (own["_s"] == known["_ss"]), "left_anti") \
+        .groupBy(*key).agg(F.count("*").alias("_new")).withColumnsRenamed({"_host": "_nh", "_k1": "_n1", "_k2": "_n2"})
+    sizes = lines.groupBy(*key).agg(F.sum(F.size("_s")).alias("_all"))
+    return sizes.join(new, sizes["_host"].eqNullSafe(new["_nh"]) & (sizes["_k1"] == new["_n1"])
+                      & (sizes["_k2"] == new["_n2"]), "left") \
+        .where(NEW_IN * F.coalesce("_new", F.lit(0)) <= F.col("_all")) \
+        .select(F.col("_host").alias("_nh"), F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"))
+
+
 def removals(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 20) -> DataFrame:
     """Per host and text that loses lines: ``_host, _k1, _k2, _removed_words, _removed_lines`` (hashes)."""
     lines = cut_lineage(_line_rows(docs, host, text))
@@ -133,8 +176,13 @@ def removals(docs: DataFrame, host: str = "source", text: str = "text", max_docs
     first = F.max(F.when(F.col("_rank") == 1, F.col("_line"))).over(per_text)
     # no other widespread line: the text itself is the companion
     companion = F.when(F.col("_rank") == 1, F.coalesce(second, F.col("_k1"))).otherwise(first)
+    ranked = ranked.select(*text_key, "_line", companion.alias("_with"))
+    near = cut_lineage(_near_copies(docs, wide, host, text))
+    counted = ranked.join(near, ranked["_host"].eqNullSafe(near["_nh"]) & (ranked["_k1"] == near["_n1"])
+                          & (ranked["_k2"] == near["_n2"]), "left")
     spread = (
-        ranked.select("_host", "_line", companion.alias("_with")).distinct()
+        counted.select("_host", "_line", F.when(F.col("_n1").isNotNull(), F.col("_with"))
+                       .otherwise(F.col("_k1")).alias("_with")).distinct()
         .groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > max_docs)
         .select(F.col("_host").alias("_sh"), F.col("_line").alias("_sl"))
     )

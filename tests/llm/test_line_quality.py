@@ -77,3 +77,23 @@ def test_clean_removes_lines(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert line_quality.judge(docs).count() == 0 and line_quality.clean(docs).count() == 0
+
+
+def test_lines_that_stand_together_in_unrelated_documents(spark):
+    prose = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    notice = "some notice stands here\nand goes on"
+    rows = [(k, "h", prose(k, 40) + "\n" + notice) for k in range(100)]
+    long = "\n".join(prose(f"f{j}", 10) for j in range(3))  # more than half of its pages, which are unrelated
+    rows += [(200 + k, "h", prose(200 + k, 20) + "\n" + long) for k in range(50)]
+    base = [prose(f"b{j}", 20).split() for j in range(8)]  # near copies with a word changed in three of eight lines
+    for k in range(60):
+        lines = [list(x) for x in base]
+        for j in range(3):
+            lines[(k + 3 * j) % 8][k % 20] = f"e{k}x{j}"
+        rows.append((300 + k, "h", "\n".join(map(" ".join, lines))))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in line_quality.judge(docs, columns=["doc_id"]).collect()}
+    assert all(got[k].n_removed_words == 7 and got[k].kept for k in range(100))
+    assert all(got[200 + k].n_removed_words == 30 and not got[200 + k].kept for k in range(50))
+    assert all(got[300 + k].n_removed_words == 0 and got[300 + k].kept for k in range(60))
+    assert {r.text for r in line_quality.clean(docs).where("doc_id < 100").collect()} == {prose(k, 40) for k in range(100)}
