@@ -7,13 +7,15 @@ documents, the pointwise mutual information of entity ``c`` and term ``t``,
 ``IC(c) = -ln p(c)``. A term that carries ``disclose`` of it or more (``PMI >= disclose * IC``)
 reveals the entity in every text that names both: it is removed if it occurs with the
 entity only (``PMI = IC``), else generalised to its class. ``support`` is the least number
-of distinct texts that must hold both, since fewer are no estimate.
+of distinct texts (``by="documents"``: of documents, copies included) that must hold both, since fewer
+are no estimate. With ``everywhere`` a disclosing term is generalised in texts that do not name the
+entity too, as it gives the entity away there just as well.
 
 All of it is DataFrame code. Positions come from pairs of ``split`` and
 ``regexp_extract_all`` with the same pattern, in code points. The patterns are possessive and
 anchored at the start of a run, so that long runs cost linear time and no stack.
 
-A text with copies is read once and weighs as many as it has. Only entities in at least ``support`` texts are paired with
+A text with copies is read once and weighs as many as it has. Only entities with that ``support`` are paired with
 terms, counts have map-side partial sums, and the text itself never enters a
 shuffle: the terms of a text are joined by a key of two longs.
 
@@ -127,8 +129,11 @@ def _entities(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, value))
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3,
+                     by: str = "texts", everywhere: bool = False) -> DataFrame:
     """Per distinct text with such terms: ``_k1, _k2, _terms`` (spans, kind 4 removed, 5 generalised)."""
+    if by not in ("texts", "documents"):
+        raise ValueError(f"support is by texts or documents, not {by}")
     t = text_of(text)
     # a generator instead of a filter on the spans, which the planner would compute twice
     found = docs.select(
@@ -144,14 +149,14 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9,
 
     holds = one.select(*key, "_copies", F.explode("_entities").alias("_c"))
     known = holds.groupBy("_c").agg(F.count("*").alias("_texts"), F.sum("_copies").alias("_nc")) \
-        .where(F.col("_texts") >= support).drop("_texts")
+        .where(F.col("_texts" if by == "texts" else "_nc") >= support).drop("_texts")
     held = cut_lineage(holds.join(known, "_c"))
     terms = one.select(*key, F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("_masked"), F.lit(TERM), F.lit(0)))).alias("_w"))
     pairs = cut_lineage(
         held.join(terms, [*key]).groupBy("_c", "_w")
         .agg(F.count("*").alias("_texts"), F.sum("_copies").alias("_nct"), F.max("_nc").alias("_nc"))
-        .where(F.col("_texts") >= support).drop("_texts"))
+        .where(F.col("_texts" if by == "texts" else "_nct") >= support).drop("_texts"))
     # every word of the corpus meets this table, so a shuffle of it is avoided where possible
     wanted = shipped_if_small(pairs.select("_w").distinct(), MOST_TERMS)
     all_terms = docs.select(F.explode(F.array_distinct(
@@ -163,7 +168,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9,
     nt = F.greatest("_nt", "_nct")
     pmi = F.log(n * F.col("_nct") / (F.col("_nc") * nt))
     ic = F.log(n / F.col("_nc"))
-    judged = (
+    judged = cut_lineage(
         pairs.join(seen, "_w")
         .where((ic > 0) & (pmi >= disclose * ic))
         .select("_c", "_w", (F.col("_nct") >= nt).alias("_only"))
@@ -173,15 +178,26 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9,
         .groupBy(*key).agg(F.collect_set(F.when(F.col("_only"), F.col("_w"))).alias("_gone"),
                            F.collect_set("_w").alias("_all"))
     )
+    masked = one.select(*key, "_masked")
+    if everywhere:
+        judged_terms = shipped_if_small(judged.select("_w").distinct(), MOST_TERMS)
+        keyed = docs.select(F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"), t.alias("_t"))
+        hits = (
+            keyed.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("_w"))
+            .join(judged_terms, "_w", "left_semi").groupBy(*key).agg(F.collect_set("_w").alias("_every")))
+        per_text = cut_lineage(hits.join(per_text.select(*key, "_gone"), [*key], "left").select(
+            *key, F.coalesce("_gone", F.array().cast("array<string>")).alias("_gone"), F.col("_every").alias("_all")))
+        masked = keyed.join(per_text.select(*key), [*key], "left_semi").dropDuplicates([*key]) \
+            .select(*key, _masked(F.col("_t"), base_spans(F.col("_t"))).alias("_masked"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_all", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spans = matches(F.col("_masked"), F.col("_p"),
                     lambda m: F.when(F.array_contains(F.col("_gone"), F.lower(m)), 4).otherwise(5))
-    return (per_text.join(one.select(*key, "_masked"), [*key]).withColumn("_p", pattern)
+    return (per_text.join(masked, [*key]).withColumn("_p", pattern)
             .select(*key, spans.alias("_terms")))
 
 
 def find(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3,
-         columns: list[str] | None = None) -> DataFrame:
+         columns: list[str] | None = None, by: str = "texts", everywhere: bool = False) -> DataFrame:
     """The documents with ``n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans`` and the arrays
     ``_base`` and ``_terms`` of spans (start, kind, end)."""
     t = text_of(text)
@@ -189,7 +205,7 @@ def find(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: in
     written = lambda a: F.array_join(F.transform(a, lambda x: F.concat(
         F.get(F.array(*[F.lit(k) for k in names]), x["k"]), F.lit(":"), x["s"].cast("string"),
         F.lit(":"), x["e"].cast("string"))), ",")
-    terms = disclosing_terms(docs, text, disclose, support).withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"})
+    terms = disclosing_terms(docs, text, disclose, support, by, everywhere).withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"})
     result = ["n_email", "n_ip", "n_card", "n_phone", "n_terms", "base_sha256", "spans"]
     carried = [c for c in (docs.columns if columns is None else columns) if c not in result]
     base = docs.select(*carried, F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
@@ -203,10 +219,11 @@ def find(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: in
         written(F.sort_array(F.concat("_base", "_terms"))).alias("spans"), "_base", "_terms")
 
 
-def sanitise(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3, by: str = "texts",
+             everywhere: bool = False) -> DataFrame:
     """``find`` with the text itself cleaned: base spans as ``[KIND]``, disclosing terms removed, or as
     ``[NUMBER]`` or ``[WORD]`` where they are generalised."""
-    found = find(docs, text, disclose, support)
+    found = find(docs, text, disclose, support, by=by, everywhere=everywhere)
     t = text_of(text)
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
 

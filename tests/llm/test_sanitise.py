@@ -147,3 +147,13 @@ def test_same_result_without_broadcast(docs, monkeypatch):
     want = sorted(r.spans for r in sanitise.find(docs, disclose=0.6, support=3).collect())
     monkeypatch.setattr(sanitise, "MOST_TERMS", 0)
     assert sorted(r.spans for r in sanitise.find(docs, disclose=0.6, support=3).collect()) == want
+
+
+def test_rare_entities_and_terms_in_other_texts(spark):
+    rows = [(k, "mail ann@x.org of wombat") for k in range(5)] + [(k, f"filler words {k} mail of") for k in range(10, 60)]
+    rows += [(60, "quokka has bob@x.org first"), (61, "write bob@x.org or quokka"), (62, "a Quokka elsewhere, cat@x.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sanitise.sanitise(docs, disclose=0.8, support=2, by="documents", everywhere=True).collect()}
+    assert all(got[k] == "mail [EMAIL] of " for k in range(5))
+    assert got[60] == "[WORD] has [EMAIL] first" and got[61] == "write [EMAIL] or [WORD]"
+    assert got[62] == "a [WORD] elsewhere, [EMAIL]" and got[10] == "filler words 10 mail of"
