@@ -1,13 +1,18 @@
 """Licence scan: parts of a text against licence templates by the Dice coefficient of word bigrams.
 
 A text is compared in parts: every line, every run of lines of which most bigrams occur in some template (a
-licence that covers several lines), and the whole text. Part and template are normalised to lower-case words;
+licence that covers several lines), the whole text, and windows of a template's number of words around its
+anchors, wherever in a line they stand. Part and template are normalised to lower-case words;
 their likeness is ``2 |A and B| / (|A| + |B|)`` over the bigrams, counted with repetition.
 
 Two multisets can only reach the threshold ``t`` if the smaller one is at least ``t / (2 - t)`` times the
 larger, so a part meets just the templates in its size range, found by bisection. Parts of sizes that no
 template has near, nearly all, are not compared.
 
+Anchors of a template are its rarest-looking bigrams (of the longest words), so many that no window which
+reaches the threshold lacks all of them: it misses ``1 - t / (2 - t)`` of the template at most. An anchor fixes the window's
+start; equal starts are compared once. Of overlapping windows the most similar one counts, whatever its licence.
+
 Documents are independent: one pass, no shuffle, memory in proportion to one text. Templates are a fixed
 parameter and travel with the function.
 
@@ -56,6 +61,20 @@ class Templates:
         self.known = frozenset().union(*self.bigrams) if made else frozenset()
         self.threshold = threshold
         self.ratio = threshold / (2 - threshold)
+        self.anchors: dict = {}
+        texts_of = sorted(((bigrams(text), name, text) for name, text in texts), key=lambda x: (x[0].total(), x[1]))
+        for k, (b, _, text) in enumerate(texts_of):
+            places: dict = {}
+            words = _WORD.findall(text.lower())
+            for i, pair in enumerate(zip(words, words[1:])):
+                places.setdefault(pair, []).append(i)
+            need = b.total() - self.ratio * b.total()
+            # the longest words first; more bigrams than a match can miss
+            for pair in sorted(places, key=lambda p: (-min(map(len, p)), -sum(map(len, p)), p)):
+                if need < -1e-9:
+                    break
+                need -= b[pair]
+                self.anchors.setdefault(pair, []).extend((k, i) for i in places[pair])
 
     def near(self, size: int) -> range:
         """The templates whose size allows the threshold."""
@@ -97,11 +116,43 @@ def _parts(text: str, templates: Templates) -> Iterator[tuple[int, int, Counter]
         yield 0, len(text), bigrams(text)
 
 
+def _windows(text: str, whole: Counter, templates: Templates) -> list[tuple[float, int, int, str]]:
+    """``-dice, start, end, licence`` of the windows around anchors that match, overlapping ones left out."""
+    present = {a for a in templates.anchors if a in whole}
+    if not present:
+        return []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    words = [text[s:e].lower() for s, e in spans]
+    pairs = list(zip(words, words[1:]))
+    starts = {(k, p - i) for p, pair in enumerate(pairs) if pair in present for k, i in templates.anchors[pair]}
+    found = []
+    for k, start in starts:
+        first, last = max(0, start), min(len(pairs), start + templates.sizes[k])
+        if last > first:
+            likeness = dice(Counter(pairs[first:last]), templates.bigrams[k])
+            if likeness >= templates.threshold:
+                found.append((-likeness, spans[first][0], spans[last][1], templates.names[k]))
+    taken: list[tuple[int, int]] = []
+    best = []
+    for x in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1], x[3])):
+        # those taken do not overlap, so only the neighbours in order can
+        at = bisect_left(taken, (x[1], x[2]))
+        if not any(s < x[2] and x[1] < e for s, e in taken[max(0, at - 1):at + 1]):
+            taken.insert(at, (x[1], x[2]))
+            best.append(x)
+    return best
+
+
 def scan(text: str, templates: Templates) -> list[tuple[str, float, int, int]]:
     """``licence, dice, start, end`` of the parts that match, in text order; of overlapping parts with the
     same licence the most similar one."""
-    found = [(-best[1], start, end, best[0]) for start, end, part in _parts(text, templates)
-             if (best := templates.best(part))]
+    found, part = [], Counter()
+    for start, end, part in _parts(text, templates):
+        if best := templates.best(part):
+            found.append((-best[1], start, end, best[0]))
+    # the last part has the bigrams of the whole text; a window inside a part that is as similar adds nothing
+    found += [x for x in _windows(text, part, templates)
+              if not any(minus <= x[0] and s < x[2] and x[1] < e for minus, s, e, _ in found)]
     kept: dict[str, list[tuple[int, int, float]]] = {}
     for minus, start, end, name in sorted(found):
         others = kept.setdefault(name, [])

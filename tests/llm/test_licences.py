@@ -47,3 +47,18 @@ def test_edge_rows(spark):
     got = sorted((r.doc_id or 0, [x.licence for x in r.found]) for r in licences.find(docs).collect())
     assert got == [(0, ["Proprietary"]), (1, []), (2, []), (2, []), (3, ["Proprietary"]), (4, [])]
     assert licences.find(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name,text", TEMPLATES)
+def test_templates_inside_a_line(made, name, text):
+    prose = "Some prose goes here and has nothing to do with it. "
+    one_line = " ".join(text.split())
+    assert [x for x in licences.scan(prose * 9 + one_line + " " + prose * 9, made) if x[0] == name and x[1] == 1.0
+            and x[2] == len(prose * 9) and x[3] >= len(prose * 9) + len(one_line) - 3]
+
+
+def test_only_the_most_similar_licence_of_a_window(made):
+    notice = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"
+    line = f"Text of the page. {notice}. More text of the page, twice: {notice}. End."
+    assert [x[0] for x in licences.scan(line, made)] == ["CC-BY-SA-4.0"] * 2
+    assert licences.scan("all the rights of a licence are licensed under a common text " * 50, made) == []
