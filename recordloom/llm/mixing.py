@@ -61,10 +61,12 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
             "_weight_before": F.sum("_weight").over(filled) - F.col("_weight"),
         })
         .withColumn("_rate", rate)
-        # the first source in order whose limit is not reached sets the rate for the rest
+        # the first source in order whose limit is not reached sets the rate for the rest; of equal ones the
+        # first has the highest rate
         .withColumn("_level", F.min(F.when(most * F.col("source_size") > F.col("_rate") * F.col("_weight"),
-                                           F.struct(F.col("source_size") / F.col("_weight"), F.col("_rate").alias("r")))
+                                           F.struct(F.col("source_size") / F.col("_weight"), (-F.col("_rate")).alias("r")))
                                     ).over(every)["r"])
+        .withColumn("_level", -F.col("_level"))
         .select("_source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(
             most * F.col("source_size").cast("double"),
             F.coalesce(F.col("_level") * F.col("_weight"), most * F.col("source_size").cast("double"))

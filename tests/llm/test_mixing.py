@@ -94,3 +94,9 @@ def test_small_tables(spark):
     assert got(mixing.mix(one)) == brute([(1, "s", "a b c")])
     none = spark.createDataFrame([(1, "s", None)], "doc_id long, source string, text string")
     assert got(mixing.mix(none)) == [(1, 0, 0, 0.0, 0)]
+
+
+def test_equal_sources_share_all_words(spark):
+    sizes = spark.createDataFrame([(x, 100) for x in "abcdef"], "_source string, source_size long")
+    found = {r["_source"]: r["target"] for r in mixing.targets(sizes, WEIGHTS, SHARE, MOST).collect()}
+    assert sum(found.values()) == pytest.approx(900) and found == pytest.approx(brute_targets({x: 100 for x in "abcdef"}))
