@@ -55,7 +55,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     """``key, valid_from, valid_to`` (exclusive, null: still valid) from ``kind, value, dated, action``."""
     clean = entries.where(F.col("kind").isNotNull() & F.col("value").isNotNull() & F.col("dated").isNotNull()
                           & F.col("action").isin("add", "remove"))
-    daily = clean.groupBy(F.concat_ws(":", "kind", F.lower("value")).alias("key"), "dated").agg(
+    # the host in lower case; a path keeps its case, as in the captures
+    host = F.substring_index("value", "/", 1)
+    value = F.concat(F.lower(host), F.expr("substring(value, length(substring_index(value, '/', 1)) + 1)"))
+    daily = clean.groupBy(F.concat_ws(":", F.col("kind"), value).alias("key"), "dated").agg(
         F.max("action").alias("action"))  # "remove" is the greater
     ahead = F.lead("dated").over(Window.partitionBy("key").orderBy("dated"))
     return daily.withColumn("valid_to", ahead).where(F.col("action") == "add").select(

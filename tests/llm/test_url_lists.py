@@ -54,3 +54,11 @@ def test_equal_to_replay(spark):
     assert got == want and any(x[4] > 1 for x in got)
     assert {r.blocked for r in url_lists.judge(c, e.where("false")).collect()} == {False}
     assert url_lists.judge(c.where("false"), e).count() == 0
+
+
+def test_paths_of_prefixes_keep_their_case(spark):
+    e = spark.createDataFrame([("prefix", "A.com/Ads/", DAY, "add"), ("host", "B.ORG", DAY, "add")],
+                              "kind string, value string, dated date, action string")
+    c = spark.createDataFrame([(1, "https://a.com/Ads/x", DAY), (2, "https://a.com/ads/x", DAY), (3, "http://b.org/", DAY)],
+                              "page_id long, url string, fetched_on date")
+    assert {r.page_id: r.rule for r in url_lists.judge(c, e).collect()} == {1: "prefix:a.com/Ads/", 2: None, 3: "host:b.org"}
