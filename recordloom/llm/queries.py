@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import decontaminate, html_blocks, licences, line_quality, mixing, sanitise, sharding, shingle_join, url_lists, warc_zip
+from recordloom.llm import (
+    decontaminate, html_blocks, licences, line_quality, merkle, mixing, ranked_search, sanitise, sharding, shingle_join,
+    toxicity, url_lists, warc_zip,
+)
 from recordloom.llm.common import md5_number
 from recordloom.session import tune
 
@@ -221,3 +224,88 @@ def url_lists_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_lists.judge(_fetched(pages), _dated_lists(pages), columns=["page_id"])
     return judged.withColumn("listed_from", F.col("listed_from").cast("string"))
+
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+RANKED_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+             regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}') AS w FROM documents),
+n AS (SELECT rid, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+i AS (SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+t AS (SELECT rid, doc_id, term, count(*) AS tf FROM (SELECT rid, doc_id, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, docs),
+s AS (SELECT item_id, rid, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::BIGINT AS score
+      FROM i JOIN t USING (term) JOIN f USING (term) JOIN n USING (rid), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS k FROM s WHERE score > 0)
+SELECT item_id, k::INTEGER AS rank, doc_id, score FROM r WHERE k <= 20
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def ranked_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, *, CASE WHEN crc % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS seen
+  FROM (SELECT *, xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) AS crc FROM documents)),
+s AS (SELECT rid, doc_id, lang, text, seen, concat(
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM d),
+l AS (SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+        sha256(head || coalesce(strlen(seen) || ':' || seen, '-')) AS shown FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+        count(*) OVER (PARTITION BY lang) AS n FROM l),
+tree AS (SELECT lang, 0 AS lvl, pos, h, n FROM p
+  UNION ALL SELECT lang, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM tree WHERE n > 1
+            GROUP BY lang, lvl, pos // 8, n),
+sub AS (SELECT lang, lvl, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lvl, pos, h, n FROM sub
+  UNION ALL SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, pos // 8, n),
+-- all nodes in one numbering: the levels of the top follow after those of the group
+walk AS (SELECT rid, p.lang, 0 AS lvl, p.pos, p.n, p.shown AS node, '' AS beside FROM p
+  UNION ALL SELECT w.rid, w.lang, w.lvl + 1, w.pos // 8, (w.n + 7) // 8,
+      sha256(string_agg(CASE WHEN t.pos = w.pos THEN w.node ELSE t.h END, '' ORDER BY t.pos)),
+      w.beside || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos <> w.pos), '')
+    FROM walk w JOIN tree t ON t.lang IS NOT DISTINCT FROM w.lang AND t.lvl = w.lvl AND t.pos // 8 = w.pos // 8
+    WHERE w.n > 1 GROUP BY w.rid, w.lang, w.lvl, w.pos, w.n, w.node, w.beside),
+walk2 AS (SELECT rid, 0 AS lvl, sub.pos, sub.n, walk.node, walk.beside FROM walk JOIN sub ON sub.lang IS NOT DISTINCT FROM walk.lang WHERE walk.n = 1
+  UNION ALL SELECT w.rid, w.lvl + 1, w.pos // 8, (w.n + 7) // 8,
+      sha256(string_agg(CASE WHEN t.pos = w.pos THEN w.node ELSE t.h END, '' ORDER BY t.pos)),
+      w.beside || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos <> w.pos), '')
+    FROM walk2 w JOIN top t ON t.lvl = w.lvl AND t.pos // 8 = w.pos // 8
+    WHERE w.n > 1 GROUP BY w.rid, w.lvl, w.pos, w.n, w.node, w.beside)
+SELECT l.doc_id, l.h AS leaf, sub.h AS subroot, top.h AS root, sha256(w.beside) AS proof_sha256, w.node AS folded_root,
+  w.node = top.h AS verified
+FROM l JOIN walk2 w ON w.rid = l.rid AND w.n = 1 JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang, top WHERE top.n = 1
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # a third of the rows is shown with a changed text
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    shown = merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"),
+                           F.translate("text", UPPER, LOWER))
+    manifest = merkle.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], carried=F.when(tampered, shown))
+    root = F.lit(manifest.root)
+    return merkle.proofs(manifest).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"),
+        merkle.siblings_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("carried", "leaf"), F.col("steps")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == root)
+
+
+@query("op13_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
