@@ -40,7 +40,7 @@ def judged(tables):
 def test_held_out_rows_are_told_apart(tables, judged):
     labels = tables[1].toPandas()
     held = judged[judged.held_out].merge(labels, on="doc_id")
-    assert len(held) > 100 and (held.doc_id.map(fold) == 0).all()
+    assert len(held) > 100 and (held.doc_id.astype(int).map(fold) == 0).all()
     assert ((held.predicted == held.toxic).mean()) > 0.95
 
 
