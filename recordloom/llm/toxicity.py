@@ -1,19 +1,19 @@
 """Toxicity scores: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
 1. **Labels** count only where ``crc32(id as text) mod 5`` is not 0; the remaining rows are held out. Copies of a text are
-   one training text, toxic if half of its labels or more say so.
+   one training text, toxic if half of its labels or more say so. ``MOST_ROWS`` texts at most, taken by hash, are learnt from.
 2. **Lexicon**: for each word (and each ``STEM`` letters that longer words begin with) the log-odds of toxic against other
-   training texts, by the number of texts that hold it, with its standard error. All training texts are counted. What is significant
+   training texts, by the number of texts that hold it, with its standard error. What is significant
    becomes the lexicon, ``LEXICON`` terms at most; only the ``CANDIDATES`` words with the most toxic texts are looked at. Both are
    bounds of the model, and of what is broadcast.
 3. **Features**, ``FEATURES`` numbers per text: lexicon densities, how near the hits are to the second person, capitals, punctuation, and
    hits that show only once look-alike signs, stretched letters and spaced letters are undone. For a training
    text the lexicon is learnt without the text's own fold, so that the trees see hits as rare as they are in new texts.
-4. **Trees** (Spark ML) are fitted on three folds, the isotonic regression of their margin on the fourth, with ``MOST_ROWS`` texts
-   at most, taken by hash. The scores of all rows then come from the lexicon of all training texts.
+4. **Trees** (Spark ML) are fitted on three folds, the isotonic regression of their margin on the fourth.
+   The scores of all rows then come from the lexicon of all training texts.
 
 Id, language, source and labels are inputs of no score. Texts are read whole, in one pass and without a shuffle; what is shuffled is
-the labelled texts, once, and counts.
+keys and labels, the chosen training texts, once, and counts.
 
 Edge cases: a null or empty text has features of its own (all 0) and a score; repeated rows get equal scores; a null id is in no fold and
 held out (as it has no label); without labels of both kinds the score is the share of toxic ones, 0 without any; an empty table gives an
@@ -38,7 +38,7 @@ from recordloom.llm.common import keyed_by_text, text_of
 from recordloom.session import cut_lineage
 
 FOLDS = 5
-#: Training texts the trees and the calibration are fitted on, at most.
+#: Training texts, at most: what lexicon, trees and calibration are learnt from.
 MOST_ROWS = 40_000
 #: Words that are looked at for the lexicon, and terms in it, at most.
 CANDIDATES, LEXICON = 200_000, 20_000
@@ -47,6 +47,8 @@ LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 3, 1.0, 2.4
 #: A term whose log-odds are this high is a strong one.
 STRONG = 2.5
 STEM = 5
+#: Single letters in a row that are read as a word.
+SPELT = 4
 #: Words between a hit and the second person that count as near.
 NEAR = 5
 TREES, DEPTH = 20, 4
@@ -62,7 +64,6 @@ tú ti tus usted ustedes vosotros vuestro vuestra
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 _AROUND = " \t\r\n.,;:!?\"'`´()[]{}<>|/\\*%&#$+=~^_-…“”„‘’«»¡¿"
 _STRETCHED = re.compile(r"(.)\1{2,}")
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w(?!\w)){3,}")
 _SIGN = re.compile(r"[^\W\d_][^\w\s'’-]+[^\W\d_]|[^\W\d_][0-9]|[0-9@$][^\W\d_]")
 
 FEATURES = ("words", "strong_density", "strong", "kinds", "weight_density", "best", "stem_density", "stems", "best_stem",
@@ -103,63 +104,73 @@ class Reader:
                 return code
 
         self.codes = Known()
-        self.about: list[tuple] = []
+        #: what is known of a token -> its number, and the same by columns
         self.made: dict[tuple, int] = {}
+        self.columns: list[np.ndarray] | None = None
         self.kinds: dict[str, int] = {}
 
     def _add(self, token: str) -> int:
         """The number of what is to be known of a token; most tokens share a few numbers."""
-        word = plain(token)
+        plainly = token.isalpha() and token.islower()
+        word = token if plainly else plain(token)
         found, hidden = self.lexicon.get(word), False
-        if found is None:
+        stretched = bool(_STRETCHED.search(word))
+        if found is None and not (plainly and not stretched):
             for form in undone(token):
                 if form != word and form in self.lexicon:
                     word, found, hidden = form, self.lexicon[form], True
                     break
         stem = self.lexicon.get(word[:STEM] + "-", 0.0) if len(word) > STEM + 1 else 0.0
         kind = self.kinds.setdefault(word, len(self.kinds)) if found is not None else -1
-        about = (found or 0.0, kind, hidden, stem, word in SECOND_PERSON, len(word) > 1 and token.isupper(),
-                 bool(_SIGN.search(token)), bool(_STRETCHED.search(word)))
-        if about not in self.made:
-            self.made[about] = len(self.about)
-            self.about.append(about)
-        return self.made[about]
+        about = (found or 0.0, kind, hidden, stem, word in SECOND_PERSON, not plainly and len(word) > 1 and token.isupper(),
+                 not plainly and bool(_SIGN.search(token)), stretched, len(token) == 1 and token.isalpha())
+        number = self.made.get(about)
+        if number is None:
+            number = self.made[about] = len(self.made)
+            self.columns = None
+        return number
 
     def features(self, text: str) -> list[float]:
         tokens = text.split()
-        spaced = ["".join(c for c in m.group() if c.isalnum()) for m in _SPACED.finditer(text)]
         n = len(tokens)
         if not n:
             return [0.0] * len(FEATURES)
         if len(self.codes) > FLUSH:
             self._start()
         codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, n)
-        # tokens that hide a word letter by letter come on top
-        joined = [self.lexicon.get(w.lower(), 0.0) for w in spaced]
-        joined = [w for w in joined if w]
-        weight, kind, hidden, stem, second, shouted, sign, stretched = (np.array(x) for x in zip(*self.about))
-        odds = weight[codes]
-        strong = odds >= STRONG
-        hits = np.flatnonzero(strong)
-        people = np.flatnonzero(second[codes])
+        if self.columns is None:
+            self.columns = [np.array(x) for x in zip(*self.made)]
+        weight, kind, hidden, stem, second, shouted, sign, stretched, letter = (x[codes] for x in self.columns)
+        # words written letter by letter come on top
+        joined = [w for w in (self.lexicon.get(s, 0.0) for s in self._spelt(tokens, letter)) if w]
+        hits = np.flatnonzero(weight >= STRONG)
+        people = np.flatnonzero(second)
         near = 0
         if len(hits) and len(people):
             at = np.searchsorted(people, hits)
             before = hits - people[np.maximum(at - 1, 0)]
             after = people[np.minimum(at, len(people) - 1)] - hits
             near = int(((np.abs(before) <= NEAR) | (np.abs(after) <= NEAR)).sum())
-        stems = stem[codes]
         n_strong = len(hits) + sum(w >= STRONG for w in joined)
+        n_stems = int(np.count_nonzero(stem))
         data = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         upper, lower = int(data[65:91].sum()), int(data[97:123].sum())
         signs = int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum() + data[123:127].sum())
         return [
-            math.log1p(n), n_strong / n, math.log1p(n_strong), math.log1p(len(np.unique(kind[codes[hits]])) + len(joined)),
-            (float(odds.sum()) + sum(joined)) / n, max([float(odds.max()), *joined]),
-            float((stems > 0).sum()) / n, math.log1p(int((stems > 0).sum())), float(stems.max()),
-            near / max(1, n_strong), len(people) / n, upper / max(1, upper + lower), float(shouted[codes].sum()) / n,
-            int(data[33] + data[63]) / n, signs / n, float(sign[codes].sum()) / n,
-            (float(hidden[codes].sum()) + len(joined)) / n, float(stretched[codes].sum()) / n]
+            math.log1p(n), n_strong / n, math.log1p(n_strong), math.log1p(len(set(kind[hits].tolist())) + len(joined)),
+            (float(weight.sum()) + sum(joined)) / n, max([float(weight.max()), *joined]),
+            n_stems / n, math.log1p(n_stems), float(stem.max()),
+            near / max(1, n_strong), len(people) / n, upper / max(1, upper + lower), int(np.count_nonzero(shouted)) / n,
+            int(data[33] + data[63]) / n, signs / n, int(np.count_nonzero(sign)) / n,
+            (int(np.count_nonzero(hidden)) + len(joined)) / n, int(np.count_nonzero(stretched)) / n]
+
+    @staticmethod
+    def _spelt(tokens: list[str], letter: np.ndarray) -> list[str]:
+        """What runs of ``SPELT`` single letters or more spell."""
+        if int(np.count_nonzero(letter)) < SPELT:
+            return []
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], letter.view(np.int8), [0]])))
+        return ["".join(tokens[a:b]).lower() for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= SPELT]
 
 
 def _counted(known):
@@ -205,15 +216,21 @@ def _fold(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """``id, t, toxic, fold``: the distinct texts with labels that may be learnt from; folds 1 to 4."""
+def training_texts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most_rows: int) -> DataFrame:
+    """``t, toxic, fold``: the distinct texts with labels that may be learnt from, ``most_rows`` at most by hash; folds 1 to 4.
+
+    Texts are chosen by their keys; the chosen keys are few enough to be broadcast, and only chosen texts move.
+    """
     marks = labels.where(F.col(label).isNotNull() & (_fold(doc_id) != 0)) \
         .groupBy(F.col(doc_id).alias("id")).agg(F.avg(label).alias("toxic"))
     rows = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t"), *keyed_by_text(docs, text))
-    texts = rows.join(marks, "id").groupBy("_k1", "_k2").agg(
-        F.min("id").alias("id"), F.first("t").alias("t"), F.avg("toxic").alias("toxic"))
-    return cut_lineage(texts.select("id", "t", (F.col("toxic") >= 0.5).cast("int").alias("toxic"),
-                                    _fold("id").cast("int").alias("fold")))
+    texts = cut_lineage(
+        rows.select("id", "_k1", "_k2").join(marks, "id").groupBy("_k1", "_k2")
+        .agg(F.min("id").alias("id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+        .withColumn("fold", _fold("id").cast("int")))
+    one_in = max(1, -(-texts.count() // most_rows))
+    chosen = texts.where(F.pmod(F.xxhash64("_k1", "_k2"), F.lit(one_in)) == 0)
+    return cut_lineage(rows.join(F.broadcast(chosen), ["id", "_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("t", "toxic", "fold"))
 
 
 def lexicons(texts: DataFrame) -> list[dict[str, float]]:
@@ -275,18 +292,16 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           most_rows: int = MOST_ROWS) -> Model:
     """Learn from the labels outside fold 0."""
-    texts = training_texts(docs, labels, doc_id, text, label)
+    texts = training_texts(docs, labels, doc_id, text, label, most_rows)
     n, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         return Model(toxic / n if n else 0.0)
     found = lexicons(texts)
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    one_in = -(-n // most_rows)
     # a text's own fold is left out of the lexicon it is read with
-    sample = texts.where(F.pmod(F.xxhash64("t"), F.lit(one_in)) == 0) \
-        .select(F.col("toxic").cast("double").alias("toxic"), F.col("fold"), F.col("fold").alias("_fold"), "t")
-    described = cut_lineage(sample.mapInArrow(
-        _described(shared, 2), "toxic double, fold int, _features array<double>"))
+    described = cut_lineage(
+        texts.select(F.col("toxic").cast("double").alias("toxic"), F.col("fold"), F.col("fold").alias("_fold"), "t")
+        .mapInArrow(_described(shared, 2), "toxic double, fold int, _features array<double>"))
     # fewer texts than a fold needs for both labels are fitted and calibrated on alike
     fitted, held = described.where(f"fold < {FOLDS - 1}"), described.where(f"fold = {FOLDS - 1}")
     if any(x.select("toxic").distinct().count() < 2 for x in (fitted, held)):
