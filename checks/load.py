@@ -1,5 +1,6 @@
 """Loading: records are written as JSON or XML text by Spark and read back by the load plans."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recordloom import schema
@@ -8,6 +9,7 @@ from recordloom.operators import flatten
 from recordloom.operators.shape import keep_first
 from recordloom.session import shared_dir
 from recordloom.sources import external, readers, sinks
+from recordloom.sources.files import open_path
 
 from .registry import query, rounded
 
@@ -426,6 +428,87 @@ def jsonl_round_trip(t):
         "url", "text", F.col("member.bioguide_id").alias("bioguide_id"))
 
 
+def _write_lists(df, folder):
+    """One JSON list in one line per partition, in the shared folder."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        system, place = open_path(f"{folder}/list-{TaskContext.get().partitionId()}.json")
+        system.create_dir(place.rsplit("/", 1)[0])
+        with system.open_output_stream(place) as out:
+            first = True
+            for batch in batches:
+                for row in batch.column(0).to_pylist():
+                    out.write(("[" if first else ",").encode() + row.encode())
+                    first = False
+            out.write(b"[]" if first else b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([place])], ["file"])
+
+    df.mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+
+
+def _write_files(df, folder):
+    """Each row's ``content`` as a file ``name`` of the shared folder."""
+    def run(batches):
+        system, place = open_path(folder)
+        system.create_dir(place)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{place}/{name}") as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
+
+    df.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+@query("json_lists_by_range", """
+SELECT 'http://x/' || doc_id AS url, text, '[' || source || '"\\' AS bioguide_id FROM documents""", prelude=False)
+def json_lists_by_range(t):
+    # lists in one line, read in ranges of a quarter of a megabyte
+    folder = _fresh(t, "lists")
+    _write_lists(t.raw("documents").select(F.to_json(F.struct(
+        F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("url"), "text",
+        F.struct(F.concat(F.lit("["), F.col("source"), F.lit('"\\')).alias("bioguide_id")).alias("member")))), folder)
+    return readers.read_json_array(t.spark, f"{folder}/*.json", schema.PRESS_RELEASE, size=1 << 18).select(
+        "url", "text", F.col("member.bioguide_id").alias("bioguide_id"))
+
+
+@query("xml_dir_records", """
+SELECT 's' || s_suppkey || '.xml' AS house_xml_filename, CASE WHEN s_suppkey % 2 = 0 THEN 'LD1' ELSE 'LD2' END AS doc_type,
+  s_name AS organization, CAST(s_nationkey AS VARCHAR) || '-' || s_suppkey AS senate_id, false AS broken
+FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 's' || s_suppkey || '.xml', NULL, NULL, NULL, true FROM supplier WHERE s_suppkey % 7 = 0""", prelude=False)
+def xml_dir_records(t):
+    # one file per supplier, of two roots; every seventh breaks off
+    folder, key = _fresh(t, "xml-dir"), F.col("s_suppkey")
+    root = F.when(key % 2 == 0, F.lit("LOBBYINGDISCLOSURE1")).otherwise(F.lit("LOBBYINGDISCLOSURE2"))
+    whole = F.concat(
+        F.lit('<?xml version="1.0"?>\n<!-- <LOBBYINGDISCLOSURE3> -->\n<'), root, F.lit("><organizationName>"), "s_name",
+        F.lit("</organizationName><senateID>"), F.col("s_nationkey").cast("string"), F.lit("-"), key.cast("string"),
+        F.lit("</senateID></"), root, F.lit(">"))
+    _write_files(t.raw("supplier").withColumn("w", whole).select(
+        F.concat(F.lit("s"), key.cast("string"), F.lit(".xml")).alias("name"),
+        F.when(key % 7 == 0, F.expr("left(w, length(w) - 10)")).otherwise(F.col("w")).alias("content")), folder)
+    good, broken = readers.read_xml_dir(t.spark, [folder], schema.HOUSE_FILING)
+    none = F.lit(None).cast("string")
+    return good.select("house_xml_filename", "doc_type", F.col("organizationName").alias("organization"),
+                       F.col("senateID").alias("senate_id"), F.lit(False).alias("broken")).unionByName(
+        broken.select(F.col("source_file").alias("house_xml_filename"), none.alias("doc_type"), none.alias("organization"),
+                      none.alias("senate_id"), F.lit(True).alias("broken")))
+
+
+@query("glob_years", """
+SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1993, 1995) GROUP BY ALL""", prelude=False)
+def glob_years(t):
+    # a folder per year; only the named years are read
+    folder = _fresh(t, "years")
+    t.raw("orders").select(F.col("o_orderkey").cast("string").alias("value"), F.year("o_orderdate").alias("y")).write.partitionBy(
+        "y").json(folder)
+    paths = readers.expand_globs(t.spark, folder, "y={year}/*.json", (1993, 1995))
+    return readers.read_jsonl(t.spark, paths, schema.LOOKUP, strict=True).groupBy(
+        F.regexp_extract("source_path", r"y=(\d+)/", 1).cast("bigint").alias("year")).agg(F.count("*").alias("n"))
+
+
 @query("xml_round_trip", """
 SELECT CAST(s_suppkey AS VARCHAR) AS registration_number, s_name AS registrant_name,
        CAST(s_nationkey AS VARCHAR) AS city FROM supplier""", prelude=False)

@@ -25,7 +25,7 @@ class Source:
     glob: str
     schema: str
     plan: Callable[[DataFrame], dict[str, DataFrame]]
-    layout: str = "whole"
+    layout: str = "ranges"
 
 
 @dataclass(frozen=True)

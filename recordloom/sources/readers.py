@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.coerce import strip_null
 from ..schema import CLAIM, HOUSE_ROOTS, PROVENANCE
 from ..session import cut_lineage
+from . import json_ranges
 
 CORRUPT = "_corrupt_record"
 SOURCE = ("source_path", "source_file", "source_start")
@@ -72,40 +73,26 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, *SOURCE))
 
 
-def read_json_array(spark: SparkSession, paths, schema: str, layout: str = "whole"
+def read_json_array(spark: SparkSession, paths, schema: str, layout: str = "ranges", size: int = json_ranges.RANGE
                     ) -> DataFrame:
-    """Files that each hold one JSON list of records.
+    """Files that each hold one JSON list of records, in any layout and of any size.
 
-    ``layout="lines"`` is for big files with one element per line: they are read
-    as splittable text, so a file is spread over many tasks. ``whole`` parses a
-    file in one task and fails if it does not hold a list.
+    A file is read in ranges of ``size`` bytes that are tasks of their own; ``source_start`` is the offset of the record. A file that
+    does not hold a list is an error. ``layout="lines"`` is for files with one element per line, which
+    need no search for the elements.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         return empty(spark, schema)
-    if layout == "lines":
-        line = F.regexp_replace(F.trim("value"), r"^\[|,$|\]$", "")
-        rows = with_source(spark.read.text(paths)).select(
-            F.trim(line).alias("_line"), *SOURCE).where(F.col("_line") != "")
-        return rows.select(F.from_json("_line", schema, {"mode": "FAILFAST"}).alias("r"),
-                           *SOURCE).select("r.*", *SOURCE)
-    bad = not_lists(spark, paths)
-    if not bad.isEmpty():
-        raise ValueError(f"expected a list at top level: {bad.first()['source_path']}")
-    return with_source(spark.read.schema(schema).option("multiLine", True)
-                       .option("mode", "FAILFAST").json(paths))
-
-
-def not_lists(spark: SparkSession, paths) -> DataFrame:
-    """Files whose first non-blank character is not ``[``."""
-    lines = spark.read.text(list(paths)).select(
-        F.substring(F.trim("value"), 1, 1).alias("_c"), F.monotonically_increasing_id().alias("_i"),
-        F.col("_metadata.file_path").alias("source_path"),
-        F.col("_metadata.file_block_start").alias("_start"))
-    return (
-        lines.where((F.col("_start") == 0) & (F.col("_c") != ""))
-        .groupBy("source_path").agg(F.min_by("_c", "_i").alias("_c")).where(F.col("_c") != "[")
-    )
+    if layout == "ranges":
+        return json_ranges.read(spark, paths, schema, size)
+    if layout != "lines":
+        raise ValueError(f"unknown layout: {layout}")
+    line = F.regexp_replace(F.trim("value"), r"^\[|,$|\]$", "")
+    rows = with_source(spark.read.text(paths)).select(
+        F.trim(line).alias("_line"), *SOURCE).where(F.col("_line") != "")
+    return rows.select(F.from_json("_line", schema, {"mode": "FAILFAST"}).alias("r"),
+                       *SOURCE).select("r.*", *SOURCE)
 
 
 def read_xml(spark: SparkSession, paths, row_tag: str, schema: str) -> DataFrame:
@@ -128,20 +115,29 @@ def read_xml_dir(spark: SparkSession, dirs, schema: str, roots=None
 
 
 def read_xml_files(spark: SparkSession, paths, schema: str, roots=None) -> tuple[DataFrame, DataFrame]:
-    """``read_xml_dir`` for named files or patterns."""
+    """``read_xml_dir`` for named files or patterns.
+
+    Each file is read and parsed once, whatever its root; good and malformed ones are told apart in the same pass. A
+    file is one record, so it is one row while it is read. Files of other roots give nothing.
+    """
     roots = roots or HOUSE_ROOTS
-    parts = None
-    for doc_type, tag in roots.items():
-        df = read_xml(spark, paths, tag, schema).withColumn("doc_type", F.lit(doc_type))
-        parts = df if parts is None else parts.unionByName(df)
-    parts = cut_lineage(parts)  # parsed once for both results
-    broken = parts.where(F.col(CORRUPT).isNotNull()).groupBy("source_path").agg(
-        F.min("source_file").alias("source_file"), F.min(CORRUPT).alias(CORRUPT))
-    good = (
-        parts.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        .join(broken.select("source_path"), "source_path", "left_anti")
-        .withColumn("house_xml_filename", F.col("source_file"))
-    )
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not paths:
+        none = empty(spark, _corruptible(schema)).withColumn("doc_type", F.lit(None).cast("string"))
+        return (none.drop(CORRUPT).withColumn("house_xml_filename", F.col("source_file")),
+                none.select("source_path", "source_file", CORRUPT))
+    files = with_source(spark.read.text(paths, wholetext=True))
+    # the first tag after the prolog, comments and a document type
+    tag = F.regexp_extract("value", r"(?s)^\x{FEFF}?\s*+(?:<\?.*?\?>\s*+|<!--.*?-->\s*+|<![A-Z][^>]*>\s*+)*+<([^\s/>!?]++)", 1)
+    types = F.create_map(*[F.lit(x) for doc_type, root in roots.items() for x in (root, doc_type)])
+    record = F.from_xml("value", _corruptible(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = cut_lineage(  # parsed once for both results
+        files.withColumn("_root", tag).where(F.col("_root").isin(*roots.values()) | (F.col("_root") == ""))
+        .select(record.alias("r"), *SOURCE, types[F.col("_root")].alias("doc_type"), (F.col("_root") == "").alias("_rootless"), "value")
+        .select("r.*", *SOURCE, "doc_type", F.when(
+            F.col("_rootless") | F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull(), F.col("value")).alias("_broken")))
+    broken = parsed.where(F.col("_broken").isNotNull()).select("source_path", "source_file", F.col("_broken").alias(CORRUPT))
+    good = parsed.where(F.col("_broken").isNull()).drop(CORRUPT, "_broken").withColumn("house_xml_filename", F.col("source_file"))
     return good, broken
 
 
