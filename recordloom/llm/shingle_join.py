@@ -11,7 +11,10 @@ others before it in both together. Candidates must pass this in three orders:
 2. and 3. ascending and descending hash. They look at other members of the sets, and
    what they do not confirm is dropped before verification.
 
-All are lossless, as is a bound from 512 parity bits per set. What is left is verified on the full sets.
+All are lossless, as is a bound from 512 parity bits per set. Pairs are cut down by the first order, then by the bits, then by
+the prefixes of the other two orders; full sets are fetched and verified only for what is left.
+Shingles that one text alone holds link nothing: a broadcast map of fixed size, filled by the same counts, keeps most of
+them out of the prefixes that are dealt out, and never one that is shared.
 
 Copies, and near copies in one component, do not meet in pairs. Texts with equal sets are one
 *name*. Each prefix shingle first links its names to one centre only; components of those links are
@@ -50,6 +53,8 @@ FREQUENT = 8
 MOST_IDS = 1_000_000
 #: Shingles that a task gathers before it counts them.
 FLUSH = 1 << 21
+#: Leading bits of the hashes in the broadcast map of those that several texts hold; 16 MB.
+SHARED_BITS = 27
 
 
 def _counted(width: int, parts: int):
@@ -84,8 +89,9 @@ def _counted(width: int, parts: int):
     return run
 
 
-def _summed(least: int):
-    """All blocks of one range -> the hashes with a count of at least ``least``."""
+def _summed(least: int, parts: int):
+    """All blocks of one range -> the hashes with a count of at least ``least``, and in a row of its own (without hash) where the range
+    begins in the map of shared hashes and its bits."""
     def run(table: pa.Table) -> pa.Table:
         values, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for once, more, times in zip(*(table.column(c).to_pylist() for c in ("once", "more", "times"))):
@@ -97,18 +103,33 @@ def _summed(least: int):
         heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
         sums = np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)
         keep = sums >= least
-        return pa.table({"hash": pa.array(value[heads][keep].astype(np.int64)), "texts": pa.array(sums[keep])})
+        frequent = value[heads][keep].astype(np.int64)
+        shared = (value[heads][sums > 1] >> np.uint32(32 - SHARED_BITS)).astype(np.int64)
+        part = table.column("part")[0].as_py()
+        # from the first byte of the map that the range touches; neighbours may share one
+        low, high = (-(-k * (1 << 32) // parts) >> (32 - SHARED_BITS + 3) for k in (part, part + 1))
+        bits = np.zeros(8 * (high - low + 1), np.uint8)
+        bits[shared - 8 * low] = 1
+        return pa.table({
+            "hash": pa.array([*frequent.tolist(), None], pa.int64()), "texts": pa.array([*sums[keep].tolist(), low], pa.int64()),
+            "shared": pa.array([None] * len(frequent) + [np.packbits(bits).tobytes()], pa.binary())})
     return run
 
 
-def frequent_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles: 32-bit hashes in order, and their counts."""
+def frequent_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles: 32-bit hashes in order, and their counts; and a map of the leading bits of all hashes that several
+    texts hold."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = cut_lineage(
         docs.select(text_of(text).alias("t"))
         .mapInArrow(_counted(width, parts), "part int, once binary, more binary, times binary")
-        .groupBy("part").applyInArrow(_summed(FREQUENT), "hash long, texts long"))
+        .groupBy("part").applyInArrow(_summed(FREQUENT, parts), "hash long, texts long, shared binary"))
+    shared = np.zeros((1 << SHARED_BITS - 3) + 1, np.uint8)
+    for row in counts.where("hash IS NULL").select("texts", "shared").toLocalIterator():
+        piece = np.frombuffer(row.shared, np.uint8)[:len(shared) - row.texts]
+        shared[row.texts:row.texts + len(piece)] |= piece
+    counts = counts.where("hash IS NOT NULL")
     # counts in classes of an eighth of a power of two: a table of a few hundred rows
     kind = F.floor(F.log2("texts") * 8)
     classes = counts.groupBy(kind.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
@@ -119,9 +140,15 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarra
             break
         least = row.k
     if least is None:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), shared
     top = counts.where(kind >= least).toPandas().sort_values("hash")
-    return top["hash"].to_numpy().astype(np.uint32), top["texts"].to_numpy().astype(np.int64)
+    return top["hash"].to_numpy().astype(np.uint32), top["texts"].to_numpy().astype(np.int64), shared
+
+
+def _is_shared(top: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Whether the map has these 32-bit hashes; it has all that several texts hold."""
+    at = top >> np.uint32(32 - SHARED_BITS)
+    return (shared[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & np.uint8(1) == 1
 
 
 def _prefix_size(n: int, t: Fraction) -> int:
@@ -129,11 +156,14 @@ def _prefix_size(n: int, t: Fraction) -> int:
 
 
 def _described(width: int, t: Fraction, order):
-    """Arrow batches (id, text, text key) -> per text its set's name, size, parity bits and prefix in the first order."""
+    """Arrow batches (id, text, text key) -> per text its set's name, size, parity bits and prefix in the first order.
+
+    Of the rare part of the prefix only shingles stay that another text may hold, with their places.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = order.value
+        hashes, counts, shared = order.value
         for batch in batches:
-            names, sizes, bits, rare, often, n_rare = [], [], [], [], [], []
+            names, sizes, bits, rare, places, often, n_rare = [], [], [], [], [], [], []
             for grams in shingles.of_texts(batch.column(1), width):
                 n = len(grams)
                 sizes.append(n)
@@ -145,7 +175,9 @@ def _described(width: int, t: Fraction, order):
                 known = hashes[np.minimum(where, len(hashes) - 1)] == top if len(hashes) else np.zeros(n, bool)
                 few = grams[~known]
                 n_rare.append(len(few))
-                rare.append(few[:p].view(np.int64))
+                place = np.flatnonzero(_is_shared(top[~known][:p], shared))
+                rare.append(few[place].view(np.int64))
+                places.append(place.astype(np.int32))
                 if p > len(few):
                     many = grams[known]
                     many = many[np.lexsort((many, counts[where[known]]))]
@@ -155,26 +187,36 @@ def _described(width: int, t: Fraction, order):
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(names, pa.int64()),
-                 pa.array(sizes, pa.int64()), pa.array(bits, longs),
-                 pa.array(rare, longs), pa.array(often, longs), pa.array(n_rare, pa.int64())],
-                ["id", "k1", "k2", "name", "n", "bits", "rare", "often", "n_rare"])
+                 pa.array(sizes, pa.int64()), pa.array(bits, longs), pa.array(rare, longs),
+                 pa.array(places, pa.list_(pa.int32())), pa.array(often, longs), pa.array(n_rare, pa.int64())],
+                ["id", "k1", "k2", "name", "n", "bits", "rare", "places", "often", "n_rare"])
     return run
 
 
-def _full_sets(width: int):
-    """Arrow batches (name, text) -> the text's full set, where it is the set of that name."""
+def _sets(width: int, of):
+    """Arrow batches (name, text) -> lists that ``of`` takes from the text's sorted shingles, where they are the set of that name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sets = [], []
+            names, lists = [], []
             for wanted, grams in zip(batch.column(0).to_pylist(), shingles.of_texts(batch.column(1), width)):
                 if len(grams) and shingles.name_of(grams) == wanted:
                     names.append(wanted)
-                    sets.append(np.sort(grams.view(np.int64)))
+                    lists.append(of(grams))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["name", "members"])
+                [pa.array(names, pa.int64()), *(pa.array(x, pa.list_(pa.from_numpy_dtype(x[0].dtype) if x else pa.int64()))
+                                                for x in (zip(*lists) if lists else ((), ())))], ["name", "x", "y"])
     return run
 
 
+def _halves(t: Fraction):
+    """The prefixes in ascending and in descending order of the hash, by 32 bits."""
+    def of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = _prefix_size(len(grams), t)
+        top = (grams >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return top[:p], top[-p:]
+    return of
+
+
 def _may_link(n1: Column, n2: Column, at1: Column, at2: Column, t: Fraction) -> Column:
     """Sizes that can reach ``t``, and few enough shingles before a first common one."""
     num, den = t.numerator, t.denominator
@@ -185,7 +227,7 @@ def _may_link(n1: Column, n2: Column, at1: Column, at2: Column, t: Fraction) ->
 def _buckets(described: DataFrame) -> DataFrame:
     """Prefix shingles that several names share: ``token, name, at, n``."""
     one = described.where(F.col("n") > 0)
-    rare = one.select("name", "n", F.posexplode("rare").alias("at", "token"))
+    rare = one.select("name", "n", F.inline(F.arrays_zip(F.col("places").alias("at"), F.col("rare").alias("token"))))
     whole = Window.partitionBy("token")
     # in the texts of a rare shingle, as many at most as its count
     shared = (
@@ -228,47 +270,66 @@ def _is_row(doc_id: str | Column, of: DataFrame) -> Column:
     return own.eqNullSafe(of["id"]) & (F.col("_k1") == of["k1"]) & (F.col("_k2") == of["k2"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, doc_id: str, text: str,
-              width: int, t: Fraction) -> DataFrame:
-    """The stored pairs ``a, b`` that pass the other orders and reach the similarity."""
-    pairs = cut_lineage(pairs)
+def _like_bits(x: str, y: str, n1: Column, n2: Column, t: Fraction) -> Column:
+    """Whether parity bits differ in few enough places: sets differ in as many shingles at least."""
+    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(1, 8)),
+                 F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    return differ * (t.numerator + t.denominator) <= (n1 + n2) * (t.denominator - t.numerator)
+
+
+def _one_per_name(described: DataFrame) -> DataFrame:
+    """``name, id, k1, k2, again, n, bits``: the least id and text of each set, and whether several rows have both. Copies are counted
+    by row and text first, so that a set of many copies is no hot key."""
+    bits = described.where(F.col("n") > 0).groupBy("name", "id", "k1", "k2", "n").agg(
+        F.count("*").alias("rows"), F.first("bits").alias("bits"))
+    return cut_lineage(
+        bits.groupBy("name", "n").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2", "rows")).alias("f"), F.first("bits").alias("bits"))
+        .select("name", "f.id", "f.k1", "f.k2", (F.col("f.rows") > 1).alias("again"), "n", "bits"))
+
+
+def _fetched(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, doc_id: str, text: str, width: int, of, kind: str) -> DataFrame:
+    """``name, x, y`` for the names in the pairs: what ``of`` takes from their shingles."""
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    # the least id and text of each name, and whether several rows have both
-    ids = cut_lineage(
-        described.join(wanted, "name").groupBy("name", "id", "k1", "k2").agg(F.count("*").alias("rows"))
-        .groupBy("name").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2", "rows")).alias("f"))
-        .select("name", "f.id", "f.k1", "f.k2", (F.col("f.rows") > 1).alias("again")))
+    ids = cut_lineage(firsts.drop("n", "bits").join(wanted, "name", "left_semi"))
     many = not ids.where("again").isEmpty()
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
     rows = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t"), *keyed_by_text(docs, text))
 
-    def members(of):
-        return rows.join(of, _is_row("_id", of)).select("name", "_t").mapInArrow(
-            _full_sets(width), "name long, members array<long>")
+    def taken(ids):
+        return rows.join(ids, _is_row("_id", ids)).select("name", "_t").mapInArrow(
+            _sets(width, of), f"name long, x array<{kind}>, y array<{kind}>")
 
-    # sets are large: only where rows repeat are they dealt out to make them single
-    sets = members(ids.where("NOT again"))
+    # lists are large: only where rows repeat are they dealt out to make them single
+    sets = taken(ids.where("NOT again"))
     if many:
-        sets = sets.unionByName(members(ids.where("again")).dropDuplicates(["name"]))
-    sets = cut_lineage(sets)
-    both = (
-        pairs.join(sets.select(F.col("name").alias("a"), F.col("members").alias("x")), "a")
-        .join(sets.select(F.col("name").alias("b"), F.col("members").alias("y")), "b")
-    )
-    num, den = t.numerator, t.denominator
+        sets = sets.unionByName(taken(ids.where("again")).dropDuplicates(["name"]))
+    return cut_lineage(sets)
 
-    def prefix(column):
-        n = F.size(column)
-        return n - F.ceil(n * num / den).cast("int") + 1
 
-    ascending = F.arrays_overlap(F.slice("x", F.lit(1), prefix("x")), F.slice("y", F.lit(1), prefix("y")))
-    descending = F.arrays_overlap(F.slice("x", -prefix("x"), prefix("x")), F.slice("y", -prefix("y"), prefix("y")))
-    common = F.size(F.array_intersect("x", "y")).cast("long")
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, doc_id: str, text: str,
+              width: int, t: Fraction) -> DataFrame:
+    """The pairs ``a, b`` of the first order that pass the parity bits, then the other two orders on their prefixes alone, and
+    reach the similarity. Full sets are fetched for what is left after that."""
+    def side(table, name, *columns):
+        return table.select(F.col("name").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    alike = cut_lineage(
+        pairs.join(side(firsts, "a", "n", "bits"), "a").join(side(firsts, "b", "n", "bits"), "b")
+        .where(_like_bits("a_bits", "b_bits", F.col("a_n"), F.col("b_n"), t)).select("a", "b"))
+    ends = _fetched(alike, docs, firsts, doc_id, text, width, _halves(t), "int")
+    near = cut_lineage(
+        alike.join(side(ends, "a", "x", "y"), "a").join(side(ends, "b", "x", "y"), "b")
+        .where(F.arrays_overlap("a_x", "b_x") & F.arrays_overlap("a_y", "b_y")).select("a", "b"))
+    discard(ends)
+    sets = _fetched(near, docs, firsts, doc_id, text, width, lambda grams: (np.sort(grams.view(np.int64)), grams[:0].view(np.int64)), "bigint")
+    both = near.join(side(sets, "a", "x"), "a").join(side(sets, "b", "x"), "b")
+    num, den = t.numerator, t.denominator
+    common = F.size(F.array_intersect("a_x", "b_x")).cast("long")
     links = cut_lineage(
-        both.where(ascending & descending)
-        .where(common * (num + den) >= num * (F.size("x") + F.size("y")).cast("long")).select("a", "b"))
-    discard(sets)
+        both.where(common * (num + den) >= num * (F.size("a_x") + F.size("b_x")).cast("long")).select("a", "b"))
+    for used in (alike, near, sets):
+        discard(used)
     return links
 
 
@@ -282,7 +343,7 @@ def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     described = cut_lineage(
         docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t"), *keyed_by_text(docs, text))
         .mapInArrow(_described(width, t, order), f"id {kind}, k1 long, k2 long, name long, n long, bits array<long>, rare array<long>, "
-                                                 "often array<long>, n_rare long"))
+                                                 "places array<int>, often array<long>, n_rare long"))
     buckets = _buckets(described)
     centres = cut_lineage(
         buckets.groupBy("token").agg(F.min(F.struct("at", "name", "n")).alias("c"))
@@ -292,31 +353,27 @@ def links_and_names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(_may_link(F.col("n"), F.col("c_n"), F.col("at"), F.col("c_at"), t))
         .select(F.least("name", "c").alias("a"), F.greatest("name", "c").alias("b")).distinct()
     )
-    first = _verified(to_centre, docs, described, doc_id, text, width, t)
+    firsts = _one_per_name(described)
+    first = _verified(to_centre, docs, firsts, doc_id, text, width, t)
     labels = components(first)
     labelled = cut_lineage(
         buckets.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")))
     mixed = cut_lineage(
         labelled.groupBy("token").agg(F.min("label").alias("main"), F.max("label").alias("_b"))
         .where(F.col("main") != F.col("_b")).select("token", "main"))
-    bits = described.where(F.col("n") > 0).groupBy("name").agg(F.first("bits").alias("bits"))
-    open_ = labelled.join(mixed, "token")
-    open_ = cut_lineage(open_.join(bits, "name"))
+    open_ = cut_lineage(labelled.join(mixed, "token").join(firsts.select("name", "bits"), "name"))
     x = open_.where(F.col("label") != F.col("main")).select(
         "token", *[F.col(c).alias(f"x_{c}") for c in ("name", "at", "n", "label", "bits")])
     y = open_.select("token", *[F.col(c).alias(f"y_{c}") for c in ("name", "at", "n", "label", "bits", "main")])
-    differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(1, 8)),
-                 F.bit_count(F.get("x_bits", F.lit(0)).bitwiseXOR(F.get("y_bits", F.lit(0)))))
     rest = x.join(y, (x["token"] == y["token"]) & (F.col("x_label") != F.col("y_label"))
                   & ((F.col("y_label") == F.col("y_main")) | (F.col("x_name") < F.col("y_name")))
                   & _may_link(F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at"), t)
-                  & (differ * (t.numerator + t.denominator)
-                     <= (F.col("x_n") + F.col("y_n")) * (t.denominator - t.numerator)))
+                  & _like_bits("x_bits", "y_bits", F.col("x_n"), F.col("y_n"), t))
     rest = rest.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct()
-    second = _verified(rest.join(first, ["a", "b"], "left_anti"), docs, described, doc_id, text, width, t)
+    second = _verified(rest.join(first, ["a", "b"], "left_anti"), docs, firsts, doc_id, text, width, t)
     links = cut_lineage(first.unionByName(second))
     names = cut_lineage(described.select("id", "k1", "k2", "name", "n"))
-    for used in (described, buckets, centres, labelled, mixed, open_):
+    for used in (described, buckets, centres, labelled, mixed, open_, firsts):
         discard(used)
     return names, links
 
