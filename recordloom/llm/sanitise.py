@@ -15,9 +15,9 @@ All of it is DataFrame code. Positions come from pairs of ``split`` and
 ``regexp_extract_all`` with the same pattern, in code points. The patterns are possessive and
 anchored at the start of a run, so that long runs cost linear time and no stack.
 
-A text with copies is read once and weighs as many as it has. Only entities with that ``support`` are paired with
-terms, counts have map-side partial sums, and the text itself never enters a
-shuffle: the terms of a text are joined by a key of two longs.
+A text with copies weighs as many as it has, and one of them is read for its terms. Only entities with that ``support`` are paired with
+terms, and counts have map-side partial sums. Texts are joined in place with what is known about them by a key of two longs, as long as that
+is small enough to be broadcast (``MOST_TERMS``, ``MOST_TEXTS``); beyond that the joins are shuffles, with equal results.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows get equal results;
 an empty table gives an empty result; all input columns stay unless they have
@@ -46,6 +46,8 @@ PHONE_DIGITS = (10, 15)
 TERM = r"[\p{L}\p{N}]{3,}"
 #: Broadcast bound for the terms whose frequency is asked for, about 100 MB in memory.
 MOST_TERMS = 1_000_000
+#: The same for the texts with such terms, which come with a list of them.
+MOST_TEXTS = 500_000
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -131,37 +133,37 @@ def _entities(text: Column, spans: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3,
                      by: str = "texts", everywhere: bool = False) -> DataFrame:
-    """Per distinct text with such terms: ``_k1, _k2, _terms`` (spans, kind 4 removed, 5 generalised)."""
+    """Per distinct text with such terms: ``_k1, _k2``, the terms ``_gone`` that are to be removed, and ``_all`` of them."""
     if by not in ("texts", "documents"):
         raise ValueError(f"support is by texts or documents, not {by}")
     t = text_of(text)
+    words = lambda column: F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(TERM), F.lit(0)))
     # a generator instead of a filter on the spans, which the planner would compute twice
     found = docs.select(
         F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
         F.inline(F.filter(F.array(F.struct(t.alias("_t"), base_spans(t).alias("_s"))),
                           lambda x: F.size(x["_s"]) > 0)))
     named = cut_lineage(found.select(
-        "_k1", "_k2", _masked(F.col("_t"), F.col("_s")).alias("_masked"),
+        F.monotonically_increasing_id().alias("_row"), "_k1", "_k2", _masked(F.col("_t"), F.col("_s")).alias("_masked"),
         _entities(F.col("_t"), F.col("_s")).alias("_entities")))
     key = ("_k1", "_k2")
-    copies = named.groupBy(*key).agg(F.count("*").alias("_copies"))
-    one = cut_lineage(named.dropDuplicates([*key]).join(copies, [*key]))
 
-    holds = one.select(*key, "_copies", F.explode("_entities").alias("_c"))
+    # a row for each text and entity, with one of the text's copies and their number
+    holds = cut_lineage(named.select("_row", *key, F.explode("_entities").alias("_c")).groupBy(*key, "_c").agg(
+        F.min("_row").alias("_row"), F.count("*").alias("_copies")))
     known = holds.groupBy("_c").agg(F.count("*").alias("_texts"), F.sum("_copies").alias("_nc")) \
         .where(F.col("_texts" if by == "texts" else "_nc") >= support).drop("_texts")
     held = cut_lineage(holds.join(known, "_c"))
-    terms = one.select(*key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("_masked"), F.lit(TERM), F.lit(0)))).alias("_w"))
+    # words of one copy of each text that names a known entity
+    chosen = shipped_if_small(held.select("_row").distinct(), MOST_TERMS)
+    terms = cut_lineage(named.join(chosen, "_row", "left_semi").select(*key, F.explode(words("_masked")).alias("_w")))
     pairs = cut_lineage(
         held.join(terms, [*key]).groupBy("_c", "_w")
         .agg(F.count("*").alias("_texts"), F.sum("_copies").alias("_nct"), F.max("_nc").alias("_nc"))
         .where(F.col("_texts" if by == "texts" else "_nct") >= support).drop("_texts"))
     # every word of the corpus meets this table, so a shuffle of it is avoided where possible
     wanted = shipped_if_small(pairs.select("_w").distinct(), MOST_TERMS)
-    all_terms = docs.select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))).alias("_w"))
-    seen = all_terms.join(wanted, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_nt"))
+    seen = docs.select(F.explode(words(t)).alias("_w")).join(wanted, "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_nt"))
     n_docs = docs.agg(F.count("*").alias("_n"))
 
     n = n_docs.scalar().cast("double")
@@ -178,22 +180,19 @@ def disclosing_terms(docs: DataFrame, text: str = "text", disclose: float = 0.9,
         .groupBy(*key).agg(F.collect_set(F.when(F.col("_only"), F.col("_w"))).alias("_gone"),
                            F.collect_set("_w").alias("_all"))
     )
-    masked = one.select(*key, "_masked")
     if everywhere:
         judged_terms = shipped_if_small(judged.select("_w").distinct(), MOST_TERMS)
-        keyed = docs.select(F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"), t.alias("_t"))
-        hits = (
-            keyed.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("_w"))
-            .join(judged_terms, "_w", "left_semi").groupBy(*key).agg(F.collect_set("_w").alias("_every")))
-        per_text = cut_lineage(hits.join(per_text.select(*key, "_gone"), [*key], "left").select(
-            *key, F.coalesce("_gone", F.array().cast("array<string>")).alias("_gone"), F.col("_every").alias("_all")))
-        masked = keyed.join(per_text.select(*key), [*key], "left_semi").dropDuplicates([*key]) \
-            .select(*key, _masked(F.col("_t"), base_spans(F.col("_t"))).alias("_masked"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_all", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    spans = matches(F.col("_masked"), F.col("_p"),
-                    lambda m: F.when(F.array_contains(F.col("_gone"), F.lower(m)), 4).otherwise(5))
-    return (per_text.join(masked, [*key]).withColumn("_p", pattern)
-            .select(*key, spans.alias("_terms")))
+        hits = docs.select(F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"), F.explode(words(t)).alias("_w")) \
+            .join(judged_terms, "_w", "left_semi").groupBy(*key).agg(F.collect_set("_w").alias("_every"))
+        per_text = hits.join(per_text.select(*key, "_gone"), [*key], "left").select(
+            *key, F.coalesce("_gone", F.array().cast("array<string>")).alias("_gone"), F.col("_every").alias("_all"))
+    return per_text
+
+
+def _term_spans(text: Column, base: Column, gone: Column, every: Column) -> Column:
+    """The spans of a text's terms outside of its base spans: kind 4 those to remove, 5 those to generalise."""
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(every, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return matches(_masked(text, base), pattern, lambda m: F.when(F.array_contains(gone, F.lower(m)), 4).otherwise(5))
 
 
 def find(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: int = 3,
@@ -205,12 +204,17 @@ def find(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: in
     written = lambda a: F.array_join(F.transform(a, lambda x: F.concat(
         F.get(F.array(*[F.lit(k) for k in names]), x["k"]), F.lit(":"), x["s"].cast("string"),
         F.lit(":"), x["e"].cast("string"))), ",")
-    terms = disclosing_terms(docs, text, disclose, support, by, everywhere).withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"})
+    # the texts stay where they are while the terms fit into a broadcast
+    terms = shipped_if_small(disclosing_terms(docs, text, disclose, support, by, everywhere), MOST_TEXTS) \
+        .withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"})
     result = ["n_email", "n_ip", "n_card", "n_phone", "n_terms", "base_sha256", "spans"]
     carried = [c for c in (docs.columns if columns is None else columns) if c not in result]
-    base = docs.select(*carried, F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"),
-                       base_spans(t).alias("_base"))
+    base = docs.select(*carried, t.alias("_t"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"))
     joined = base.join(terms, (base["_k1"] == terms["_t1"]) & (base["_k2"] == terms["_t2"]), "left")
+    spans = let(base_spans(F.col("_t")), lambda b: F.struct(b.alias("_base"), F.when(
+        F.col("_all").isNotNull(), _term_spans(F.col("_t"), b, F.col("_gone"), F.col("_all"))).alias("_terms")))
+    # a generator, so that the spans are computed once
+    joined = joined.select(*carried, F.inline(F.array(spans)))
     of = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
     return joined.withColumn("_terms", F.coalesce("_terms", F.array().cast(_SPANS))).select(
         *carried, *[of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
