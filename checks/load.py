@@ -8,7 +8,7 @@ from recordloom.functions import coerce
 from recordloom.operators import flatten
 from recordloom.operators.shape import keep_first
 from recordloom.session import shared_dir
-from recordloom.sources import external, readers, sinks
+from recordloom.sources import external, keyed, readers, sinks, vintages
 from recordloom.sources.files import open_path
 
 from .registry import query, rounded
@@ -565,3 +565,77 @@ def files_to_do(t):
         F.when(F.col("lang") == "en", "old").otherwise(F.col("file_sha256")).alias("file_sha256"),
         F.current_timestamp().alias("ingested_at"))
     return sinks.files_to_do(files.drop("lang"), ledger, "s").select("file_path")
+
+
+# --- tables by key, external pulls ------------------------------------------------------
+
+@query("keyed_append", """
+SELECT CAST(count(DISTINCT o_orderkey) AS BIGINT) AS n_keys, CAST(count(*) AS BIGINT) AS n_rows, sum(o_custkey)::BIGINT AS custkeys
+FROM orders""", prelude=False)
+def keyed_append(t):
+    # a third of the orders, then all of them, then a few known ones
+    path, orders = _fresh(t, "keyed"), t.raw("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    for batch in (orders.where("o_custkey % 3 = 0"), orders, orders.where("o_orderkey % 100 = 1")):
+        keyed.append(batch, path, "o_orderkey", [F.col("o_custkey")], zone="year")
+    return keyed.open_keyed(t.spark, path).agg(
+        F.count_distinct("o_orderkey").alias("n_keys"), F.count("*").alias("n_rows"), F.sum("o_custkey").alias("custkeys"))
+
+
+@query("keyed_parent_child", """
+SELECT o_orderkey, o_custkey, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS price
+FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) JOIN (
+  SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) ON l_orderkey = o_orderkey
+GROUP BY ALL""", prelude=False)
+def keyed_parent_child(t):
+    # both sides are stored by the order; the join and the sums need no shuffle
+    parents, children = _fresh(t, "parents"), _fresh(t, "children")
+    keyed.append(t.raw("orders").select("o_orderkey", "o_custkey"), parents, "o_orderkey", [F.col("o_custkey")])
+    line = t.raw("lineitem").withColumn("id", F.concat_ws("::a", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    keyed.append(line.select("id", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"), children, "id",
+                 [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], bucket_by="l_orderkey")
+    o, c = keyed.open_keyed(t.spark, parents), keyed.open_keyed(t.spark, children)
+    return rounded(o.join(c, o["o_orderkey"] == c["l_orderkey"]).groupBy("o_orderkey", "o_custkey").agg(
+        F.count("*").alias("n_lines"), F.sum("l_extendedprice").alias("price")))
+
+
+def _three_pulls(t):
+    """Customers as pulled on three days: some leave and come back, some change."""
+    warehouse, key = _fresh(t, "pulls"), F.col("c_custkey")
+    rows = t.raw("customer").select("c_custkey", "c_name", "c_mktsegment")
+    changed = rows.withColumn("c_mktsegment", F.when(key % 3 == 0, F.lit("NEW")).otherwise(F.col("c_mktsegment")))
+    for day, pull in (("2024-01-01", rows.where(key % 5 != 0)), ("2024-02-01", changed.where(key % 7 != 0)),
+                      ("2024-03-01", rows.where(key % 5 != 0))):
+        vintages.store(pull, "customers", warehouse, url="http://customers", as_of=day)
+    return vintages.pulls(t.spark, "customers", warehouse)
+
+
+PULLS = """
+WITH p AS (SELECT 1 AS d, c_custkey, c_name, c_mktsegment AS seg FROM customer WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT 2, c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END FROM customer WHERE c_custkey % 7 <> 0
+  UNION ALL SELECT 3, c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0)
+"""
+
+
+@query("asof_intervals", PULLS + """, g AS (
+  SELECT *, d - row_number() OVER (PARTITION BY c_custkey, c_name, seg ORDER BY d) AS run FROM p)
+SELECT c_custkey, c_name, seg AS c_mktsegment, CAST(make_date(2024, min(d)::INTEGER, 1) AS VARCHAR) AS valid_from,
+  CASE WHEN max(d) < 3 THEN CAST(make_date(2024, max(d)::INTEGER + 1, 1) AS VARCHAR) END AS valid_to
+FROM g GROUP BY c_custkey, c_name, seg, run""", prelude=False)
+def asof_intervals(t):
+    history = vintages.intervals(_three_pulls(t), ["c_custkey"])
+    return history.withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")})
+
+
+@query("asof_known_on", PULLS + "SELECT c_custkey, c_name, seg AS c_mktsegment FROM p WHERE d = 2", prelude=False)
+def asof_known_on(t):
+    return vintages.known_on(_three_pulls(t), "2024-02-20")
+
+
+@query("asof_difference", PULLS + """
+SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed'
+    ELSE 'changed' END AS change, CASE WHEN a.c_custkey IS NULL OR b.c_custkey IS NULL THEN 2 ELSE 1 END::BIGINT AS n_columns
+FROM (SELECT * FROM p WHERE d = 1) a FULL JOIN (SELECT * FROM p WHERE d = 2) b ON a.c_custkey = b.c_custkey
+WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.seg <> b.seg""", prelude=False)
+def asof_difference(t):
+    return vintages.difference(_three_pulls(t), ["c_custkey"], "2024-01-01", "2024-02-01")

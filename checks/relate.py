@@ -92,6 +92,24 @@ def award_pairing(t):
     return out.withColumns({c: F.col(c).cast("string") for c in ("started", "awarded")})
 
 
+@query("award_pairing_each", """
+WITH e AS (SELECT event_id AS engagement, user_id, ts FROM events WHERE event_type <> 'purchase'),
+a AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
+p AS (SELECT engagement, e.user_id, e.ts AS started, a.ts AS awarded, a.event_id, a.value,
+        row_number() OVER (PARTITION BY engagement ORDER BY a.ts NULLS LAST, a.event_id) AS rn
+      FROM e LEFT JOIN a ON a.user_id = e.user_id AND a.ts >= e.ts)
+SELECT engagement, user_id, CAST(started AS VARCHAR) AS started, CAST(awarded AS VARCHAR) AS awarded, event_id, value
+FROM p WHERE rn = 1""", prelude=False)
+def award_pairing_each(t):
+    events = t.raw("events")
+    bought = F.col("event_type") == "purchase"
+    out = relate.next_awards(
+        events.where(~bought).select(F.col("event_id").alias("engagement"), "user_id", F.col("ts").alias("started")),
+        events.where(bought).select("user_id", F.col("ts").alias("awarded"), "event_id", "value"),
+        key="user_id", start="started", awarded="awarded", tie="event_id", keep=["value"])
+    return out.withColumns({c: F.col(c).cast("string") for c in ("started", "awarded")})
+
+
 @query("award_totals", """
 WITH ranked AS (SELECT c_name, o_orderkey, o_totalprice,
     row_number() OVER (PARTITION BY c_name ORDER BY o_totalprice DESC, o_orderkey) AS rn

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.names import normalize_name
 from .shape import as_list, asc, desc, keep_first, ranked, top_k_per_key
@@ -73,7 +73,7 @@ def amendment_collapsed_sum(filings: DataFrame, *, entity, period, posted: str,
 
 def first_award_after(engagements: DataFrame, awards: DataFrame, *, key: str, start: str,
                       awarded: str, tie: str, keep=()) -> DataFrame:
-    """The first award at or after each engagement's start.
+    """The first award at or after the earliest start of each key; ``next_awards`` pairs every engagement.
 
     Awards before an engagement are filtered in the join, and the earliest of the
     rest is kept with a map-side minimum.
@@ -87,6 +87,38 @@ def first_award_after(engagements: DataFrame, awards: DataFrame, *, key: str, st
     )
 
 
+def next_awards(engagements: DataFrame, awards: DataFrame, *, key: str, start: str, awarded: str, tie: str, keep=(),
+                span: str = "day") -> DataFrame:
+    """Every engagement with the first award of its key at or after its start, or nulls: ``awarded``, ``tie`` and ``keep``.
+
+    Engagements and awards of a key and span of time are passed once, the latest first, and each engagement takes the award seen last. Where
+    its own span has none left, it takes the first award of a later span, carried back over one row per key and span. So no key
+    comes together in one task, only what one key has in one span. Awards of equal time go by ``tie``. An engagement without key or start
+    has no award, an award without key or time pairs with nothing.
+    """
+    of_award = F.struct(F.col(awarded).alias("_at"), F.col(tie).alias("_tie"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
+    of_engagement = F.struct(*engagements.columns)
+    asked = engagements.select(F.col(key).alias("_key"), F.col(start).alias("_time"), of_engagement.alias("_e"))
+    given = awards.select(F.col(key).alias("_key"), F.col(awarded).alias("_time"), of_award.alias("_a"))
+    none = {"_e": asked.schema["_e"].dataType, "_a": given.schema["_a"].dataType}
+    comparable = F.col("_key").isNotNull() & F.col("_time").isNotNull()
+    rows = (
+        asked.where(comparable).withColumn("_a", F.lit(None).cast(none["_a"]))
+        .unionByName(given.where(comparable).withColumn("_e", F.lit(None).cast(none["_e"])))
+        .withColumn("_span", F.date_trunc(span, "_time")))
+    # an award comes after the engagements of its time, so those meet it first going back
+    back = Window.partitionBy("_key", "_span").orderBy(F.desc("_time"), F.col("_a").isNull(), F.desc("_a")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumn("_next", F.last("_a", ignorenulls=True).over(back)).where(F.col("_e").isNotNull())
+    later = Window.partitionBy("_key").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_key", "_span").agg(F.min("_a").alias("_first")).select(
+        "_key", "_span", F.last("_first", ignorenulls=True).over(later).alias("_carried"))
+    paired = own.join(carried, ["_key", "_span"]).select("_e", F.coalesce("_next", "_carried").alias("_a"))
+    rest = asked.where(~comparable).select("_e", F.lit(None).cast(none["_a"]).alias("_a"))
+    return paired.unionByName(rest).select(
+        "_e.*", F.col("_a._at").alias(awarded), F.col("_a._tie").alias(tie), *[F.col(f"_a._{k}").alias(c) for k, c in enumerate(keep)])
+
+
 def engagement_award_totals(clients: DataFrame, awards: DataFrame, *, client: str,
                             recipient: str, amount: str, award: str, top: int = 5,
                             key=normalize_name) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema
 from ..operators import flatten
 from ..session import cut_lineage
-from ..sources import readers, sinks
+from ..sources import keyed as by_key, readers, sinks
 
 READERS = ("json_array", "jsonl", "xml_dir")
 
@@ -77,13 +77,15 @@ def _read(spark, source: Source, paths):
 
 
 def load_source(spark: SparkSession, profile: Profile, source: Source, root: str, warehouse: str,
-                *, years=None, limit: int | None = None, force: bool = False) -> None:
+                *, years=None, limit: int | None = None, force: bool = False, keyed: bool = False) -> None:
     """Load the new and changed files of one source.
 
     The ledger is written after the tables and says which load counts for a file. A load that fails, is
     forced, or finds a changed file replaces the file's rows in tables without a key, whatever other
     files come with it; keyed tables take a key once. A limited run leaves no ledger entry, so
-    the next load reads its files again and replaces its rows.
+    the next load reads its files again and replaces its rows. With ``keyed`` the tables that have a key are
+    bucketed by the record they belong to, so that later joins need no shuffle, and appends
+    look only at the buckets they touch.
     """
     pattern = source.glob + ("/*.xml" if source.format == "xml_dir" else "")
     found = readers.expand_globs(spark, root, pattern, years)
@@ -101,7 +103,7 @@ def load_source(spark: SparkSession, profile: Profile, source: Source, root: str
     if source.format == "xml_dir":
         sinks.full_refresh(broken, f"{warehouse}/_quarantine/{source.ident}")
     if limit is not None:
-        raw = cut_lineage(raw.limit(limit))  # the same rows for every table
+        raw = cut_lineage(raw.orderBy("source_path", "source_start").limit(limit))  # the same rows for every table
     # rows of one split keep their order in this number
     raw = raw.withColumn("source_row", F.monotonically_increasing_id())
     tables = fan_out(raw, source.plan, staged=source.format != "xml_dir")
@@ -113,6 +115,10 @@ def load_source(spark: SparkSession, profile: Profile, source: Source, root: str
             rows = df.withColumn("load_file", F.col("source_path")).drop(*flatten.ORIGIN)
             sinks.append_load(rows, f"{warehouse}/{name}", source.ident, batch)
             continue
+        if keyed:
+            by_key.append(df, f"{warehouse}/{name}", table.key, order, bucket_by=table.bucket_by,
+                          zone=next(iter(table.partition_by), None), drop=flatten.ORIGIN)
+            continue
         sinks.append_dedup(df, f"{warehouse}/{name}", table.key, order,
                            partition_by=table.partition_by, drop=flatten.ORIGIN)
     sinks.ledger_rows(todo, emitted_rows(tables), source.ident, batch).write.mode("append").parquet(
@@ -142,7 +148,9 @@ def open_tables(spark: SparkSession, profile: Profile, warehouse: str) -> dict[s
     out = {}
     loads = sinks.current_loads(spark, f"{warehouse}/_ledger", f"{warehouse}/_limited")
     for name, table in profile.tables.items():
-        df = sinks.read_if_there(spark, f"{warehouse}/{name}")
+        df = by_key.open_keyed(spark, f"{warehouse}/{name}")
+        if df is None:
+            df = sinks.read_if_there(spark, f"{warehouse}/{name}")
         if df is not None and table.key is None:
             df = sinks.visible(df, loads)
         out[name] = (df.select(*[name for name, _ in table.fields()]) if df is not None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.shape import keep_first
@@ -23,12 +24,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_if_there(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """A Parquet table, or ``None`` if there is nothing at the path yet; a table that cannot be read is
-    an error."""
+    """A Parquet table, or ``None`` if there is nothing at the path yet, or a folder that only writes without rows
+    have left; a table that cannot be read is an error."""
     if not exists(spark, path):
         return None
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
 
 
 def only_new(batch: DataFrame, stored: DataFrame | None, key: str | None, order: list[Column],

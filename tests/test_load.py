@@ -357,3 +357,21 @@ def test_whole_run(spark, corpus, tmp_path):
     assert {len(r.file_sha256) for r in files.collect()} == {64}
     assert spark.read.json(f"{out}/manifest/summary").where("kind = 'table'").count() >= 16
     assert {"D8v", "DV", "TX"} <= set(catalogue.idents())
+
+
+def test_keyed_load(spark, corpus, tmp_path):
+    plain, by_key = str(tmp_path / "plain"), str(tmp_path / "keyed")
+    for only in ("senate_filings",):
+        profile.load(spark, profile.LOBBYING, str(corpus), plain, only=only)
+        for force in (False, True):  # the second load brings nothing new
+            profile.load(spark, profile.LOBBYING, str(corpus), by_key, only=only, keyed=True, force=force)
+    a, b = (profile.open_tables(spark, profile.LOBBYING, wh) for wh in (plain, by_key))
+    for name in ("senate_filings", "senate_lobbying_activities"):
+        assert sorted(map(str, a[name].collect())) == sorted(map(str, b[name].collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = b["senate_filings"].join(b["senate_lobbying_activities"], "filing_uuid")
+        assert joined.count() > 0
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
