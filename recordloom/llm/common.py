@@ -40,6 +40,18 @@ def keyed_by_text(docs: DataFrame, text: str = "text") -> list[Column]:
     return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2")]
 
 
+def private(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them differ from all columns (case aside)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def md5_number(text: Column) -> Column:
     """60 bits of the text's MD5, a number that other engines compute alike."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -135,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The documents without any overlap; the columns of ``docs``."""
     text = names.get("text", "text")
-    found = cut_lineage(overlaps(docs, benchmark, **names).select("_k1", "_k2").distinct())
-    t = text_of(text)
-    return docs.withColumns({"_k1": F.xxhash64(t), "_k2": F.xxhash64(F.lit(1), t)}) \
-        .join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    found = cut_lineage(overlaps(docs, benchmark, **names).select(F.col("_k1").alias("_f1"), F.col("_k2").alias("_f2")).distinct())
+    t = text_of(docs[text])
+    # no column is added, so input columns may have any name
+    return docs.join(found, (F.xxhash64(t) == found["_f1"]) & (F.xxhash64(F.lit(1), t) == found["_f2"]), "left_anti")

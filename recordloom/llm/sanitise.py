@@ -204,20 +204,22 @@ def find(docs: DataFrame, text: str = "text", disclose: float = 0.9, support: in
     written = lambda a: F.array_join(F.transform(a, lambda x: F.concat(
         F.get(F.array(*[F.lit(k) for k in names]), x["k"]), F.lit(":"), x["s"].cast("string"),
         F.lit(":"), x["e"].cast("string"))), ",")
+    result = ["n_email", "n_ip", "n_card", "n_phone", "n_terms", "base_sha256", "spans", "_base", "_terms"]
+    carried = [c for c in (docs.columns if columns is None else columns) if c not in result]
+    # carried columns may have any name, so they travel as one
+    base = docs.select(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carried)], F.lit(0).alias("none")).alias("_carried"),
+                       t.alias("_t"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"))
     # the texts stay where they are while the terms fit into a broadcast
     terms = shipped_if_small(disclosing_terms(docs, text, disclose, support, by, everywhere), MOST_TEXTS) \
         .withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"})
-    result = ["n_email", "n_ip", "n_card", "n_phone", "n_terms", "base_sha256", "spans"]
-    carried = [c for c in (docs.columns if columns is None else columns) if c not in result]
-    base = docs.select(*carried, t.alias("_t"), F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"))
     joined = base.join(terms, (base["_k1"] == terms["_t1"]) & (base["_k2"] == terms["_t2"]), "left")
     spans = let(base_spans(F.col("_t")), lambda b: F.struct(b.alias("_base"), F.when(
         F.col("_all").isNotNull(), _term_spans(F.col("_t"), b, F.col("_gone"), F.col("_all"))).alias("_terms")))
     # a generator, so that the spans are computed once
-    joined = joined.select(*carried, F.inline(F.array(spans)))
+    joined = joined.select("_carried", F.inline(F.array(spans)))
     of = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
     return joined.withColumn("_terms", F.coalesce("_terms", F.array().cast(_SPANS))).select(
-        *carried, *[of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        *[F.col(f"_carried.c{k}").alias(c) for k, c in enumerate(carried)], *[of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.size("_terms").cast("long").alias("n_terms"),
         F.sha2(written(F.col("_base")), 256).alias("base_sha256"),
         written(F.sort_array(F.concat("_base", "_terms"))).alias("spans"), "_base", "_terms")

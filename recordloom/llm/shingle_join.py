@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.llm import shingles
-from recordloom.llm.common import keyed_by_text, text_of
+from recordloom.llm.common import keyed_by_text, private, text_of
 from recordloom.session import cut_lineage, discard
 
 #: Most shingles in the broadcast order; 8 MB.
@@ -264,10 +264,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _is_row(doc_id: str | Column, of: DataFrame) -> Column:
+def _is_row(doc_id: str | Column, of: DataFrame, k1: str = "_k1", k2: str = "_k2") -> Column:
     """The row of that id and text key. An id alone may be null or stand for several texts."""
     own = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return own.eqNullSafe(of["id"]) & (F.col("_k1") == of["k1"]) & (F.col("_k2") == of["k2"])
+    return own.eqNullSafe(of["id"]) & (F.col(k1) == of["k1"]) & (F.col(k2) == of["k2"])
 
 
 def _like_bits(x: str, y: str, n1: Column, n2: Column, t: Fraction) -> Column:
@@ -410,12 +410,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     t = text_of(text)
     empty = F.length(F.translate(t, " \t\n\x0b\x0c\r", "")) == 0
     key = keyed_by_text(docs, text)
-    rows = docs.where(~empty).withColumns({"_k1": key[0], "_k2": key[1]})
+    k1, k2 = private(docs.columns, "_k1", "_k2")
+    rows = docs.where(~empty).withColumns({k1: key[0], k2: key[1]})
 
     def those(of):
-        return rows.join(of, _is_row(rows[doc_id], of), "left_semi")
+        return rows.join(of, _is_row(rows[doc_id], of, k1, k2), "left_semi")
 
     firsts = those(kept.where("NOT again"))
     if not kept.where("again").isEmpty():
-        firsts = firsts.unionByName(those(kept.where("again")).dropDuplicates([doc_id, "_k1", "_k2"]))
-    return firsts.drop("_k1", "_k2").unionByName(docs.where(empty)).select(*docs.columns)
+        firsts = firsts.unionByName(those(kept.where("again")).dropDuplicates([doc_id, k1, k2]))
+    return firsts.drop(k1, k2).unionByName(docs.where(empty)).select(*docs.columns)
