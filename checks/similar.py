@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import similar
+from recordloom.operators import cells, similar
+from recordloom.session import cut_lineage
 
 from .registry import query, rounded
 
@@ -84,3 +85,31 @@ def knn_by_text(t):
 @query("cluster_text")
 def cluster_text(t):
     return similar.cluster_sizes(similar.cluster_text(_base(t), 8))
+
+
+def _cells(t, **options):
+    base = _base(t)
+    return base, cells.build(base, cells=16, rings=4, **options)
+
+
+@query("knn_cells", BATCH_SQL, prelude=False)
+def knn_cells(t):
+    base, index = _cells(t)
+    return rounded(cells.search(index, base, 10).neighbours, 6)
+
+
+@query("knn_cells_recall")
+def knn_cells_recall(t):
+    """Recall against ``knn_batch`` and the share of pairs compared, per number of probed cells (0: all that the
+    bound asks for)."""
+    base, index = _cells(t)
+    exact = cut_lineage(similar.knn_batch(base, base, 10))
+    pairs = base.agg(F.count("*").alias("n")).select((F.col("n") * F.col("n")).alias("n")).scalar()
+    out = None
+    for probes in (4, 12, None):
+        found = cells.search(index, base, 10, probes=probes)
+        row = cells.recall(found.neighbours, exact).select(
+            F.lit(probes or 0).alias("probes"), "expected", "found", "recall",
+            (found.visits.agg(F.sum("rows").alias("rows")).scalar() / pairs).alias("compared"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -148,6 +148,12 @@ def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
                        block(ident, n_base).alias("b"), every(n_query).alias("q"))
     asked = queries.select(F.col(ident).alias("i"), F.col(vector).alias("v"),
                            block(ident, n_query).alias("q"), every(n_base).alias("b"))
+    return meet(rows, asked, ["b", "q"], k, out_schema, block_bytes)
+
+
+def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, out_schema: str,
+         block_bytes: int) -> DataFrame:
+    """The k nearest rows of every query within each block; both sides have ``i``, ``v`` and the block's keys."""
     nearest = _nearest_by_value()
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +172,7 @@ def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
                                        "distance": dist}))
         return pd.concat(parts)
 
-    return rows.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInPandas(cell, out_schema)
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, out_schema)
 
 
 # --- approximate neighbours and clusters -----------------------------------------
