@@ -1,7 +1,9 @@
 """Entity resolution across the two derived registries."""
 
+from pyspark.sql import functions as F
+
 from recordloom.functions.coerce import leading_int
-from recordloom.operators import resolve
+from recordloom.operators import entities, resolve
 
 from .registry import query
 
@@ -127,3 +129,27 @@ def er_ambiguous(t):
 def er_canonical(t):
     (accepted, _), p1, p2 = _fuzzy(t)
     return resolve.consolidate([p1, p2, accepted])
+
+
+@query("er_entities", POOLS + """
+, ra AS (SELECT 'a:' || registrant_id AS record, registrant_id AS bridge, norm_name FROM pa),
+rb AS (SELECT DISTINCT 'b:' || organization_name AS record, bridge_id AS bridge, norm_name FROM pb),
+keyed AS (
+  SELECT record, 'bridge|' || bridge AS key FROM ra UNION SELECT record, 'name|' || norm_name FROM ra
+  UNION SELECT record, 'bridge|' || bridge FROM rb WHERE bridge IS NOT NULL
+  UNION SELECT record, 'name|' || norm_name FROM rb WHERE norm_name IS NOT NULL),
+tied AS (SELECT record, min(record) OVER (PARTITION BY key) AS near FROM keyed),
+steps AS (SELECT record AS a, near AS b FROM tied UNION SELECT near, record FROM tied)
+SELECT record, entity, count(*) OVER (PARTITION BY entity) AS n_records FROM (
+  WITH RECURSIVE reach AS (
+    SELECT a AS record, a AS other FROM steps
+    UNION SELECT r.record, s.b FROM reach r JOIN steps s ON r.other = s.a)
+  SELECT record, min(other) AS entity FROM reach GROUP BY 1)""")
+def er_entities(t):
+    """Registrants of both registries tied by bridge id and by name, over chains of either."""
+    left, right = pools(t)
+    left = left.withColumn("record", entities.record_id("a", "registrant_id"))
+    right = right.withColumn("record", entities.record_id("b", "organization_name"))
+    return entities.canonical_entities([
+        (left, {"bridge": [F.col("registrant_id")], "name": [F.col("norm_name")]}),
+        (right, {"bridge": [F.col("bridge_id")], "name": [F.col("norm_name")]})])
