@@ -46,9 +46,22 @@ often AS (SELECT h, line, count(*) AS n FROM ln GROUP BY ALL HAVING count(*) > 2
 wide AS (SELECT ln.*, often.n, row_number() OVER (PARTITION BY ln.h, t ORDER BY often.n DESC,
            ('0x' || substr(md5(ln.line), 1, 15))::BIGINT) AS r
          FROM ln JOIN often ON ln.h IS NOT DISTINCT FROM often.h AND ln.line = often.line),
-comp AS (SELECT h, line, CASE WHEN r = 1
-           THEN coalesce('l' || max(CASE WHEN r = 2 THEN line END) OVER (PARTITION BY h, t), 't' || t)
-           ELSE 'l' || max(CASE WHEN r = 1 THEN line END) OVER (PARTITION BY h, t) END AS c FROM wide),
+-- near copies: mostly widespread lines, at most a seventh of the shingles new
+mostly AS (SELECT a.h, a.t FROM (SELECT h, t, sum(words) AS n FROM ln GROUP BY ALL) a
+           JOIN (SELECT h, t, sum(words) AS n FROM wide GROUP BY ALL) b
+             ON a.h IS NOT DISTINCT FROM b.h AND a.t = b.t WHERE 2 * b.n > a.n),
+sh AS (SELECT h, t, wide_line, unnest(list_distinct(list_transform(range(1, greatest(len(x) - 4, 1) + 1),
+         lambda i: array_to_string(x[i:i + 4], ' ')))) AS s
+       FROM (SELECT ln.h, ln.t, wide.line IS NOT NULL AS wide_line, string_split(ln.line, ' ') AS x
+             FROM ln JOIN mostly m ON ln.h IS NOT DISTINCT FROM m.h AND ln.t = m.t
+             LEFT JOIN wide ON ln.h IS NOT DISTINCT FROM wide.h AND ln.t = wide.t AND ln.line = wide.line)),
+known AS (SELECT DISTINCT h, s FROM sh WHERE wide_line),
+near AS (SELECT sh.h, t FROM sh LEFT JOIN known k ON sh.h IS NOT DISTINCT FROM k.h AND sh.s = k.s
+         GROUP BY ALL HAVING 7 * count(*) FILTER (WHERE k.s IS NULL) <= count(*)),
+comp AS (SELECT wide.h, line, CASE WHEN near.t IS NULL THEN 't' || wide.t WHEN r = 1
+           THEN coalesce('l' || max(CASE WHEN r = 2 THEN line END) OVER (PARTITION BY wide.h, wide.t), 't' || wide.t)
+           ELSE 'l' || max(CASE WHEN r = 1 THEN line END) OVER (PARTITION BY wide.h, wide.t) END AS c
+         FROM wide LEFT JOIN near ON wide.h IS NOT DISTINCT FROM near.h AND wide.t = near.t),
 spread AS (SELECT h, line FROM comp GROUP BY ALL HAVING count(DISTINCT c) > 20),
 gone AS (SELECT wide.h, t, sum(words) AS n FROM wide JOIN spread
            ON wide.h IS NOT DISTINCT FROM spread.h AND wide.line = spread.line GROUP BY ALL),
