@@ -52,6 +52,16 @@ def private(columns: list[str], *names: str) -> list[str]:
     return found
 
 
+def numbered(columns: list[str]) -> list[Column]:
+    """The columns under the names ``c0``, ``c1`` and so on, which no helper column has."""
+    return [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]
+
+
+def renamed(columns: list[str]) -> list[Column]:
+    """Back from ``numbered``."""
+    return [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
+
+
 def md5_number(text: Column) -> Column:
     """60 bits of the text's MD5, a number that other engines compute alike."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recordloom.llm.common import numbered, renamed
 from recordloom.session import stage_path
 
 # How HTML elements take part.
@@ -226,6 +227,6 @@ def extract(pages: DataFrame, html: str = "html", tree: dict[int, tuple] | None
 
     result = ("text", "n_chars", "n_blocks", "n_kept")
     carried = [c for c in (pages.columns if columns is None else columns) if c not in result]
-    return pages.select(*carried, main_texts(F.coalesce(F.col(html), F.lit(""))).alias("_x")).select(
-        *carried, F.col("_x.text").alias("text"), F.length("_x.text").cast("long").alias("n_chars"),
+    return pages.select(*numbered(carried), main_texts(F.coalesce(F.col(html), F.lit(""))).alias("_x")).select(
+        *renamed(carried), F.col("_x.text").alias("text"), F.length("_x.text").cast("long").alias("n_chars"),
         F.col("_x.n_blocks").alias("n_blocks"), F.col("_x.n_kept").alias("n_kept"))

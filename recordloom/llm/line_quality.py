@@ -19,15 +19,16 @@ distinct text.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is
 a host of its own; repeated rows get the same verdict each; an empty table gives an
-empty result. Helper columns start with an underscore, input columns such as
-``line`` or ``words`` may exist.
+empty result. Input columns may have any name; ``judge`` replaces those named like a result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recordloom.llm.common import SPACE_CHARS, let, md5_number, text_of, total, words_of
+from recordloom.llm.common import (
+    SPACE_CHARS, let, md5_number, numbered, private, renamed, text_of, total, words_of,
+)
 from recordloom.session import cut_lineage
 
 # Fixed values of the base rules.
@@ -38,6 +39,8 @@ REPEATED_PERCENT = 30
 SHINGLE = 5
 #: A near copy has one new shingle in so many at most.
 NEW_IN = 7
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+RESULT = (*COUNTS, "n_removed_words", "kept", "_removed_lines")
 
 
 def _repeated(words: Column) -> Column:
@@ -72,16 +75,17 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(w).cast("long").alias("n"), _repeated(w).alias("r")))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
     chars = F.length(t)
+    own, = private(docs.columns, "_w")
     return (
-        docs.withColumn("_w", per_words)
+        docs.withColumn(own, per_words)
         .withColumns({
-            "n_words": F.col("_w.n"),
+            "n_words": F.col(f"{own}.n"),
             "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
             "n_symbols": (chars - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.col("_w.r"),
+            "n_repeat_words": F.col(f"{own}.r"),
         })
-        .drop("_w")
+        .drop(own)
         .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS)
                     | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")))
     )
@@ -200,14 +204,18 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: i
     ``max_docs`` distinct documents of its host. ``columns``: the input columns to carry (all).
     ``with_lines`` adds ``_removed_lines``, the hashes for ``without_lines``.
     """
-    gone = removals(docs, host, text, max_docs)
-    if not with_lines:
-        gone = gone.drop("_removed_lines")
-    gone = gone.withColumnsRenamed({"_host": "_gh", "_k1": "_g1", "_k2": "_g2"})
-    t = text_of(text)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    base = base_rules(docs.drop(*counts), text).select(
-        *[c for c in (docs.columns if columns is None else columns) if c not in counts], *counts, F.col(host).alias("_host"),
+    judged, carried = _judged(docs, host, text, max_docs, least_left_share, columns)
+    return judged.select(*renamed(carried), *COUNTS, "n_removed_words", "kept", *(["_removed_lines"] if with_lines else []))
+
+
+def _judged(docs, host, text, max_docs, least_left_share, columns):
+    """The verdicts next to the carried columns, which are numbered, and the names of these."""
+    carried = [c for c in (docs.columns if columns is None else columns) if c not in RESULT]
+    gone = removals(docs, host, text, max_docs).withColumnsRenamed({"_host": "_gh", "_k1": "_g1", "_k2": "_g2"})
+    rows = docs.select(*numbered(carried), F.col(host).alias("_host"), F.col(text).alias("_text"))
+    t = text_of("_text")
+    base = base_rules(rows, "_text").select(
+        *[f"c{k}" for k in range(len(carried))], *COUNTS, "_host",
         F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(1), t).alias("_k2"))
     joined = base.join(gone, base["_host"].eqNullSafe(gone["_gh"]) & (base["_k1"] == gone["_g1"])
                        & (base["_k2"] == gone["_g2"]), "left")
@@ -217,7 +225,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_docs: i
         "n_removed_words": removed,
         "kept": ~F.col("base_failed") & ((removed == 0) | (
             (left >= LEAST_WORDS) & (left >= least_left_share * F.col("n_words")))),
-    }).drop("_host", "_k1", "_k2", "_gh", "_g1", "_g2", "_removed_words")
+    }), carried
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
@@ -230,5 +238,9 @@ def without_lines(text: Column, hashes: Column) -> Column:
 def clean(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 20,
           least_left_share: float = 0.5) -> DataFrame:
     """The documents that stay, without their removed lines; the columns of ``docs``."""
-    judged = judge(docs, host, text, max_docs, least_left_share, with_lines=True).where("kept")
-    return judged.withColumn(text, without_lines(F.col(text), F.col("_removed_lines"))).select(*docs.columns)
+    columns = docs.columns
+    at = {name: f"c{k}" for k, name in enumerate(columns)}
+    # under other names, so that input columns named like a result come through as they are
+    judged, _ = _judged(docs.select(*numbered(columns)), at[host], at[text], max_docs, least_left_share, None)
+    return judged.where("kept").withColumn(at[text], without_lines(F.col(at[text]), F.col("_removed_lines"))) \
+        .select(*renamed(columns))

@@ -1,6 +1,7 @@
 """Mix sources to target weights, cut to the word.
 
-Every document gets a hash-random key. Keys are uniform, so equal ranges of them
+Every document gets a hash-random key, made of its id and its text, so that rows which share a null or
+repeated id are apart. Keys are uniform, so equal ranges of them
 (``RANGES``) sort each source into pieces of equal expected size without a sample;
 sums of the sizes per source and range, then prefix sums over the ranges, show in which
 range the source's budget ends. Only the documents of that one range are sorted by
@@ -12,8 +13,8 @@ rows per source, and the sorted piece is a ``RANGES``-th of its source. Results
 depend on the rows only, not on how they are partitioned.
 
 Edge cases: a null text has size 0 and takes 0; a null source is a source of its own, last in
-order; documents with equal keys are ordered by id, then size, and equal rows are
-interchangeable; a source without words has target 0; an empty table gives an empty result.
+order; rows of equal id and text have equal keys
+and are interchangeable; a source without words has target 0; an empty table gives an empty result.
 Input columns with the name of a result column are replaced.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recordloom.llm.common import md5_number, text_of
+from recordloom.llm.common import md5_number, numbered, renamed, text_of
 from recordloom.session import cut_lineage
 
 RANGES = 4096
@@ -81,11 +82,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     ``columns``: the input columns to carry (all).
     """
-    key = md5_number(F.concat(F.lit("mix"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    key = md5_number(F.concat(F.lit("mix"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text))))
     # the upper 12 of the key's 60 bits, in its order
     place = F.shiftright(key, 48).cast("int")
     carried = [c for c in (docs.columns if columns is None else columns) if c not in RESULT]
-    rows = docs.select(*carried, F.col(source).alias("_source"), F.col(doc_id).alias("_id"),
+    rows = docs.select(*numbered(carried), F.col(source).alias("_source"), F.col(doc_id).alias("_id"),
                        word_count(text_of(text)).alias("size"), key.alias("_key"), place.alias("_range"))
     sums = cut_lineage(rows.groupBy("_source", "_range").agg(F.sum("size").alias("_size")))
     plan = targets(sums.groupBy("_source").agg(F.sum("_size").alias("source_size")), weights, share, most)
@@ -119,13 +120,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     whole = planned.where(F.col("_range") != F.col("_cut")).withColumn(
         "taken", F.col("_epochs") * F.col("size")
         + F.when(F.col("_range") < F.col("_cut"), F.col("size")).otherwise(0))
-    out = [*carried, "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    out = [*renamed(carried), "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return whole.select(*out).unionByName(inside.select(*out))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document once for every epoch that takes words of it; the columns of ``docs``."""
     columns = docs.columns
-    taken = mix(docs, **options)
+    inputs = {name: options.pop(name, name) for name in ("source", "text", "doc_id")}
+    places = {name: f"c{columns.index(c)}" for name, c in inputs.items()}
+    # under other names, so that input columns named like a result come through as they are
+    taken = mix(docs.select(*numbered(columns)), **places, **options)
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return taken.where(F.col("taken") > 0).withColumn("_times", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    return taken.where(F.col("taken") > 0).select(
+        *[F.col(f"c{k}") for k in range(len(columns))], F.explode(F.sequence(F.lit(1), times))).select(*renamed(columns))

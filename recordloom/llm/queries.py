@@ -96,7 +96,8 @@ def sanitise_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             md5(coalesce(text, '')) AS m FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s),
 -- the level: the least rate at which the limited targets make up the whole
@@ -109,7 +110,7 @@ t AS (SELECT source, n, least(2.0 * n, coalesce(w * lev.r, 2.0 * n)) AS target,
 r AS (SELECT d.doc_id, d.size, t.n, t.target, CASE WHEN t.n = 0 THEN 0 ELSE budget // t.n END AS epochs,
         CASE WHEN t.n = 0 THEN 0 ELSE budget % t.n END AS rest,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY
-          ('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT, d.doc_id NULLS LAST, d.size
+          ('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.m), 1, 15))::BIGINT, d.doc_id NULLS LAST, d.size
           ROWS UNBOUNDED PRECEDING) AS e
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, n AS source_size, target,

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recordloom.llm.common import private
+
 #: Prime, and over a hundred slots per shard up to 655 shards: loads differ by under 1 %.
 SLOTS = 65537
 #: A table of this many slots is 24 MB in memory; more would be a mistake.
@@ -69,10 +71,11 @@ def place(docs: DataFrame, shards: Sequence[str] | int = 64, key: str = "doc_id"
     """All rows with their ``slot`` and ``shard`` (its number in ``shards``)."""
     names = shard_names(shards) if isinstance(shards, int) else list(shards)
     slot = F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")
-    table = F.broadcast(_table(docs.sparkSession, names, slots))
+    at, owner = private(docs.columns, "_at", "_slot")
+    table = F.broadcast(_table(docs.sparkSession, names, slots).withColumnRenamed("_slot", owner))
     # the key is read before columns are replaced, since it may be one of them
-    placed = docs.withColumn("_at", slot).drop("slot", "shard")
-    return placed.join(table, F.col("_at") == F.col("_slot")).drop("_slot").withColumnRenamed("_at", "slot")
+    placed = docs.withColumn(at, slot).drop("slot", "shard")
+    return placed.join(table, F.col(at) == F.col(owner)).drop(owner).withColumnRenamed(at, "slot")
 
 
 def write_shards(placed: DataFrame, path: str, pieces: int = 1) -> None:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recordloom.llm.common import numbered, renamed
 from recordloom.session import cut_lineage
 
 RESULT = ("host", "blocked", "rule", "listed_from", "n_active")
@@ -93,9 +94,9 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     )
     active = cut_lineage(active).withColumnsRenamed({"_url": "_u2", "_at": "_t2"})
     carried = [c for c in (captures.columns if columns is None else columns) if c not in RESULT]
-    rows = captures.select(*carried, F.col(url).alias("_url"), F.col(fetched).alias("_at"))
+    rows = captures.select(*numbered(carried), F.col(url).alias("_url"), F.col(fetched).alias("_at"))
     joined = rows.join(active, (F.col("_url") == F.col("_u2")) & (F.col("_at") == F.col("_t2")), "left")
     return joined.select(
-        *carried, host_of(F.col("_url")).alias("host"), F.col("_top").isNotNull().alias("blocked"),
+        *renamed(carried), host_of(F.col("_url")).alias("host"), F.col("_top").isNotNull().alias("blocked"),
         F.col("_top.key").alias("rule"), F.col("_top.valid_from").alias("listed_from"),
         F.coalesce("_n", F.lit(0)).alias("n_active"))

@@ -37,8 +37,9 @@ def brute(rows):
     for s in sizes:
         budget = int(target[s] + 0.5)
         epochs, rest = divmod(budget, sizes[s]) if sizes[s] else (0, 0)
-        key = lambda i: int(hashlib.md5(f"mix{'' if i is None else i}".encode()).hexdigest()[:15], 16)
-        mine = sorted(((key(i), i is None, i or 0, size(t)) for i, x, t in rows if x == s))
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        key = lambda i, t: int(md5(f"mix{'' if i is None else i}:{md5(t or '')}")[:15], 16)
+        mine = sorted(((key(i, t), i is None, i or 0, size(t)) for i, x, t in rows if x == s))
         at = 0
         for _, none, i, n in mine:
             out.append((None if none else i, n, sizes[s], round(target[s], 6), epochs * n + max(0, min(n, rest - at))))
