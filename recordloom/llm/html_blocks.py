@@ -4,7 +4,11 @@ A page is cut into blocks at its block-level tags. A block is described by its w
 density (share of words in links), the same of the blocks before and after it, and by what encloses
 it: an article or main element, or an element that is furniture by its tag or by a word of its class, id
 or role. A decision tree, trained by Spark ML on the labelled blocks below, says which blocks are
-content; kept blocks are joined in page order.
+content; kept blocks are joined in page order. Where a page names its article the tree follows the markup; on
+other pages words and links of a block and its neighbours decide.
+
+A main element undoes what its wrappers are called, and so does an article within a layout element
+(``content-sidebar-wrap``, a form around the page) that is no comment, teaser or advert.
 
 Pages are independent: one pass over the table, no shuffle, memory in proportion to one page. The tree
 has a few dozen nodes and travels with the function.
@@ -34,7 +38,7 @@ BLOCK_TAGS = frozenset(
 CONTAINERS = frozenset(
     "article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu "
     "nav ol section table td th tr ul".split())
-SILENT = frozenset("button canvas iframe math noscript object option script select style svg template textarea title".split())
+SILENT = frozenset("button canvas iframe noscript object option script select style svg template textarea title".split())
 FURNITURE_TAGS = frozenset("aside dialog footer form header menu nav".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post story".split())
@@ -45,6 +49,14 @@ FURNITURE_WORDS = frozenset(
     "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar "
     "widget widgets".split())
 
+# Class words that hold for an article element too, and for the articles inside.
+TEASER_WORDS = frozenset(
+    "ad ads advert advertisement adverts comment comments disqus popup promo promoted promotion related remark remarks "
+    "reply replies respond sponsor sponsored".split())
+
+#: How firmly an element is furniture: not, by its layout (an article inside is content all the same), for certain.
+NOT, LAYOUT, FIRM = 0, 1, 2
+
 #: Column names of the features.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
             "in_content", "in_furniture", "page_has_content")
@@ -74,6 +86,11 @@ a:15/3=1 a:11/2=1 b:4/0=0 a:14/7=1 a:60/30=1 f:2/2=0
 f:9/0=0 f:200/10=0 a:5/1=1 a:80/25=1 o:70/1=0
 f:150/0=0 f:60/0=0 f:25/0=0
 o:1/1=0 o:30/1=1 o:60/2=1 o:25/0=1 o:120/0=1
+o:2/0=0 o:3/0=0 o:5/0=0 o:4/0=0 o:7/0=1 o:48/1=1 o:3/0=1 o:66/0=1 o:31/2=1 o:6/0=1 o:5/0=0 o:2/0=0 o:4/1=0
+o:1/0=0 o:6/0=0 o:3/0=0 o:8/0=1 o:21/0=1 o:17/0=1 o:90/4=1 o:2/0=1 o:4/0=0 o:7/0=0 o:3/3=0
+o:9/0=0 o:5/0=0 o:2/0=0 o:1/0=0 o:8/0=0 o:4/4=0 o:6/0=0 o:3/0=0
+o:4/0=0 o:2/0=0 o:5/0=1 o:130/6=1 o:9/0=1 o:75/2=1 o:1/0=1 o:40/0=1 o:8/0=1 o:9/0=0 o:6/6=0 o:8/0=0
+o:3/0=0 o:7/0=0 o:9/0=1 o:19/1=1 o:9/0=1 o:4/0=0 o:5/0=0 o:2/2=0 o:1/1=0
 """.strip()
 
 _TAG = re.compile(
@@ -89,20 +106,23 @@ def _names(attributes: str) -> set[str]:
             for w in _WORDS.findall((m.group(1) or m.group(2) or m.group(3) or "").lower())}
 
 
-def _is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
+def _furniture(tag: str, attributes: str, in_content: bool) -> int:
+    """How firmly the element itself is furniture."""
     if tag in FURNITURE_TAGS:
-        # an article's own header holds its heading
-        return not (tag == "header" and in_content)
-    if tag in ("html", "body", "main"):
-        return False
-    if not attributes:
-        return False
-    return bool(_names(attributes) & FURNITURE_WORDS - ({"header"} if in_content else set())) or bool(_HIDDEN.search(attributes))
+        # an article's own header holds its heading; a form may be wrapped around a whole page
+        return NOT if tag == "header" and in_content else LAYOUT if tag == "form" else FIRM
+    if tag in ("html", "body", "main") or not attributes:
+        return NOT
+    names = _names(attributes)
+    if names & TEASER_WORDS or _HIDDEN.search(attributes):
+        return FIRM
+    # the class of an article names its topic or its place
+    return LAYOUT if tag != "article" and names & FURNITURE_WORDS - ({"header"} if in_content else set()) else NOT
 
 
 def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
     """``text, words, linked words, in content, in furniture`` of each block with a word, in page order."""
-    open_tags: list[tuple[str, bool, bool]] = [("", False, False)]
+    open_tags: list[tuple[str, bool, int]] = [("", False, NOT)]
     pieces: list[str] = []
     linked: list[str] = []
     in_link, at = False, 0
@@ -114,7 +134,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
         pieces.clear()
         linked.clear()
         words = text.count(" ") + 1 if text else 0
-        return (text, words, min(n_linked, words), open_tags[-1][1], open_tags[-1][2] or paragraph) if text else None
+        return (text, words, min(n_linked, words), open_tags[-1][1], bool(open_tags[-1][2] or paragraph)) if text else None
 
     while True:
         m = _TAG.search(page, at)
@@ -154,11 +174,14 @@ def blocks_of(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
             else:
                 _, content, furniture = open_tags[-1]
                 named = tag in ("div", "section", "td") and m.group(3) and _names(m.group(3)) & CONTENT_WORDS
+                outermost = not any(t in CONTENT_TAGS for t, _, _ in open_tags)
+                if tag == "main" or tag == "article" and furniture == LAYOUT and outermost:
+                    furniture = NOT
                 open_tags.append((tag, content or tag in CONTENT_TAGS or bool(named),
-                                  furniture or _is_furniture(tag, m.group(3), content)))
+                                  max(furniture, _furniture(tag, m.group(3), content))))
         elif tag != "br":
             # a paragraph, item or heading of its own class
-            paragraph = not closing and _is_furniture(tag, m.group(3), open_tags[-1][1])
+            paragraph = not closing and bool(_furniture(tag, m.group(3), open_tags[-1][1]))
     if b := block():
         yield b
 

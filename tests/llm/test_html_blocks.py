@@ -45,6 +45,30 @@ def test_page_with_a_named_part(tree):
     assert html_blocks.main_text(page, tree)[0] == "Heading Short. x"
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div class='content-sidebar-wrap'><main><article>", "</article></main></div>"),
+    ("<div class='content-sidebar-wrap'><article>", "</article></div>"),
+    ("<article class='post category-social tag-banner'>", "</article>"),
+    ("<form id=form1><div id=header-wrap><main>", "</main></div></form>"),
+    ("<section class='has-sidebar'><article class='type-notice'>", "</article></section>")])
+def test_wrappers_do_not_empty_a_page(tree, start, end):
+    page = (f"<body><nav><a href=/>Home</a></nav>{start}<h1>Heading</h1><p>Some words here.</p>"
+            f"<p>With <math><mi>x</mi></math> in it.</p><div class='share'>Share</div>{end}"
+            "<div class=sidebar><p>Other things to read now.</p></div><div class=related><article><p>A teaser text.</p></article></div>"
+            "<section id=comments><article><p>I liked this a lot.</p></article></section></body>")
+    assert html_blocks.main_text(page, tree)[0] == "Heading Some words here. With x in it."
+
+
+def test_words_and_neighbours_decide_without_markup(tree):
+    used = {html_blocks.FEATURES[node[0]] for node in tree.values() if node[2] >= 0}
+    assert {"links"} < used and used & {"words", "words_before", "words_after"} >= {"words_before", "words_after"}
+    page = ("<body><p>Town paper</p><p>Monday</p><p>Sports and more</p><p>A heading</p>" + "<p>" + "words that follow it " * 10
+            + "</p><p>Short.</p><p>" + "and more of the same " * 8 + "</p><p>Imprint</p><p>All rights</p></body>")
+    text, _, _ = html_blocks.main_text(page, tree)
+    assert text.startswith("A heading words that") and "Short. and more" in text and "All rights" not in text
+    assert "Town" not in text and "Monday" not in text
+
+
 def test_page_without_article(tree):
     page = ("<body><div class=menu><a href=a>One</a> <a href=b>Two</a></div><div id=content><h1>Some heading here</h1>"
             + "<p>" + "many words follow here " * 12 + "</p><p>" + "and still more of them " * 9
