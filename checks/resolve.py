@@ -109,23 +109,61 @@ def er_attach_canonical(t):
         ident="registrant_id")
 
 
+# Every pair of names is scored: the words of both as sets, the longest common subsequence of what
+# they do not share row by row of its table. Pairs whose lengths rule out 90 are not scored.
+SIMILAR = POOLS + r"""
+, lw AS (SELECT DISTINCT norm_name AS l, list_distinct(string_split(norm_name, ' ')) AS wl FROM rest),
+rw AS (SELECT DISTINCT norm_name AS r, list_distinct(string_split(norm_name, ' ')) AS wr FROM pb WHERE norm_name IS NOT NULL),
+met AS (SELECT l, r, list_sort(list_filter(wl, lambda w: list_contains(wr, w))) AS shared,
+               array_to_string(list_sort(list_filter(wl, lambda w: NOT list_contains(wr, w))), ' ') AS a,
+               array_to_string(list_sort(list_filter(wr, lambda w: NOT list_contains(wl, w))), ' ') AS b FROM lw, rw),
+sized AS (SELECT l, r, a, b, len(shared) > 0 AS any_shared, length(array_to_string(shared, ' ')) AS n,
+                 length(array_to_string(shared, ' ')) + CASE WHEN len(shared) > 0 THEN 1 ELSE 0 END AS lead FROM met),
+near AS (SELECT *, any_shared AND (a = '' OR b = '') AS inside FROM sized
+         WHERE (any_shared AND (a = '' OR b = '')) OR 200.0::DOUBLE * n / (n + lead + least(length(a), length(b))) >= 90
+            OR 200.0::DOUBLE * (lead + least(length(a), length(b))) / (2 * lead + length(a) + length(b)) >= 90),
+rests AS (SELECT a, b, list_transform(string_split(a, ''), lambda c: [ord(c)]) AS ca,
+                 list_transform(string_split(b, ''), lambda c: [ord(c)]) AS cb
+          FROM (SELECT DISTINCT a, b FROM near WHERE NOT inside)),
+common AS (SELECT a, b, list_reduce(ca, lambda row, x: list_reduce(
+               list_transform(cb, lambda y, j: [j, CASE WHEN y = x THEN row[j] + 1 ELSE row[j + 1] END]),
+               lambda made, cell: list_append(made, greatest(made[len(made)], cell[2])), [0]),
+             list_transform(range(len(cb) + 1), lambda z: 0))[len(cb) + 1] AS c FROM rests),
+scored AS (SELECT l, r, CASE WHEN inside THEN 100.0::DOUBLE ELSE greatest(
+               200.0::DOUBLE * (lead + c) / (2 * lead + length(near.a) + length(near.b)),
+               CASE WHEN any_shared THEN 200.0::DOUBLE * n / (n + lead + least(length(near.a), length(near.b))) ELSE 0 END) END AS score
+           FROM near LEFT JOIN common ON near.a = common.a AND near.b = common.b AND NOT inside),
+candidates AS (SELECT DISTINCT l, score, r, organization_name AS right_name
+               FROM scored JOIN pb ON r = pb.norm_name WHERE score >= 92),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r, right_name) AS k FROM candidates),
+judged AS (SELECT l, max(CASE WHEN k = 1 THEN right_name END) AS right_name, max(score) AS score,
+                  coalesce(max(CASE WHEN k = 2 THEN score END) >= max(score) - 2, false) AS ambiguous,
+                  string_agg(r, ' | ' ORDER BY k) AS candidates,
+                  string_agg(CAST(round(score, 4) AS VARCHAR), ',' ORDER BY k) AS scores
+           FROM ranked WHERE k <= 3 GROUP BY l),
+p3 AS (SELECT left_id, left_name, right_name, 'fuzzy' AS resolution_pass, score
+       FROM rest JOIN judged ON norm_name = l WHERE NOT ambiguous)"""
+
+
 def _fuzzy(t):
     left, right, p1, p2 = passes(t)
     rest = resolve.residual(left, [p1, p2], ident="registrant_id", name="registrant_name")
     return resolve.fuzzy_pass(rest, right, right_name="organization_name"), p1, p2
 
 
-@query("er_fuzzy")
+@query("er_fuzzy", SIMILAR + "\nSELECT * FROM p3")
 def er_fuzzy(t):
     return _fuzzy(t)[0][0]
 
 
-@query("er_ambiguous")
+@query("er_ambiguous", SIMILAR + """
+SELECT left_id, left_name, candidates, scores FROM rest JOIN judged ON norm_name = l WHERE ambiguous""")
 def er_ambiguous(t):
     return _fuzzy(t)[0][1]
 
 
-@query("er_canonical")
+@query("er_canonical", SIMILAR + """
+SELECT *, NULL::DOUBLE AS score FROM p1 UNION ALL SELECT *, NULL FROM p2 UNION ALL SELECT * FROM p3""")
 def er_canonical(t):
     (accepted, _), p1, p2 = _fuzzy(t)
     return resolve.consolidate([p1, p2, accepted])

@@ -1,5 +1,7 @@
 """Column functions and the name scorer."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,44 @@ def test_token_set_scores(spark):
     got = df.withColumn("s", fuzzy.token_set_scorer()("l", "r")).collect()
     for r in got:
         assert r.s == pytest.approx(r.want, abs=1e-3), r
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def plain_token_set(left, right):
+    a, b = set((left or "").split()), set((right or "").split())
+    if not a or not b:
+        return 0.0
+    shared, x, y = (" ".join(sorted(w)) for w in (a & b, a - b, b - a))
+    if shared and not (x and y):
+        return 100.0
+    likeness = lambda p, q: 200.0 * longest_common(p, q) / (len(p) + len(q))
+    whole = [f"{shared} {rest}".strip() for rest in (x, y)]
+    return max([likeness(*whole)] + [likeness(shared, w) for w in whole if shared])
+
+
+@pytest.mark.parametrize("most_cells", [1 << 21, 300])
+def test_token_set_scores_of_whole_batches(most_cells):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ABCDE\u00e9\u4e2d\U0001f600") for _ in range(rng.choice([1, 2, 5, 9, 40, 90])))
+    pairs = [(None, "A"), ("A", None), (None, None), ("", ""), ("A", "A"), (" ", "A"), ("A A", "A")]
+    for _ in range(400):
+        left = [word() for _ in range(rng.randrange(6))]
+        right = [word() for _ in range(rng.randrange(6))] if rng.random() < 0.4 else [
+            *rng.sample(left, len(left)), *rng.choice([[], ["X"], ["ABC", "D"]])]
+        pairs.append((" ".join(left), " ".join(right)))
+        pairs.append((" ".join(left), " ".join(right) + rng.choice(["Y", "AB", ""])))
+    score = fuzzy.token_set_scorer(most_cells).func
+    got = score(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
+    for pair, value in zip(pairs, got):
+        assert value == pytest.approx(plain_token_set(*pair), abs=1e-9), pair
+    assert list(score(pd.Series([], dtype=object), pd.Series([], dtype=object))) == []
+    assert list(score(pd.Series([None]), pd.Series([""]))) == [0.0]
