@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import detect, relate, sanity
+from recordloom.operators import detect, postings, relate, sanity
+from recordloom.session import stage_path
 
 from .registry import query, rounded
 
@@ -229,6 +230,49 @@ def corpus_name_search(t):
     }, "ring")
 
 
+INDEXED = {
+    "part": ("p_partkey", ["p_name", "p_brand"]),
+    "customer": ("c_custkey", ["c_name", "c_mktsegment"]),
+    "documents": ("doc_id", ["text", "source"]),
+    "conversations": ("conv_id", ["text", "role"]),
+}
+CELLS = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, CAST({ident} AS VARCHAR) AS record_id, '{c}' AS column_name, "
+    rf"regexp_replace(lower({c}), '[\x20\x09-\x0D]+', ' ', 'g') AS cell FROM {name}"
+    for name, (ident, columns) in INDEXED.items() for c in columns)
+
+
+def _indexed(t):
+    index = postings.TokenIndex(t.spark, stage_path(t.spark, "postings"))
+    for name, (ident, columns) in INDEXED.items():  # a batch per table
+        postings.add(index, {name: (t.raw(name), ident, columns)}, batch=name)
+    return index
+
+
+@query("token_index_search", f"""
+SELECT DISTINCT needle, table_name, record_id, column_name
+FROM ({CELLS}), (VALUES ('ring'), ('ue ring'), ('il'), ('ed wid')) AS n(needle)
+WHERE contains(cell, needle)""", prelude=False)
+def token_index_search(t):
+    """Names, parts of names and parts of two words, all from stored postings."""
+    index = _indexed(t)
+    out = None
+    for needle in ("ring", "ue ring", "il", "ed wid"):
+        hits = postings.search(index, needle).select(F.lit(needle).alias("needle"), "*")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query("token_index_unknown", rf"""
+SELECT DISTINCT w AS token FROM (
+  SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM benchmark)
+WHERE w NOT IN (SELECT unnest(string_split(cell, ' ')) FROM ({CELLS}) WHERE cell IS NOT NULL)""", prelude=False)
+def token_index_unknown(t):
+    """Words of the benchmark that no indexed table holds, as a look-up by key."""
+    return postings.unknown(_indexed(t), t.raw("benchmark").select(
+        F.explode(postings.words(F.col("text"))).alias("token")))
+
+
 @query("name_totals", """
 SELECT registrant_id, min(registrant_name) AS registrant_name, count(*) AS n_records,
        round(sum(coalesce(income, 0)), 2) AS total_income
