@@ -129,21 +129,23 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DECONTAMINATION_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
            FROM documents WHERE text IS NOT NULL),
-b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
       FROM benchmark WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, w, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS g
        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d WHERE len(w) >= 4)),
 bg AS (SELECT item_id, w, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS g
        FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM b WHERE len(w) >= 8)),
-c AS (SELECT DISTINCT doc_id, dg.w AS dw, item_id, bg.w AS iw, dg.p - bg.p AS shift FROM dg JOIN bg USING (g)),
+dw AS (SELECT doc_id, w, unnest(w) AS x, unnest(range(0, len(w))) AS shift FROM d),
+c AS (SELECT DISTINCT doc_id, dg.w AS dw, item_id, bg.w AS iw, dg.p - bg.p AS shift FROM dg JOIN bg USING (g)
+      UNION SELECT doc_id, dw.w, item_id, b.w, shift FROM dw JOIN b ON x = b.w[1] WHERE len(b.w) BETWEEN 1 AND 7),
 m AS (SELECT doc_id, item_id, shift, len(iw) AS n, least(13, len(iw)) AS width, list_transform(range(1, len(iw) + 1),
         lambda j: CASE WHEN shift + j > 0 AND dw[shift + j] = iw[j] THEN 1 ELSE 0 END) AS same FROM c),
 s AS (SELECT *, list_sum(same)::BIGINT AS total, list_max(list_transform(range(1, n - width + 2),
         lambda i: list_sum(same[i:i + width - 1])))::BIGINT AS best FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, total DESC, shift) AS k FROM s
-      WHERE best >= width - CASE WHEN width >= 13 THEN 2 ELSE 1 END)
+      WHERE best >= width - CASE WHEN width >= 13 THEN 2 WHEN width >= 8 THEN 1 ELSE 0 END)
 SELECT doc_id, item_id, n AS n_item_words, total AS n_matched, best AS n_window, shift AS start FROM r WHERE k = 1
 """
 

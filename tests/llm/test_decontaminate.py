@@ -13,23 +13,24 @@ def test_masks_catch_every_allowed_substitution():
 
 
 def words(t):
-    return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    spaced = re.sub(r"([\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", (t or "").lower())
+    return [w for w in re.split(r"[\W_]+", spaced) if w]
 
 
-def brute(docs, items):
+def brute(docs, items, least=1):
     out = set()
     for i, t in docs:
         w = words(t)
         for j, b in items:
             v = words(b)
-            if len(v) < 8:
+            if len(v) < least:
                 continue
             best = None
             width = min(13, len(v))
             for shift in range(-len(v) + 1, len(w)):
                 same = [0 <= shift + k < len(w) and w[shift + k] == v[k] for k in range(len(v))]
                 top = max(sum(same[k:k + width]) for k in range(len(v) - width + 1))
-                if top >= width - (2 if width >= 13 else 1):
+                if top >= width - (2 if width >= 13 else 1 if width >= 8 else 0):
                     best = max(best or (0,), (top, sum(same), -shift))
             if best:
                 out.add((i, j, len(v), best[1], best[0], -best[2]))
@@ -77,3 +78,27 @@ def test_empty_sides(spark):
     assert D.contaminated(d.where("false"), b).count() == 0
     assert D.contaminated(d, b.where("false")).count() == 0
     assert D.clean(d, b.where("false")).count() == 1
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "What is a monoid?"), (2, "Yes"), (3, "one two three four five six"), (4, "a b a"),
+             (5, "one two three four five six seven"), (6, "日本の首都はどこですか"), (7, "光合成"), (8, "?!"),
+             (9, "ประเทศไทยมีกี่จังหวัด"), (10, "yes")]
+    docs = [(1, "so, what IS a monoid"), (2, "what is the monoid"), (3, "yes"), (4, "yesterday"), (5, "a b a b a"),
+            (6, "zero one two three four five six seven eight"), (7, "one two three four FIVE six"), (8, None), (9, ""),
+            (10, "質問：日本の首都はどこですか？"), (11, "日本の首部はどこですか"), (12, "光合成とは"), (13, "合成光"),
+            (14, "ถาม ประเทศไทยมีกี่จังหวัด ตอบ"), (15, "yes yes " * 2000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in D.contaminated(d, b).collect()} == brute(docs, items)
+    assert {tuple(r) for r in D.contaminated(d, b, least_words=4).collect()} == brute(docs, items, 4)
+    assert [r.doc_id for r in D.clean(d, b, least_words=8).collect() if r.doc_id in (10, 14)] == []
+
+
+def test_text_that_repeats_a_passage(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    text = " ".join([passage] * 400 + ["end"])
+    d = spark.createDataFrame([(1, text), (2, text), (3, "x " + passage)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, passage), (2, " ".join(["p3"] * 30))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_matched, r.start) for r in D.contaminated(d, b).collect()}
+    assert got == {(1, 1, 20, 0), (2, 1, 20, 0), (3, 1, 20, 1)}
