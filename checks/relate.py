@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import detect, postings, relate, sanity
+from recordloom.operators import detect, postings, relate, sanity, sketches
 from recordloom.session import stage_path
 
 from .registry import query, rounded
@@ -273,6 +273,25 @@ def token_index_unknown(t):
         F.explode(postings.words(F.col("text"))).alias("token")))
 
 
+@query("distinct_rolling", """
+, there AS (SELECT DISTINCT client_country, filing_year FROM filings)
+SELECT t.client_country, t.filing_year, count(DISTINCT registrant_id) AS registrant_id,
+       count(DISTINCT filing_uuid) AS filing_uuid, true AS registrant_id_within, true AS filing_uuid_within
+FROM there t JOIN filings f ON f.client_country IS NOT DISTINCT FROM t.client_country
+                           AND f.filing_year BETWEEN t.filing_year - 2 AND t.filing_year
+GROUP BY 1, 2""")
+def distinct_rolling(t):
+    """Exact distinct counts over three years, and whether the estimate from stored sketches (a load per year's
+    parity) is within four standard errors of each."""
+    rows, keys, counted = t.filings(), ["client_country"], ["registrant_id", "filing_uuid"]
+    store = sketches.DistinctStore(t.spark, stage_path(t.spark, "sketches"), keys, "filing_year", counted)
+    for batch, half in (("even", 0), ("odd", 1)):
+        sketches.add(store, rows.where(F.col("filing_year") % 2 == half), batch)
+    exact = sketches.exact_rolling(rows, keys, "filing_year", counted, 3)
+    return sketches.compared(exact, sketches.rolling(store, 3), [*keys, "filing_year"], counted).drop(
+        "registrant_id_estimate", "filing_uuid_estimate")
+
+
 @query("name_totals", """
 SELECT registrant_id, min(registrant_name) AS registrant_name, count(*) AS n_records,
        round(sum(coalesce(income, 0)), 2) AS total_income
