@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, stage_path
@@ -142,7 +143,8 @@ def open_index(spark: SparkSession, path: str) -> CellIndex:
 
 
 def _asked(index: CellIndex, queries: DataFrame, k: int, probes: int | None, bounded: bool) -> DataFrame:
-    """The rings each query (``i, v`` and, if ``bounded``, its k-th distance ``r`` so far) has to be compared with.
+    """The numbers ``at`` of the rings each query has to be compared with (``i, v`` and, if ``bounded``, its k-th
+    distance ``r`` so far).
 
     First the nearest cells, until they hold k rows and are ``probes`` many; with a bound, the rings
     outside of those that can hold a nearer row.
@@ -154,11 +156,12 @@ def _asked(index: CellIndex, queries: DataFrame, k: int, probes: int | None, bou
     distances = _distances_by_value()
     wanted = probes or 1
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                some = batch.iloc[start:start + 1024]
-                d = distances(np.stack(some["v"].to_numpy()).astype("float64"), centres)
+            for start in range(0, batch.num_rows, 1024):
+                some = batch.slice(start, 1024)
+                v = some.column("v").flatten().to_numpy(zero_copy_only=False).astype("float64")
+                d = distances(v.reshape(some.num_rows, -1), centres)
                 order = np.argsort(d, axis=1, kind="stable")
                 before = np.cumsum(held[order], axis=1) - held[order]
                 near = np.zeros(d.shape, dtype=bool)
@@ -166,37 +169,43 @@ def _asked(index: CellIndex, queries: DataFrame, k: int, probes: int | None, bou
                 take = near[:, cell]
                 if bounded:
                     gap = np.maximum(np.maximum(d[:, cell] - high, low - d[:, cell]), 0)
-                    r = some["r"].to_numpy()[:, None]
+                    r = some.column("r").to_numpy()[:, None]
                     take = ~take & (gap <= r + 1e-9 * (1 + r))
-                q, at = np.nonzero(take)
-                yield pd.DataFrame({"i": some["i"].to_numpy()[q], "v": some["v"].to_numpy()[q],
-                                    "cell": cell[at], "ring": ring[at], "n": n[at]})
+                # one row per query with the numbers of its rings: vectors are copied only when rows meet
+                ends = np.concatenate([[0], take.sum(1).cumsum()]).astype("int32")
+                at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(take)[1].astype("int32")))
+                yield pa.RecordBatch.from_arrays([*some.columns, at], [*some.schema.names, "at"])
 
-    kinds = dict(queries.dtypes)
-    return queries.mapInPandas(run, f"i {kinds['i']}, v {kinds['v']}, cell int, ring int, n long")
+    return queries.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in queries.dtypes) + ", at array<int>")
 
 
-def _compared(index: CellIndex, asked: DataFrame, k: int, block_bytes: int) -> DataFrame:
-    spark = asked.sparkSession
-    parts = spark.createDataFrame(index.rings[["cell", "ring", "parts"]], "cell int, ring int, parts int")
-    chunks = asked.groupBy("cell", "ring").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_chunks"))
-    sized = cut_lineage(chunks.join(parts, ["cell", "ring"]))
+def _in_rings(index: CellIndex, asked: DataFrame) -> DataFrame:
+    """A row per query and ring, with the ring's cell, size and parts."""
+    table = index.rings.assign(_at=range(len(index.rings)))[["_at", "cell", "ring", "n", "parts"]]
+    rings = asked.sparkSession.createDataFrame(table, "_at int, cell int, ring int, n long, parts int")
+    return asked.withColumn("_at", F.explode("at")).drop("at").join(rings, "_at").drop("_at")
+
+
+def _compared(index: CellIndex, asked: DataFrame, k: int) -> DataFrame:
+    asked = _in_rings(index, asked)
+    sized = cut_lineage(asked.groupBy("cell", "ring").agg(
+        F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_chunks")))
 
     def every(count):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    left = index.rows.join(sized.drop("parts"), ["cell", "ring"]).select(
+    left = index.rows.join(sized, ["cell", "ring"]).select(
         "i", "v", "cell", "ring", "part", every("_chunks").alias("chunk"))
     right = asked.join(sized, ["cell", "ring"]).select(
-        "i", "v", "cell", "ring", F.pmod(F.xxhash64("i"), "_chunks").cast("int").alias("chunk"),
-        every("parts").alias("part"))
+        "i", *[c for c in ("v", "r") if c in asked.columns], "cell", "ring",
+        F.pmod(F.xxhash64("i"), "_chunks").cast("int").alias("chunk"), every("parts").alias("part"))
     schema = f"query_id {dict(asked.dtypes)['i']}, neighbor_id {dict(index.rows.dtypes)['i']}, distance double"
-    near = meet(left, right, ["cell", "ring", "part", "chunk"], k, schema, block_bytes)
+    near = meet(left, right, ["cell", "ring", "part", "chunk"], k, schema)
     return top_k_per_key(near, "query_id", asc("distance", "neighbor_id"), k, "rank")
 
 
 def search(index: CellIndex, queries: DataFrame, k: int, *, probes: int | None = None, ident: str = "id",
-           vector: str = "embedding", block_bytes: int = 32 << 20) -> Found:
+           vector: str = "embedding") -> Found:
     """The k nearest indexed rows of every query; all of them with ``probes=None``, else those of the nearest
     ``probes`` cells (more where these hold fewer than k rows)."""
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(ident).alias("i"), F.col(vector).alias("v"))
@@ -206,17 +215,17 @@ def search(index: CellIndex, queries: DataFrame, k: int, *, probes: int | None =
         return Found(spark.createDataFrame([], f"query_id {kind}, neighbor_id {kind}, distance double, rank int"),
                      spark.createDataFrame([], f"query_id {kind}, rings long, rows long"))
     first = cut_lineage(_asked(index, asked, k, probes, bounded=False))
-    near = _compared(index, first, k, block_bytes)
-    visited = first.select("i", "n")
+    near = _compared(index, first, k)
+    visited = _in_rings(index, first.select("i", "at")).select("i", "n")
     if probes is None:
         near = cut_lineage(near)
         reach = near.groupBy(F.col("query_id").alias("i")).agg(
             F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("r"))
         second = cut_lineage(_asked(index, asked.join(reach, "i"), k, probes, bounded=True))
-        more = _compared(index, second, k, block_bytes)
+        more = _compared(index, second, k)
         near = top_k_per_key(near.drop("rank").unionByName(more.drop("rank")), "query_id",
                              asc("distance", "neighbor_id"), k, "rank")
-        visited = visited.unionByName(second.select("i", "n"))
+        visited = visited.unionByName(_in_rings(index, second.select("i", "at")).select("i", "n"))
     visits = visited.groupBy(F.col("i").alias("query_id")).agg(
         F.count("*").alias("rings"), F.sum("n").alias("rows"))
     return Found(near, visits)

@@ -102,12 +102,19 @@ def knn_by_text(base: DataFrame, embedder: TextEmbedder, query: str, k: int, **k
     return knn_by_vector(base, vector, k, **kw)
 
 
+#: A block of the grid grows up to this size before a row is copied to more than ``COPIES`` blocks.
+LARGEST_BLOCK, COPIES = 32 << 20, 8
+#: Queries and rows of one tile of the distance matrix.
+TILE_QUERIES, TILE_ROWS = 512, 1024
+
+
 def knn_batch(queries: DataFrame, base: DataFrame, k: int, *, ident: str = "id",
-              vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+              vector: str = "embedding", block_bytes: int = 8 << 20) -> DataFrame:
     """The k nearest base rows of every query row, exactly.
 
-    Queries and base are cut into blocks of ``block_bytes`` at most that meet in a grid; every
-    cell gives only its k nearest per query. Nothing passes the driver but the two counts.
+    Queries and base are cut into blocks that meet in a grid; every cell gives only its k nearest per query.
+    A block takes ``block_bytes``, or more (up to ``LARGEST_BLOCK``) where a row would otherwise be
+    copied to more than ``COPIES`` blocks. Nothing passes the driver but the two sizes.
     """
     kind = dict(base.dtypes)[ident]
     out_schema = f"query_id {kind}, neighbor_id {kind}, distance double"
@@ -116,17 +123,70 @@ def knn_batch(queries: DataFrame, base: DataFrame, k: int, *, ident: str = "id",
 
 
 def _nearest_by_value():
-    """``nearest(rows, queries, k)``: row and query numbers and exact distances that cover the
-    k nearest rows per query. Nested so that it travels to the workers by value."""
-    def nearest(x, q, k):
-        approx = (x * x).sum(1)[:, None] - 2.0 * (x @ q.T) + (q * q).sum(1)[None, :]
-        kth = min(k, len(x)) - 1
-        edge = np.partition(approx, kth, axis=0)[kth]
-        # slack covers the rounding of the fast form; exact distances decide later
-        slack = 1e-9 * (1.0 + np.abs(approx).max())
-        rows, cols = np.nonzero(approx <= edge[None, :] + slack)
-        diff = x[rows] - q[cols]
-        return rows, cols, np.sqrt((diff * diff).sum(1))
+    """``nearest(rows, k, tile)`` gives a function from queries to query numbers, row numbers and exact distances of
+    the k nearest rows per query, equal distances by row number. Nested so that it travels to the workers by value."""
+    def nearest(x, k, tile):
+        # of equal rows only the first k can be among the k nearest
+        _, value = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+        order = np.argsort(value.ravel(), kind="stable")
+        runs = value.ravel()[order]
+        kept = np.sort(order[np.arange(len(x)) - np.searchsorted(runs, runs) < k])
+        x = x[kept]
+        # the fast form is in short floats around the centre; c bounds its rounding relative to the two
+        # squared lengths, and exact distances decide later
+        centre, c = x.mean(0), (x.shape[1] + 32) * 2.0 ** -23
+        scale = np.abs(x - centre).max(initial=0.0) or 1.0
+        short = ((x - centre) / scale).astype("float32")
+        x2 = (short.astype("float64") ** 2).sum(1)
+        low2 = ((1 - c) * x2).astype("float32")
+
+        def exact(q, cols, rows):
+            dist = np.empty(len(cols))
+            for at in range(0, len(cols), 1 << 16):
+                diff = x[rows[at:at + (1 << 16)]] - q[cols[at:at + (1 << 16)]]
+                dist[at:at + (1 << 16)] = np.sqrt((diff * diff).sum(1))
+            return dist
+
+        def ask(q, reach=np.inf):
+            # reach: the distance beyond which a query needs no rows
+            near = (q - centre) / scale
+            # far queries would leave the range of short floats: their lengths come down to those of the rows
+            far = np.maximum(np.abs(near).max(1, initial=0.0), 1.0)[:, None]
+            short_q = (near / far).astype("float32")
+            q2 = (short_q.astype("float64") ** 2).sum(1)[:, None]
+            reach = np.broadcast_to(reach, len(q))
+            bound = reach[:, None] ** 2
+            best = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+            waiting, n_waiting, seen, settled = [], 0, 0, 0
+            while seen < len(x):
+                part = slice(seen, seen + tile)
+                # the least that (row - query)^2 - query^2 can be, over the query's length if that is large
+                low = low2[part] / far.astype("float32") if far.max() > 1 else low2[part]
+                low = low - 2 * (short_q @ short[part].T)
+                fits = bound / scale ** 2 / far - (1 - c) * far * q2 + 2 * c * far * q2
+                if not seen and low.shape[1] > k:
+                    fits = np.minimum(fits, np.partition(low, k - 1, axis=1)[:, k - 1:k]
+                                      + 2 * c * (x2[part].max() / far + far * q2))
+                cols, rows = np.divmod(np.flatnonzero(low <= (fits + 1e-30).astype("float32")), low.shape[1])
+                waiting.append((cols, rows + seen))
+                n_waiting += len(cols)
+                seen += tile
+                # the bound is drawn in each time the rows have doubled, or when much is waiting
+                if seen >= 2 * settled or n_waiting > 1 << 18 or seen >= len(x):
+                    cols, rows = (np.concatenate(w) for w in zip(*waiting))
+                    cols, rows, dist = (np.concatenate(w) for w in zip(best, (cols, rows, exact(q, cols, rows))))
+                    order = np.lexsort((rows, dist, cols))
+                    nth = np.arange(len(order)) - np.searchsorted(cols[order], cols[order])
+                    order, nth = order[nth < k], nth[nth < k]
+                    best = cols[order], rows[order], dist[order]
+                    last = order[nth == k - 1]
+                    bound[cols[last], 0] = np.minimum(bound[cols[last], 0], dist[last] ** 2)
+                    waiting, n_waiting, settled = [], 0, seen
+            cols, rows, dist = best
+            inside = dist <= reach[cols] * (1 + 1e-9)
+            return cols[inside], kept[rows[inside]], dist[inside]
+
+        return ask
 
     return nearest
 
@@ -134,7 +194,7 @@ def _nearest_by_value():
 def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
     def blocks(df):
         size = df.agg(F.sum(8 * F.size(vector))).first()[0] or 0
-        return max(1, -(-size // block_bytes))
+        return max(1, -(-size // LARGEST_BLOCK), min(-(-size // block_bytes), COPIES))
 
     n_base, n_query = blocks(base), blocks(queries)
 
@@ -148,28 +208,27 @@ def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
                        block(ident, n_base).alias("b"), every(n_query).alias("q"))
     asked = queries.select(F.col(ident).alias("i"), F.col(vector).alias("v"),
                            block(ident, n_query).alias("q"), every(n_base).alias("b"))
-    return meet(rows, asked, ["b", "q"], k, out_schema, block_bytes)
+    return meet(rows, asked, ["b", "q"], k, out_schema)
 
 
-def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, out_schema: str,
-         block_bytes: int) -> DataFrame:
-    """The k nearest rows of every query within each block; both sides have ``i``, ``v`` and the block's keys."""
-    nearest = _nearest_by_value()
+def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, out_schema: str) -> DataFrame:
+    """The k nearest rows of every query within each block, equal distances by id; both sides have ``i``,
+    ``v`` and the block's keys, and the queries may have ``r``, beyond which they need no rows. Memory: the two sides of a block and one tile of their distances."""
+    nearest, tile_queries, tile_rows = _nearest_by_value(), TILE_QUERIES, TILE_ROWS
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        x = np.stack(left["v"].to_numpy()).astype("float64")
-        parts = []
-        # a strip of the distance matrix is no larger than a block
-        width = max(1, block_bytes // (8 * len(left)))
-        for start in range(0, len(right), width):
-            some = right.iloc[start:start + width]
-            q = np.stack(some["v"].to_numpy()).astype("float64")
-            r, c, dist = nearest(x, q, k)
-            parts.append(pd.DataFrame({"query_id": some["i"].to_numpy()[c],
-                                       "neighbor_id": left["i"].to_numpy()[r],
-                                       "distance": dist}))
+        parts = [pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})]
+        if len(left) and len(right):
+            left = left.sort_values("i", kind="stable")
+            x = np.stack(left["v"].to_numpy()).astype("float64")
+            ids = left["i"].to_numpy()
+            ask, parts = nearest(x, k, tile_rows), []
+            for start in range(0, len(right), tile_queries):
+                some = right.iloc[start:start + tile_queries]
+                q = np.stack(some["v"].to_numpy()).astype("float64")
+                c, r, dist = ask(q, some["r"].to_numpy() if "r" in some else np.inf)
+                parts.append(pd.DataFrame({"query_id": some["i"].to_numpy()[c], "neighbor_id": ids[r],
+                                           "distance": dist}))
         return pd.concat(parts)
 
     return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, out_schema)

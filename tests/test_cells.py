@@ -58,3 +58,30 @@ def test_stored_index_and_empty_table(spark, tmp_path):
     none = cells.build(base.limit(0), cells=5)
     found = cells.search(none, base, 3)
     assert found.neighbours.count() == found.visits.count() == 0
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "shifted", "outlier", "far", "tiny", "same"])
+def test_tiles_give_the_nearest_rows(kind):
+    rng = np.random.default_rng(3)
+    x, q, k = rng.normal(size=(700, 6)), rng.normal(size=(30, 6)), 5
+    if kind == "copies":
+        x = x[rng.integers(40, size=700)]
+    x = {"shifted": x + 1e5, "outlier": np.vstack([x, np.full((1, 6), 1e9)]), "tiny": x * 1e-24,
+         "same": np.ones((700, 6))}.get(kind, x)
+    q = {"shifted": q + 1e5, "far": q * 1e12, "tiny": q * 1e-24}.get(kind, q)
+    cols, rows_, dist = similar._nearest_by_value()(x, k, 64)(q)
+    want = np.sqrt(((q[:, None] - x[None]) ** 2).sum(-1))
+    order = np.array([np.lexsort((np.arange(len(x)), d))[:k] for d in want])
+    got = rows_[np.lexsort((rows_, dist, cols))].reshape(len(q), k)
+    assert len(cols) == len(q) * k  # a cell gives k rows per query, however many are equally near
+    np.testing.assert_allclose(np.take_along_axis(want, got, 1), np.take_along_axis(want, order, 1), rtol=1e-12)
+    if kind in ("plain", "copies", "outlier", "same"):
+        assert (got == order).all()
+
+
+def test_small_blocks_do_not_multiply_the_rows(spark):
+    base = vectors(spark, np.random.default_rng(2), 400)
+    near = similar._grid(base, base, 3, "id", "embedding", "query_id int, neighbor_id int, distance double", 640)
+    # 400 rows of 64 bytes would make 40 blocks a side, and 40 copies of every row
+    assert near.count() <= similar.COPIES * 400 * 3
+    assert rows(similar.knn_batch(base, base, 3, block_bytes=640)) == rows(similar.knn_batch(base, base, 3))
