@@ -24,6 +24,8 @@ from .files import open_path
 
 #: Bytes of a range, and of a piece that is looked at at once.
 RANGE, CHUNK = 64 << 20, 4 << 20
+#: Bytes read at once beyond the end of a range, for the rest of its last element; twice as many each time.
+BEYOND = 64 << 10
 #: Bytes of elements in one batch.
 BATCH = 8 << 20
 
@@ -74,14 +76,16 @@ def _escaped_at(stream, start: int) -> bool:
     return run % 2 == 1
 
 
-def _pieces(stream, start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
+def _pieces(stream, start: int, end: int, beyond: bool = False) -> Iterator[tuple[int, bytes]]:
+    """The bytes up to the end of a range and, if asked for, those after it."""
     stream.seek(start)
-    at = start
-    while end is None or at < end:
-        block = stream.read(CHUNK if end is None else min(CHUNK, end - at))
+    at, more = start, BEYOND
+    while at < end or beyond:
+        block = stream.read(min(CHUNK, end - at if at < end else more))
         if not block:
             return
         yield at, block
+        more = more if at < end else 2 * more
         at += len(block)
 
 
@@ -101,7 +105,7 @@ def summary(stream, start: int, end: int) -> tuple[bool, int, int]:
 
 def _opening(stream, path: str) -> int | None:
     """Where the list of a file opens; a blank file has none, all else is an error."""
-    for offset, block in _pieces(stream, 0, None):
+    for offset, block in _pieces(stream, 0, 0, beyond=True):
         text = (block.removeprefix(BOM) if offset == 0 else block).lstrip(SPACE)
         if text:
             if text[0] != 91:
@@ -121,7 +125,7 @@ def elements(stream, path: str, start: int, end: int, in_string: bool, depth: in
     escaped = _escaped_at(stream, start)
     parts: list[bytes] | None = None
     begin, opened = 0, False
-    for offset, block in _pieces(stream, start, None):
+    for offset, block in _pieces(stream, start, end, beyond=True):
         if offset >= end and parts is None:
             break
         data = np.frombuffer(block, np.uint8)
@@ -204,7 +208,7 @@ def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE) -> Dat
 def with_states(ranges: DataFrame) -> DataFrame:
     """The ranges with ``in_string`` and ``depth`` at their start."""
     tails = ranges.where("end < length")
-    told = _one_task_each(tails.select("path", "start", "end")).mapInArrow(
+    told = _spread(tails.select("path", "start", "end")).mapInArrow(
         _summaries, "path string, start long, odd boolean, outside long, inside long")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     rows = ranges.join(cut_lineage(told), ["path", "start"], "left")
@@ -213,16 +217,19 @@ def with_states(ranges: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.coalesce(F.sum(deeper).over(before), F.lit(0))).drop("odd", "outside", "inside")
 
 
-def _one_task_each(ranges: DataFrame) -> DataFrame:
-    """One task for each range, 10,000 at most; the planner would put the small rows into one."""
-    return ranges.repartition(max(1, min(ranges.count(), 10_000)))
+def _spread(ranges: DataFrame) -> DataFrame:
+    """The ranges over tasks of ``RANGE`` bytes, or of less to give each core work, 10,000 tasks at most; the planner would put
+    the small rows into one."""
+    n, size = ranges.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(1, min(n, max(4 * cores, -(-(size or 0) // RANGE)), 10_000)))
 
 
 def read(spark: SparkSession, paths: list[str], schema: str, size: int = RANGE) -> DataFrame:
     """The elements of the lists as rows, with the file and the offset they come from. A file that holds something else, or an
     element that does not fit the schema, is an error."""
     ranges = cut_lineage(with_states(cut_lineage(file_ranges(spark, paths, size))))
-    found = _one_task_each(ranges).mapInArrow(
+    found = _spread(ranges).mapInArrow(
         _elements, "source_path string, source_file string, source_start long, element string")
     row = F.from_json("element", schema, {"mode": "FAILFAST"}).alias("r")
     return found.select(row, "source_path", "source_file", "source_start").select("r.*", "source_path", "source_file", "source_start")

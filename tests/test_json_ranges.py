@@ -100,3 +100,26 @@ def test_xml_roots_in_one_pass(spark, tmp_path):
     good, broken = readers.read_xml_dir(spark, [str(tmp_path)], schema.HOUSE_FILING)
     assert sorted((r.source_file, r.doc_type, r.senateID) for r in good.collect()) == [("a.xml", "LD2", "1-2"), ("b.xml", "LD1", "3")]
     assert sorted(r.source_file for r in broken.collect()) == ["cut.xml", "none.xml"]
+
+
+def test_a_small_range_reads_little_beyond_its_end(spark, tmp_path):
+    text = b"[" + b",".join(b'{"a": %d}' % k for k in range(200_000)) + b"]"
+
+    class Counted(io.BytesIO):
+        bytes_read = 0
+
+        def read(self, n=-1):
+            block = super().read(n)
+            Counted.bytes_read += len(block)
+            return block
+
+    cut = text.index(b",", 1 << 19)
+    stream = Counted(text)
+    found = list(json_ranges.elements(stream, "x", cut, cut + 1000, False, 1))
+    assert [at for at, _ in found] == [k + 1 for k in range(cut, cut + 1000) if text[k:k + 1] == b","]
+    assert Counted.bytes_read < 2 * json_ranges.BEYOND  # 2.2 MB before
+    # many small ranges share a task
+    (tmp_path / "x.json").write_bytes(text)
+    ranges = json_ranges.file_ranges(spark, [str(tmp_path / "x.json")], 1 << 10)
+    cores = spark.sparkContext.defaultParallelism
+    assert ranges.count() > 4 * cores and json_ranges._spread(ranges).rdd.getNumPartitions() == 4 * cores
