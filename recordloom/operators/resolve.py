@@ -32,7 +32,8 @@ def bridge_pass(left: DataFrame, right: DataFrame, bridges, *, ident: str, name:
             F.col(a).alias("_k"), F.col(ident).alias("left_id"), F.col(name).alias("left_name"))
         r = right.where(F.col(b).isNotNull()).select(
             F.col(b).alias("_k"), F.col(right_name).alias("right_name")).distinct()
-        pairs = l.join(r, "_k").select(
+        # both registries grow with the input: sorted and merged, whatever the planner takes their size to be
+        pairs = l.join(r.hint("merge"), "_k").select(
             "left_id", "left_name", "right_name", F.lit(label).alias("resolution_pass"))
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()
@@ -52,7 +53,8 @@ def exact_pass(left: DataFrame, right: DataFrame, done: DataFrame, *, ident: str
         *[F.col(b).alias(f"_s{i}") for i, (_, b) in enumerate(same)]).distinct()
     keys = ["norm_name", *[f"_s{i}" for i in range(len(same))]]
     return (
-        l.join(done.select("left_id"), "left_id", "left_anti").join(r, keys)
+        # as in the bridge pass, nothing here is short enough for the driver at every size
+        l.join(done.select("left_id").hint("merge"), "left_id", "left_anti").join(r.hint("merge"), keys)
         .select("left_id", "left_name", "right_name",
                 F.lit("exact_normalized").alias("resolution_pass"))
         .distinct()
@@ -65,7 +67,7 @@ def residual(left: DataFrame, matched: list[DataFrame], *, ident: str, name: str
     out = left.where(F.col("norm_name").isNotNull()).select(
         F.col(ident).alias("left_id"), F.col(name).alias("left_name"), "norm_name").distinct()
     for pairs in matched:
-        out = out.join(pairs.select("left_id"), "left_id", "left_anti")
+        out = out.join(pairs.select("left_id").hint("merge"), "left_id", "left_anti")
     return out if limit is None else out.orderBy("left_id", "left_name").limit(limit)
 
 

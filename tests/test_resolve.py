@@ -154,3 +154,18 @@ def test_preset(spark):
     # the exact pass now fails on the state; the same name is still found as similar
     assert {(r.left_id, r.resolution_pass) for r in canonical.collect()} == {
         (1, "bridge_senate_id"), (2, "fuzzy")}
+
+
+def test_passes_send_no_registry_to_the_driver(spark):
+    names = {"ident": "i", "name": "n", "right_name": "m"}
+    left = spark.createDataFrame([(k, f"name {k}", f"NAME {k}", "ZZ") for k in range(9)],
+                                 "i int, n string, norm_name string, s string")
+    right = spark.createDataFrame([(k if k % 3 == 0 else None, f"name {k}", f"NAME {k}", "ZZ") for k in range(9)],
+                                  "b int, m string, norm_name string, s string")
+    p1 = resolve.bridge_pass(left, right, [("i", "b", "bridge")], **names)
+    p2 = resolve.exact_pass(left, right, p1, same=[("s", "s")], **names)
+    assert sorted(r.left_id for r in p2.collect()) == [1, 2, 4, 5, 7, 8]
+    rest = resolve.residual(left, [p1, p2], ident="i", name="n")
+    assert rest.count() == 0
+    for df in (p1, p2, rest):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
