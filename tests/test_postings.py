@@ -82,3 +82,15 @@ def test_other_tokens(spark, tmp_path):
     cited = spark.createDataFrame([("https://a.example/x",), ("https://c.example/",)], "token string")
     assert [r.token for r in P.unknown(index, cited).collect()] == ["https://c.example/"]
     assert P.lookup(index, cited).select(F.max("record_id")).first()[0] == "1"
+
+
+def test_a_repeated_word_is_stored_once_per_cell(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "DEAL_CHARS", 64)
+    index = P.TokenIndex(spark, str(tmp_path / "i"), buckets=3)
+    rows = [(k, "a b a a", None if k % 2 else "b " * 3) for k in range(300)] + [(None, None, "")]
+    P.add(index, {"t": (table(spark, rows), "id", ["name", "note"])}, "one")
+    stored = {(r.record_id, r.column_name, r.token): r.positions for r in index.postings().collect()}
+    assert index.postings().count() == len(stored) == 300 * 2 + 150
+    assert stored["7", "name", "a"] == [0, 2, 3] and stored["8", "note", "b"] == [0, 1, 2]
+    assert [tuple(r) for r in P.frequent(index, 2).collect()] == [("a", 900), ("b", 750)]
+    assert found(index, "a  A") == {("t", str(k), "name") for k in range(300)}
