@@ -7,7 +7,7 @@ from recordloom import schema
 from recordloom.functions import coerce
 from recordloom.operators import flatten
 from recordloom.operators.shape import keep_first
-from recordloom.session import shared_dir
+from recordloom.session import cut_lineage, shared_dir
 from recordloom.sources import external, keyed, readers, sinks, vintages
 from recordloom.sources.files import open_path
 
@@ -237,8 +237,12 @@ def house_records(t):
         tag("alis_specific", F.concat(listed, listed)),
         F.lit("<foreignEntities><foreignEntity><city>x</city></foreignEntity>"),
         tag("foreignEntity", tag("name", F.col("p_brand"))), F.lit("</foreignEntities>")))
-    return (
-        t.raw("part").select(
+    # the table is small next to the work of parsing it, a row group or two: dealt to all cores and parsed once,
+    # as filters on the record would be evaluated before the rows are dealt
+    rows = t.raw("part")
+    rows = rows.repartition(max(rows.rdd.getNumPartitions(), 4 * t.spark.sparkContext.defaultParallelism))
+    return cut_lineage(
+        rows.select(
             F.from_xml(xml, schema.HOUSE_FILING, {"rowTag": "LOBBYINGDISCLOSURE2"}).alias("r"),
             F.concat(key.cast("string"), F.lit(".xml")).alias("house_xml_filename"))
         .select("r.*", "house_xml_filename", F.lit("LD2").alias("doc_type"),

@@ -375,3 +375,14 @@ def test_keyed_load(spark, corpus, tmp_path):
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_house_records_are_parsed_once(spark):
+    from checks import load, registry
+    from recordloom.plans.testdata import TestTables
+
+    folder = "/root/testdata/sf0.001"
+    records = load.house_records(TestTables(spark, folder))
+    assert records.count() == spark.read.parquet(f"{folder}/part.parquet").count()
+    plan = registry.QUERIES["flatten_house_lobbyists"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "from_xml" not in plan and "LOBBYINGDISCLOSURE2" not in plan
