@@ -147,8 +147,9 @@ def _lines(df: DataFrame, key: str, section: int, line: Column, position=None) -
 
 def _heading(children: DataFrame, key: str, section: int, text: str) -> DataFrame:
     """A section title for every id that has rows in the section."""
-    return _lines(children.select(key).distinct(), key, section, F.lit("\n" + text)).withColumn(
-        "position", F.lit(-1))
+    # the rows already lie by their id as text, so neither this nor a later grouping by id moves them
+    found = children.select(F.col(key).cast("string").alias("id")).distinct()
+    return _lines(found, "id", section, F.lit("\n" + text)).withColumn("position", F.lit(-1))
 
 
 def _section(children: DataFrame, key: str, section: int, heading: str, line: Column) -> DataFrame:
@@ -157,7 +158,9 @@ def _section(children: DataFrame, key: str, section: int, heading: str, line: Co
 
 
 def _chosen(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    wanted = ids.select(F.col("id").cast("string").alias("_id"))
+    """The rows of the chosen ids, each table dealt once and alike by its id as text. The ids may be all there are,
+    so they are merged and not broadcast."""
+    wanted = ids.select(F.col("id").cast("string").alias("_id")).hint("merge")
     return df.join(wanted, F.col(key).cast("string") == F.col("_id"), "left_semi")
 
 
@@ -182,7 +185,7 @@ def senate_lines(ids: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     url = F.concat(F.lit(before), F.col(key).cast("string"), F.lit(after))
     bodies = part["senate_activity_govt_entities"].where(
         F.nullif("govt_entity_name", F.lit("")).isNotNull()).select(
-        key, "govt_entity_name").distinct()
+        F.col(key).cast("string").alias(key), "govt_entity_name").distinct()
     return (
         _lines(filings, key, 0, _page(SENATE_PAGE, filings, public_url=url))
         .unionByName(_lines(acts, key, 1, template(SENATE_ACTIVITY, acts.dtypes),

@@ -243,3 +243,22 @@ def test_embedding_and_clusters(spark):
 
     own = {r.id: r.embedding for r in similar.embed_column(docs, "doc", "text", load).collect()}
     assert own["3"] == [16.0, 1.0] and len(own) == 3
+
+
+def test_card_tables_are_dealt_once(spark):
+    ids = spark.createDataFrame([("1",), ("2",)], "id string")
+    tables = {
+        "senate_filings": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "filing_uuid long, url string"),
+        "senate_lobbying_activities": spark.createDataFrame(
+            [(1, 0, "T")], "filing_uuid long, activity_index int, general_issue_code string"),
+        "senate_activity_lobbyists": spark.createDataFrame(
+            [(1, "A", "B", None), (1, "C", "D", "x")],
+            "filing_uuid long, first_name string, last_name string, covered_position string"),
+        "senate_foreign_entities": spark.createDataFrame([(2, "F")], "filing_uuid long, foreign_entity_name string"),
+        "senate_activity_govt_entities": spark.createDataFrame(
+            [(2, "G"), (2, "G")], "filing_uuid long, govt_entity_name string")}
+    made = cards.cards("senate_filing", ids, tables)
+    text = {r.id: r.card_md for r in made.collect()}
+    assert sorted(text) == ["1", "2"] and text["1"].count("## Lobbyists") == 1 and text["2"].count("- G\n") == 1
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" not in plan and "Broadcast" not in plan
