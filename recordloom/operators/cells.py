@@ -9,7 +9,12 @@ looked at, which is faster and may miss rows.
 
 Centres and the table of rings are the only things on the driver and in tasks: ``cells`` vectors and
 ``cells * rings`` short rows, whatever the table's size. A ring of many rows (one cell may hold most of
-them) is stored in parts of ``PART_ROWS``, and the queries of a ring are cut likewise.
+them) is stored in parts of ``PART_ROWS``.
+
+Rows and queries meet in blocks. Neighbouring parts share a block of bounded bytes, and the queries that
+need any of its rings come to it once, in chunks of bounded bytes, each with the numbers of the rings it needs.
+So a query travels once per block, not once per ring, a row once per chunk of queries, and a block
+gives k rows per query at most.
 
 Null vectors are left out; an empty table has no cells and gives no neighbours; rows with fewer than k
 others get all of them; ties go to the least id. Vectors must be of one length.
@@ -26,9 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage, stage_path
+from ..session import cut_lineage, discard, stage_path
 from .shape import asc, top_k_per_key
-from .similar import meet
+from .similar import BLOCK_BYTES, block_count, meet
 
 PART_ROWS = 16_384
 #: Rows that centres are trained on, chosen by the hash of their id.
@@ -102,6 +107,7 @@ def train(rows: DataFrame, cells: int, rounds: int = 8, sample_rows: int = SAMPL
         centres = centres.copy()
         for cell, mean in moved:
             centres[cell] = mean
+    discard(rows)
     return centres
 
 
@@ -119,6 +125,7 @@ def build(base: DataFrame, path: str | None = None, *, cells: int = 1024, rings:
     ring = F.size(F.filter("_edges", lambda e: F.col("dist") > e)).cast("int")
     ringed = cut_lineage(placed.join(edges, placed["cell"] == edges["_cell"])
                          .select("cell", ring.alias("ring"), "dist", "_n", "i", "v"))
+    discard(placed)
     table = ringed.groupBy("cell", "ring").agg(
         F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")) \
         .withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
@@ -128,6 +135,7 @@ def build(base: DataFrame, path: str | None = None, *, cells: int = 1024, rings:
      .select("cell", "ring", F.pmod("_n", "parts").cast("int").alias("part"), "i", "v")
      .repartition("cell", "ring", "part")
      .write.partitionBy("cell").parquet(f"{path}/rows"))
+    discard(ringed)
     spark.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(centres)],
                           "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
     return open_index(spark, path)
@@ -142,9 +150,24 @@ def open_index(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(rows, np.array([c["centre"] for c in centres], dtype="float64"), rings)
 
 
+def _blocks(index: CellIndex) -> pd.DataFrame:
+    """The parts of all rings (``cell, ring, part``, ``at``: the ring's number) and the ``block`` each lies in."""
+    rings = index.rings
+    at = np.repeat(np.arange(len(rings)), rings["parts"])
+    n, row = int(rings["n"].sum()), 8 * index.centres.shape[1]
+    most = -(-n // block_count(n * row, BLOCK_BYTES))
+    blocks, held = [], 0
+    for size in np.ceil(rings["n"] / rings["parts"]).to_numpy()[at]:
+        full = held and held + size > most
+        blocks.append(blocks[-1] + 1 if full else blocks[-1] if blocks else 0)
+        held = size if full else held + size
+    parts = rings.iloc[at][["cell", "ring"]].reset_index(drop=True)
+    return parts.assign(part=parts.groupby(["cell", "ring"]).cumcount(), at=at, block=blocks).astype("int32")
+
+
 def _asked(index: CellIndex, queries: DataFrame, k: int, probes: int | None, bounded: bool) -> DataFrame:
-    """The numbers ``at`` of the rings each query has to be compared with (``i, v`` and, if ``bounded``, its k-th
-    distance ``r`` so far).
+    """Each query (``i, v`` and, if ``bounded``, its k-th distance ``r`` so far) with the number of ``rings`` it has to
+    be compared with, their ``rows``, and in ``at`` the blocks these lie in with the numbers of their rings.
 
     First the nearest cells, until they hold k rows and are ``probes`` many; with a bound, the rings
     outside of those that can hold a nearer row.
@@ -153,6 +176,8 @@ def _asked(index: CellIndex, queries: DataFrame, k: int, probes: int | None, bou
     cell, ring = table["cell"].to_numpy(), table["ring"].to_numpy()
     low, high, n = table["low"].to_numpy(), table["high"].to_numpy(), table["n"].to_numpy()
     held = np.bincount(cell, weights=n, minlength=len(centres))
+    places = _blocks(index)[["block", "at"]].drop_duplicates().sort_values(["block", "at"])
+    place_block, place_at = places["block"].to_numpy(), places["at"].to_numpy()
     distances = _distances_by_value()
     wanted = probes or 1
 
@@ -171,36 +196,39 @@ def _asked(index: CellIndex, queries: DataFrame, k: int, probes: int | None, bou
                     gap = np.maximum(np.maximum(d[:, cell] - high, low - d[:, cell]), 0)
                     r = some.column("r").to_numpy()[:, None]
                     take = ~take & (gap <= r + 1e-9 * (1 + r))
-                # one row per query with the numbers of its rings: vectors are copied only when rows meet
-                ends = np.concatenate([[0], take.sum(1).cumsum()]).astype("int32")
-                at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(take)[1].astype("int32")))
-                yield pa.RecordBatch.from_arrays([*some.columns, at], [*some.schema.names, "at"])
-
-    return queries.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in queries.dtypes) + ", at array<int>")
-
-
-def _in_rings(index: CellIndex, asked: DataFrame) -> DataFrame:
-    """A row per query and ring, with the ring's cell, size and parts."""
-    table = index.rings.assign(_at=range(len(index.rings)))[["_at", "cell", "ring", "n", "parts"]]
-    rings = asked.sparkSession.createDataFrame(table, "_at int, cell int, ring int, n long, parts int")
-    return asked.withColumn("_at", F.explode("at")).drop("at").join(rings, "_at").drop("_at")
+                # one row per query with its blocks and rings: vectors are copied only when rows meet
+                query, place = np.nonzero(take[:, place_at])
+                block = place_block[place]
+                first = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(query)).astype("int32")),
+                                                 pa.array(place_at[place]))
+                ends = np.bincount(query[first], minlength=some.num_rows).cumsum()
+                at = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]).astype("int32")),
+                    pa.StructArray.from_arrays([pa.array(block[first]), lists], ["block", "lists"]))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(take.sum(1)), pa.array(take @ n), at],
+                                                 [*some.schema.names, "rings", "rows", "at"])
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in queries.dtypes)
+    return queries.mapInArrow(run, f"{kinds}, rings long, rows long, at array<struct<block: int, lists: array<int>>>")
 
 
 def _compared(index: CellIndex, asked: DataFrame, k: int) -> DataFrame:
-    asked = _in_rings(index, asked)
-    sized = cut_lineage(asked.groupBy("cell", "ring").agg(
-        F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_chunks")))
-
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = index.rows.join(sized, ["cell", "ring"]).select(
-        "i", "v", "cell", "ring", "part", every("_chunks").alias("chunk"))
-    right = asked.join(sized, ["cell", "ring"]).select(
-        "i", *[c for c in ("v", "r") if c in asked.columns], "cell", "ring",
-        F.pmod(F.xxhash64("i"), "_chunks").cast("int").alias("chunk"), every("parts").alias("part"))
+    spark, blocks = asked.sparkSession, _blocks(index)
+    # as many rows as there are blocks
+    counted = dict(asked.select(F.explode("at.block").alias("b")).groupBy("b").count().collect())
+    row = 8 * index.centres.shape[1]
+    chunks = [block_count(counted[b] * row, BLOCK_BYTES) if b in counted else 0
+              for b in range(blocks["block"].max() + 1)]
+    places = cut_lineage(spark.createDataFrame(
+        blocks.assign(_chunks=np.array(chunks)[blocks["block"]]),
+        "cell int, ring int, part int, at int, block int, _chunks int").where("_chunks > 0").coalesce(1))
+    left = index.rows.join(places, ["cell", "ring", "part"]).select(
+        "i", "v", "at", "block", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"))
+    right = asked.select("i", *[c for c in ("v", "r") if c in asked.columns], F.inline("at")).withColumn(
+        "chunk", F.pmod(F.xxhash64("i"), F.get(F.lit(chunks), "block")).cast("int"))
     schema = f"query_id {dict(asked.dtypes)['i']}, neighbor_id {dict(index.rows.dtypes)['i']}, distance double"
-    near = meet(left, right, ["cell", "ring", "part", "chunk"], k, schema)
+    near = meet(left, right, ["block", "chunk"], k, schema)
     return top_k_per_key(near, "query_id", asc("distance", "neighbor_id"), k, "rank")
 
 
@@ -216,7 +244,7 @@ def search(index: CellIndex, queries: DataFrame, k: int, *, probes: int | None =
                      spark.createDataFrame([], f"query_id {kind}, rings long, rows long"))
     first = cut_lineage(_asked(index, asked, k, probes, bounded=False))
     near = _compared(index, first, k)
-    visited = _in_rings(index, first.select("i", "at")).select("i", "n")
+    visited = first.select("i", "rings", "rows")
     if probes is None:
         near = cut_lineage(near)
         reach = near.groupBy(F.col("query_id").alias("i")).agg(
@@ -225,9 +253,9 @@ def search(index: CellIndex, queries: DataFrame, k: int, *, probes: int | None =
         more = _compared(index, second, k)
         near = top_k_per_key(near.drop("rank").unionByName(more.drop("rank")), "query_id",
                              asc("distance", "neighbor_id"), k, "rank")
-        visited = visited.unionByName(_in_rings(index, second.select("i", "at")).select("i", "n"))
+        visited = visited.unionByName(second.select("i", "rings", "rows"))
     visits = visited.groupBy(F.col("i").alias("query_id")).agg(
-        F.count("*").alias("rings"), F.sum("n").alias("rows"))
+        F.sum("rings").alias("rings"), F.sum("rows").alias("rows"))
     return Found(near, visits)
 
 

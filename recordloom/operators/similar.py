@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (BucketedRandomProjectionLSH, HashingTF, IDF, Normalizer,
@@ -102,14 +103,15 @@ def knn_by_text(base: DataFrame, embedder: TextEmbedder, query: str, k: int, **k
     return knn_by_vector(base, vector, k, **kw)
 
 
-#: A block of the grid grows up to this size before a row is copied to more than ``COPIES`` blocks.
-LARGEST_BLOCK, COPIES = 32 << 20, 8
+#: A block of the grid grows up to this size before a row is copied to more than ``COPIES`` blocks; sizes count 8 bytes
+#: a number.
+BLOCK_BYTES, LARGEST_BLOCK, COPIES = 8 << 20, 32 << 20, 8
 #: Queries and rows of one tile of the distance matrix.
 TILE_QUERIES, TILE_ROWS = 512, 1024
 
 
 def knn_batch(queries: DataFrame, base: DataFrame, k: int, *, ident: str = "id",
-              vector: str = "embedding", block_bytes: int = 8 << 20) -> DataFrame:
+              vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k nearest base rows of every query row, exactly.
 
     Queries and base are cut into blocks that meet in a grid; every cell gives only its k nearest per query.
@@ -134,7 +136,7 @@ def _nearest_by_value():
         x = x[kept]
         # the fast form is in short floats around the centre; c bounds its rounding relative to the two
         # squared lengths, and exact distances decide later
-        centre, c = x.mean(0), (x.shape[1] + 32) * 2.0 ** -23
+        centre, c = x.mean(0, dtype="float64"), (x.shape[1] + 32) * 2.0 ** -23
         scale = np.abs(x - centre).max(initial=0.0) or 1.0
         short = ((x - centre) / scale).astype("float32")
         x2 = (short.astype("float64") ** 2).sum(1)
@@ -154,6 +156,8 @@ def _nearest_by_value():
             far = np.maximum(np.abs(near).max(1, initial=0.0), 1.0)[:, None]
             short_q = (near / far).astype("float32")
             q2 = (short_q.astype("float64") ** 2).sum(1)[:, None]
+            twice = -2 * short_q
+            tiles = {n: np.empty((len(q), n), "float32") for n in {min(tile, len(x)), len(x) % tile or tile}}
             reach = np.broadcast_to(reach, len(q))
             bound = reach[:, None] ** 2
             best = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
@@ -161,8 +165,8 @@ def _nearest_by_value():
             while seen < len(x):
                 part = slice(seen, seen + tile)
                 # the least that (row - query)^2 - query^2 can be, over the query's length if that is large
-                low = low2[part] / far.astype("float32") if far.max() > 1 else low2[part]
-                low = low - 2 * (short_q @ short[part].T)
+                low = np.matmul(twice, short[part].T, out=tiles[len(x2[part])])
+                low += low2[part] / far.astype("float32") if far.max() > 1 else low2[part]
                 fits = bound / scale ** 2 / far - (1 - c) * far * q2 + 2 * c * far * q2
                 if not seen and low.shape[1] > k:
                     fits = np.minimum(fits, np.partition(low, k - 1, axis=1)[:, k - 1:k]
@@ -191,10 +195,14 @@ def _nearest_by_value():
     return nearest
 
 
+def block_count(size: int, block_bytes: int) -> int:
+    """The number of blocks that ``size`` bytes are cut into."""
+    return int(max(1, -(-size // LARGEST_BLOCK), min(-(-size // block_bytes), COPIES)))
+
+
 def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
     def blocks(df):
-        size = df.agg(F.sum(8 * F.size(vector))).first()[0] or 0
-        return max(1, -(-size // LARGEST_BLOCK), min(-(-size // block_bytes), COPIES))
+        return block_count(df.agg(F.sum(8 * F.size(vector))).first()[0] or 0, block_bytes)
 
     n_base, n_query = blocks(base), blocks(queries)
 
@@ -212,26 +220,74 @@ def _grid(queries, base, k, ident, vector, out_schema, block_bytes):
 
 
 def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, out_schema: str) -> DataFrame:
-    """The k nearest rows of every query within each block, equal distances by id; both sides have ``i``,
-    ``v`` and the block's keys, and the queries may have ``r``, beyond which they need no rows. Memory: the two sides of a block and one tile of their distances."""
+    """The k nearest rows of every query within each block, equal distances by id.
+
+    Both sides have ``i``, ``v`` and the block's keys. The queries may have ``r``, beyond which they need no rows. If
+    the rows have ``at``, the number of their list, the queries have the numbers ``lists`` of those they are compared
+    with, and each list after the first is searched within the k-th distance so far. Memory: the two sides of a
+    block and one tile of their distances."""
     nearest, tile_queries, tile_rows = _nearest_by_value(), TILE_QUERIES, TILE_ROWS
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})]
-        if len(left) and len(right):
-            left = left.sort_values("i", kind="stable")
-            x = np.stack(left["v"].to_numpy()).astype("float64")
-            ids = left["i"].to_numpy()
-            ask, parts = nearest(x, k, tile_rows), []
-            for start in range(0, len(right), tile_queries):
-                some = right.iloc[start:start + tile_queries]
-                q = np.stack(some["v"].to_numpy()).astype("float64")
-                c, r, dist = ask(q, some["r"].to_numpy() if "r" in some else np.inf)
-                parts.append(pd.DataFrame({"query_id": some["i"].to_numpy()[c], "neighbor_id": ids[r],
-                                           "distance": dist}))
-        return pd.concat(parts)
-
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, out_schema)
+    def vectors(column):
+        column = column.combine_chunks()
+        if len(np.unique(np.diff(column.offsets.to_numpy()))) != 1:
+            raise ValueError("vectors must be of one length")
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return x if x.dtype.kind == "f" else x.astype("float64")
+
+    def by_value(values):
+        # every value with the numbers of the places that hold it
+        order = np.argsort(values, kind="stable")
+        found, starts = np.unique(values[order], return_index=True)
+        return zip(found.tolist(), np.split(order, starts[1:]))
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "neighbor_id", "distance"]
+        if not left.num_rows or not right.num_rows:
+            none = pa.array([], "float64")
+            return pa.Table.from_arrays([right["i"].slice(0, 0), left["i"].slice(0, 0), none], names)
+        listed = "at" in left.column_names
+        left = left.sort_by("i")
+        ids, x = left["i"], vectors(left["v"])
+        asks = {at: (rows, nearest(x[rows], k, tile_rows))
+                for at, rows in by_value(left["at"].to_numpy() if listed else np.zeros(len(x), "int32"))}
+        del left, x
+        if listed:
+            # queries that begin with the same list share their tiles
+            lists = right["lists"].combine_chunks()
+            ends = lists.value_lengths().to_numpy().cumsum()
+            first = lists.flatten().to_numpy()[np.concatenate([[0], ends[:-1]])]
+            right = right.take(pa.array(np.argsort(first, kind="stable")))
+        parts = []
+        for start in range(0, right.num_rows, tile_queries):
+            some = right.slice(start, tile_queries).combine_chunks()
+            q = vectors(some["v"]).astype("float64")
+            reach = some["r"].to_numpy().copy() if "r" in some.column_names else np.full(len(q), np.inf)
+            if listed:
+                lists = some["lists"].combine_chunks()
+                who = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+                wanted = [(at, who[n]) for at, n in by_value(lists.flatten().to_numpy()) if at in asks]
+            else:
+                wanted = [(0, np.arange(len(q)))]
+            best, waiting, n_waiting = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)), [], 0
+            for last, (at, who) in enumerate(wanted, 1 - len(wanted)):
+                rows, ask = asks[at]
+                c, r, dist = ask(q[who], reach[who])
+                waiting.append((who[c], rows[r], dist))
+                n_waiting += len(c)
+                if n_waiting >= len(q) * k or not last:
+                    cols, found, dist = (np.concatenate(w) for w in zip(best, *waiting))
+                    order = np.lexsort((found, dist, cols))
+                    nth = np.arange(len(order)) - np.searchsorted(cols[order], cols[order])
+                    order, nth = order[nth < k], nth[nth < k]
+                    best, waiting, n_waiting = (cols[order], found[order], dist[order]), [], 0
+                    full = order[nth == k - 1]
+                    reach[cols[full]] = np.minimum(reach[cols[full]], dist[full])
+            parts.append(pa.Table.from_arrays(
+                [some["i"].take(pa.array(best[0])), ids.take(pa.array(best[1])), pa.array(best[2])], names))
+        return pa.concat_tables(parts)
+
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(block, out_schema)
 
 
 # --- approximate neighbours and clusters -----------------------------------------

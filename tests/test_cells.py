@@ -85,3 +85,33 @@ def test_small_blocks_do_not_multiply_the_rows(spark):
     # 400 rows of 64 bytes would make 40 blocks a side, and 40 copies of every row
     assert near.count() <= similar.COPIES * 400 * 3
     assert rows(similar.knn_batch(base, base, 3, block_bytes=640)) == rows(similar.knn_batch(base, base, 3))
+
+
+@pytest.mark.parametrize("probes", [8, None])
+def test_a_query_travels_once_per_block(spark, monkeypatch, probes):
+    sizes, meet = [], cells.meet
+
+    def counted(rows_, asked, *args):
+        near = meet(rows_, asked, *args)
+        sizes.append((rows_.count(), asked.count(), near.count()))
+        return near
+
+    monkeypatch.setattr(cells, "meet", counted)
+    monkeypatch.setattr(cells, "PART_ROWS", 16)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 10_000, raising=False)
+    base = vectors(spark, np.random.default_rng(4), 400, spread=2.0)
+    index = cells.build(base, cells=8, rings=4)
+    found = cells.search(index, base, 10, probes=probes)
+    assert rows(found.neighbours) == rows(similar.knn_batch(base, base, 10))
+    # 400 rows of 64 bytes make 3 blocks or 4, and as many chunks of queries; a cell each for 32 rings made 32
+    assert all(max(n) <= 400 * 4 * size for n, size in zip(zip(*sizes), (1, 1, 10)))
+
+
+def test_no_queries_and_vectors_of_two_lengths(spark):
+    base = vectors(spark, np.random.default_rng(1), 60)
+    index = cells.build(base, cells=5)
+    found = cells.search(index, base.limit(0), 3)
+    assert found.neighbours.count() == found.visits.count() == 0
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0])], SCHEMA)
+    with pytest.raises(Exception, match="one length"):
+        similar.knn_batch(odd, odd, 1).collect()
